@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import math
 import pathlib
+import signal
 import sys
 import time
 
@@ -60,9 +61,17 @@ def compare(df, con, sql: str) -> str | None:
     return None if sql_rows else "empty on both sides"
 
 
+LIMIT = 120  # seconds a query may take
+
+
+def _late(*_):
+    raise TimeoutError(f"more than {LIMIT} s")
+
+
 def main(argv: list[str]) -> int:
     from demandloom.session import local_session
 
+    signal.signal(signal.SIGALRM, _late)
     sf = "0.01"
     if argv[:1] == ["--sf"]:
         sf, argv = argv[1], argv[2:]
@@ -74,6 +83,7 @@ def main(argv: list[str]) -> int:
     names = [n for n in builders if not argv or any(n.startswith(a) for a in argv)]
     for name in names:
         start = time.time()
+        signal.alarm(LIMIT)
         try:
             if name in twins:
                 verdict = compare(builders[name](spark, sf_dir), con, twins[name])
@@ -82,6 +92,7 @@ def main(argv: list[str]) -> int:
                 verdict = None if n else "no rows"
         except Exception as error:  # report and go on
             verdict = f"{type(error).__name__}: {str(error)[:400]}"
+        signal.alarm(0)
         failures += verdict is not None
         mark = "ok  " if verdict is None else "FAIL"
         print(f"{mark} {name} {time.time() - start:.1f}s {'' if name in twins else '(rows only) '}{verdict or ''}", flush=True)
