@@ -1,7 +1,5 @@
 """Fitting, scoring and what-if queries."""
 
-import uuid
-
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
@@ -16,7 +14,7 @@ from demandloom.operators import sets as S
 from demandloom.plans.common import r6, rounded
 from demandloom.plans.least_squares_sql import dot_sql, least_squares, seasonal_sql
 from demandloom.plans.registry import query
-from demandloom.session import ensure_checkpoint_dir
+from demandloom.session import scratch_path
 from demandloom.sources import panels
 
 _TERMS = seasonal_sql()
@@ -264,6 +262,6 @@ def _(spark, d):
     """A saved and reloaded linear model scores the hold-out."""
     train, _, test = S.three_way_split(_features(spark, d))
     stages = [VectorAssembler(inputCols=list(Fc.FEATURES), outputCol="features"), LinearRegression(labelCol="units", predictionCol="yhat", regParam=0.01)]
-    path = f"{ensure_checkpoint_dir(spark)}/models/{uuid.uuid4().hex}"
+    path = scratch_path(spark, "models")
     Fc.save_model(Pipeline(stages=stages).fit(train), path)
     return E.score(Fc.load_model(path).transform(test), ["store_nbr"], y="units")

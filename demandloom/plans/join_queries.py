@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from demandloom import PAIR
+from demandloom.functions import dates as D
 from demandloom.operators import aggregates as A
 from demandloom.operators import cleaning as C
 from demandloom.operators import joins as J
@@ -113,6 +114,24 @@ def _(spark, d):
     return J.merge_calendars(busy, weekends)
 
 
+@query(
+    "dt10_holiday_calendar",
+    """WITH h AS (SELECT DISTINCT s.date AS ds, 1 AS holiday FROM ship_days s JOIN calendar c ON s.date = c.date WHERE c.holiday = 1),
+            t AS (SELECT date, make_date(year(date), 11, 1) + CAST((11 - isodow(make_date(year(date), 11, 1))) % 7 + 21 AS INT) AS turkey
+                  FROM ship_days),
+            b AS (SELECT date AS ds, CAST(date - turkey AS INT) AS blackfriday FROM t WHERE date - turkey BETWEEN 1 AND 4)
+       SELECT ds, 0 AS lower_window, 1 AS upper_window, holiday, blackfriday FROM h FULL JOIN b USING (ds)""",
+)
+def _(spark, d):
+    """Holidays and the long weekend after Thanksgiving among the sales days, merged on day and effect window."""
+    effect = {"lower_window": F.lit(0), "upper_window": F.lit(1)}
+    days = panels.ship_days(spark, d)
+    listed = panels.calendar(spark).where("holiday = 1").select("date").distinct()
+    holidays = days.join(listed, "date").select(F.col("date").alias("ds"), F.lit(1).alias("holiday")).withColumns(effect)
+    ranked = days.select(F.col("date").alias("ds"), D.black_friday_rank("date").alias("blackfriday")).withColumns(effect)
+    return J.merge_calendars(holidays, ranked.where(F.col("blackfriday") > 0))
+
+
 @query(
     "jn10_forecast_to_actuals",
     f"""SELECT p.store_nbr, p.item_nbr, p.date, units, {r6('yhat', 'yhat')} FROM predictions p

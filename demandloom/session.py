@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,3 +43,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint to reliable storage, so that a lost executor costs no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch_path(spark: SparkSession, kind: str) -> str:
+    """A fresh path for a written table or model in the shared folder."""
+    return f"{ensure_checkpoint_dir(spark)}/{kind}/{uuid.uuid4().hex}"
