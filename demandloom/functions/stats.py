@@ -30,6 +30,8 @@ def beta_tail(a, b, x) -> np.ndarray:
             d = 1 / np.where(np.abs(d) < floor, floor, d)
             c = np.where(np.abs(c) < floor, floor, c)
             fraction = fraction * d * c
+        if np.all(np.abs(d * c - 1) < 1e-15):
+            break
     value = np.where(inside, front * fraction, np.where(z <= 0, 0.0, 1.0))
     return np.where(swap, 1 - value, value)
 

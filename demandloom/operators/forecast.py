@@ -152,7 +152,7 @@ def engineered(panel: DataFrame, climate: DataFrame) -> DataFrame:
     df = Wn.lags(df, "units", [1, 7])
     df = Wn.rolling_stats(df, "units", [7, 28], ["mean"])
     df = Wn.rolling_stats(df, "units", [7], ["std"])
-    df = df.withColumn("units_ewma", Wn.ewma_expr("units", 0.5, adjust=False))
+    df = Wn.ewma(df, "units", [0.5]).withColumnRenamed("units_ewma_0.5", "units_ewma")
     df = Wn.calendar_context(Wn.calendar_context(df, "store_nbr"), "item_nbr")
     df = df.where(F.col("units_lag_1").isNotNull()).withColumns(
         {"day_of_week": D.weekday0("date"), "month": F.month("date"), "is_weekend": D.is_weekend("date")}

@@ -106,13 +106,15 @@ def solve_subset(n: pd.Series, xx: pd.Series, xy: pd.Series, yy: pd.Series, mask
     if len(n) == 0:
         return pd.DataFrame(columns=[f.name for f in FIT.fields])
     counts, a, b, squares = _stack(n, xx, xy, yy)
-    p = b.shape[1]
-    parts = []
-    for chosen, rows in pd.Series(range(len(mask))).groupby(mask.to_numpy()):
-        idx = [0] + [i + 1 for i in range(p - 1) if int(chosen) >> i & 1]
-        r = rows.to_numpy()
-        part = _frame(_fit(counts[r], a[np.ix_(r, idx, idx)], b[np.ix_(r, idx)], squares[r]), [len(idx) - 1] * len(r))
-        parts.append(part.set_axis(r))
+    terms = np.arange(b.shape[1] - 1)
+    chosen = (mask.to_numpy(np.int64)[:, None] >> terms & 1).astype(bool)
+    sizes, parts = chosen.sum(axis=1), []
+    for size in np.unique(sizes):
+        rows = np.flatnonzero(sizes == size)
+        idx = np.column_stack([np.zeros(len(rows), int), np.nonzero(chosen[rows])[1].reshape(len(rows), size) + 1])
+        r = rows[:, None]
+        part = _fit(counts[rows], a[r[:, :, None], idx[:, :, None], idx[:, None, :]], b[r, idx], squares[rows])
+        parts.append(_frame(part, [int(size)] * len(rows)).set_axis(rows))
     return pd.concat(parts).sort_index()
 
 

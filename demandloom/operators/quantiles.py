@@ -8,20 +8,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BINS = 256
+COARSE = 16
+BINS = COARSE * COARSE
 
 
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & left[key].eqNullSafe(right[f"_r_{key}"])
-    return condition
+def _below(splitters: Column, value: Column) -> Column:
+    return F.size(F.filter(splitters, lambda s: s < value))
 
 
-def _attach(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join on NULL-safe equal keys, the right copies dropped."""
-    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
-    return left.join(renamed, _same(left, renamed, keys)).drop(*[f"_r_{k}" for k in keys])
+def _bin_of(splitters: Column, value: Column) -> Column:
+    """Number of splitters below a value, found in two short looks: every 16th splitter, then the 15 after it."""
+    coarse = F.array(*[F.get(splitters, i * COARSE - 1) for i in range(1, COARSE)])
+    block = _below(coarse, value)
+    return block * COARSE + _below(F.slice(splitters, block * COARSE + 1, COARSE - 1), value)
 
 
 def exact_quantiles(
@@ -33,29 +32,27 @@ def exact_quantiles(
     bins at approximate quantiles; ranks are a running count inside each bin plus the offset of the bin, so no task
     sorts more than about one bin of a group, whatever the group's share of the data.
     """
-    keys = list(by)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(
-        F.count("*").alias("_n")
-    )
+    # Structs compare their NULL fields as equal, so one struct key joins NULL groups like any other.
+    key = F.struct(*[F.col(k) for k in by], F.lit(0).alias("_all"))
+    known = df.where(F.col(value).isNotNull()).select(key.alias("_k"), F.col(value).cast("double").alias("_v"))
+    counts = known.groupBy("_k", "_v").agg(F.count("*").alias("_n"))
     cuts = [i / BINS for i in range(1, BINS)]
-    splitters = F.percentile_approx("_v", cuts, F.lit(10000))
-    if keys:
-        binned = _attach(counts, counts.groupBy(*keys).agg(splitters.alias("_s")), keys)
-    else:
-        binned = counts.withColumn("_s", counts.select(splitters).scalar())
-    binned = binned.withColumn("_b", F.size(F.filter("_s", lambda s: s < F.col("_v")))).drop("_s")
+    splitters = counts.groupBy("_k").agg(F.percentile_approx("_v", cuts, F.lit(10000)).alias("_s"))
+    # One shuffle by bin serves the bin sizes, the running counts and the join. The bin is never NULL, and saying so
+    # keeps a NULL test from being pushed into one branch only, which would cost the shared shuffle.
+    bin_number = F.coalesce(_bin_of(F.col("_s"), F.col("_v")), F.lit(0))
+    binned = counts.join(splitters, "_k").withColumn("_b", bin_number).drop("_s").repartition("_k", "_b")
 
     # At most BINS rows per group reach these windows.
-    order = W.partitionBy(*keys).orderBy("_b")
-    offsets = binned.groupBy(*keys, "_b").agg(F.sum("_n").alias("_bn")).select(
-        *keys,
+    order = W.partitionBy("_k").orderBy("_b")
+    offsets = binned.groupBy("_k", "_b").agg(F.sum("_n").alias("_bn")).select(
+        "_k",
         "_b",
         (F.sum("_bn").over(order) - F.col("_bn")).alias("_before"),
         F.sum("_bn").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("_total"),
     )
-    ranked = _attach(binned, offsets, [*keys, "_b"]).withColumn(
-        "_upto", F.col("_before") + F.sum("_n").over(W.partitionBy(*keys, "_b").orderBy("_v"))
-    )
+    running = binned.withColumn("_run", F.sum("_n").over(W.partitionBy("_k", "_b").orderBy("_v")))
+    ranked = running.join(offsets, ["_k", "_b"]).withColumn("_upto", F.col("_before") + F.col("_run"))
 
     aggregates = [F.max("_total").alias("n")]
     for i, p in enumerate(probs):
@@ -64,10 +61,10 @@ def exact_quantiles(
             F.min(F.when(F.col("_upto") > F.floor(position), F.col("_v"))).alias(f"_lo{i}"),
             F.min(F.when(F.col("_upto") > F.ceil(position), F.col("_v"))).alias(f"_hi{i}"),
         ]
-    found = ranked.groupBy(*keys).agg(*aggregates)
+    found = ranked.groupBy("_k").agg(*aggregates)
     rest = lambda p: (F.col("n") - 1) * F.lit(float(p)) - F.floor((F.col("n") - 1) * F.lit(float(p)))
     return found.select(
-        *keys,
+        *[F.col("_k").getField(k).alias(k) for k in by],
         "n",
         *[
             (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * rest(p)).alias(f"{prefix}{i}")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from demandloom import PAIR
+from demandloom.functions import scalars as X
 
 
 def series(keys: Sequence[str] = PAIR, date: str = "date") -> WindowSpec:
@@ -45,26 +46,43 @@ def ewma_frame(alpha: float) -> int:
     return max(1, math.ceil(-44 / math.log(1 - alpha)))
 
 
-def ewma_expr(value: str, alpha: float, *, adjust: bool, keys=PAIR, date="date") -> Column:
-    """Exponentially weighted mean of the values before the current row; a NULL ages the weights and adds nothing.
+def ewma_frame_of(alphas: Sequence[float], keys=PAIR, date="date") -> WindowSpec:
+    return series(keys, date).rowsBetween(-max(64, *map(ewma_frame, alphas)), -1)
 
-    A fold over a frame long enough for double precision, so the cost per row is constant.
+
+def past_values(value: str, frame: WindowSpec) -> Column:
+    """The frame's values in order, NaN standing for a missing one, beside the number of missing ones."""
+    x = F.col(value).cast("double")
+    return F.struct(
+        F.collect_list(F.coalesce(X.null_if_nan(x), F.lit(float("nan")))).over(frame).alias("values"),
+        (F.count("*").over(frame) - F.count(X.null_if_nan(x)).over(frame)).alias("gaps"),
+    )
+
+
+def ewma_fold(past: Column, alpha: float, *, adjust: bool) -> Column:
+    """Exponentially weighted mean of a `past_values` struct; a gap ages the weights and adds nothing.
+
+    The frame is long enough for double precision, so the cost per row is constant. Without gaps a plain recurrence
+    does; with gaps the weight of the running mean is carried along.
     """
-    frame = series(keys, date).rowsBetween(-max(64, ewma_frame(alpha)), -1)
-    past = F.collect_list(F.struct(F.col(value).cast("double").alias("x"))).over(frame)
+    keep, values = 1 - alpha, past["values"]
+    unknown = F.lit(None).cast("double")
     gain = 1.0 if adjust else alpha
-    start = F.struct(F.lit(None).cast("double").alias("m"), F.lit(1.0).alias("w"))
+    plain = F.aggregate(values, unknown, lambda m, x: F.coalesce(m * keep + x * gain, x))
+    if adjust:
+        plain = plain / ((1 - F.pow(F.lit(keep), F.size(values))) / alpha)
 
-    def step(acc: Column, point: Column) -> Column:
-        x, mean, aged = point["x"], acc["m"], acc["w"] * (1 - alpha)
+    def step(acc: Column, x: Column) -> Column:
+        mean, aged, gap = acc["m"], acc["w"] * keep, F.isnan(x)
         blended = (aged * mean + F.lit(gain) * x) / (aged + gain)
         return (
-            F.when(mean.isNull(), F.struct(x.alias("m"), F.lit(1.0).alias("w")))
-            .when(x.isNull(), F.struct(mean.alias("m"), aged.alias("w")))
+            F.when(mean.isNull(), F.struct(F.when(~gap, x).alias("m"), F.lit(1.0).alias("w")))
+            .when(gap, F.struct(mean.alias("m"), aged.alias("w")))
             .otherwise(F.struct(blended.alias("m"), (aged + 1 if adjust else F.lit(1.0)).alias("w")))
         )
 
-    return F.aggregate(past, start, step, lambda acc: acc["m"])
+    weighted = F.aggregate(values, F.struct(unknown.alias("m"), F.lit(1.0).alias("w")), step, lambda acc: acc["m"])
+    return F.when(past["gaps"] == 0, plain).otherwise(weighted)
 
 
 def ewma(
@@ -73,9 +91,8 @@ def ewma(
 ) -> DataFrame:
     """One column per alpha; `aliases` repeats it per window name, since the window length has no effect."""
     name = prefix or value
-    df = df.withColumns(
-        {f"{name}_ewma_{a}": ewma_expr(value, a, adjust=adjust, keys=keys, date=date) for a in alphas}
-    )
+    df = df.withColumn("_past", past_values(value, ewma_frame_of(alphas, keys, date)))
+    df = df.withColumns({f"{name}_ewma_{a}": ewma_fold(F.col("_past"), a, adjust=adjust) for a in alphas}).drop("_past")
     return df.withColumns({f"{name}_ewma_{a}_{n}d": F.col(f"`{name}_ewma_{a}`") for a in alphas for n in aliases})
 
 
