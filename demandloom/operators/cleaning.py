@@ -102,13 +102,11 @@ def flatten_outliers(df: DataFrame, value: str = "units", factor: float = 3.0, b
     """Values further than `factor` sample deviations from the mean become the mean; statistics are global unless `by`."""
     stats = F.struct(F.avg(value).alias("m"), F.stddev_samp(value).alias("s"))
     if by:
-        scale = F.struct(
-            F.avg(value).over(W.partitionBy(*by)).alias("m"), F.stddev_samp(value).over(W.partitionBy(*by)).alias("s")
-        )
+        scaled = df.join(df.groupBy(*by).agg(stats.alias("_z")), list(by), "left").select(*df.columns, "_z")
     else:
-        scale = df.select(stats).scalar()
+        scaled = df.withColumn("_z", df.select(stats).scalar())
     far = F.abs(F.col(value) - F.col("_z.m")) > F.col("_z.s") * factor
-    return df.withColumn("_z", scale).withColumn(value, F.when(far, F.col("_z.m")).otherwise(F.col(value))).drop("_z")
+    return scaled.withColumn(value, F.when(far, F.col("_z.m")).otherwise(F.col(value))).drop("_z")
 
 
 def outlier_bounds(df: DataFrame, columns: Sequence[str], method: str = "iqr", factor: float = 3.0) -> DataFrame:

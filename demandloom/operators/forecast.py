@@ -104,7 +104,7 @@ def scale_columns(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ())
     """z-scores (population deviation), overall or per group; statistics are aggregated and joined back."""
     stats = [F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(f"_z_{c}") for c in columns]
     if by:
-        joined = df.join(df.groupBy(*by).agg(*stats), list(by))
+        joined = df.join(df.groupBy(*by).agg(*stats), list(by), "left")
     else:
         both = df.select(F.struct(*stats)).scalar()
         joined = df.withColumn("_z", both).select("*", "_z.*").drop("_z")

@@ -103,7 +103,7 @@ def same_day_context(df: DataFrame, key: str, value: str = "units", date: str =
     """
     name = key.removesuffix("_nbr")
     daily = df.groupBy(key, date).agg(F.avg(value).alias(f"{name}_mean_sameday"), F.sum(value).alias(f"{name}_sum_sameday"))
-    return df.join(daily, [key, date])
+    return df.join(daily, [key, date], "left")
 
 
 def row_context(

@@ -18,7 +18,3 @@ def rounded(df: DataFrame, columns: Sequence[str] | None = None, digits: int = 6
 def r6(expression: str, name: str) -> str:
     """The SQL counterpart of `rounded`."""
     return f"round({expression}, 6) + 0 AS {name}"
-
-
-def r6s(names: Sequence[str]) -> str:
-    return ", ".join(r6(n, n) for n in names)

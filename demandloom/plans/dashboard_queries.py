@@ -1,8 +1,5 @@
 """Dashboard queries: named compositions of the other operators."""
 
-from pyspark.sql import functions as F
-
-from demandloom import PAIR
 from demandloom.operators import dashboards as DQ
 from demandloom.plans.common import r6, rounded
 from demandloom.plans.registry import query

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from demandloom import PAIR
 from demandloom.functions import metrics as M
-from demandloom.operators import aggregates as A
 from demandloom.operators import evaluation as E
 from demandloom.operators import sets as S
 from demandloom.operators import windows as Wn

@@ -7,7 +7,6 @@ from demandloom.functions import scalars as X
 from demandloom.operators import aggregates as A
 from demandloom.operators import joins as J
 from demandloom.operators import sets as S
-from demandloom.plans.common import rounded
 from demandloom.plans.registry import query
 from demandloom.sources import panels
 

@@ -177,9 +177,10 @@ def _(spark, d):
 
 
 @query(
-    "win13_lag_correlation",
+    "win13_lag_correlation",  # a constant side has no correlation: NULL
     " UNION ALL ".join(
-        f"""SELECT store_nbr, item_nbr, {k} AS lag, {r6('corr(units, l)', 'rho')} FROM
+        f"""SELECT store_nbr, item_nbr, {k} AS lag,
+            {r6('CASE WHEN var_pop(l) > 0 AND var_pop(units) FILTER (l IS NOT NULL) > 0 THEN corr(units, l) END', 'rho')} FROM
             (SELECT *, lag(units, {k}) OVER ({_PAIR_W}) AS l FROM sales) t GROUP BY 1, 2"""
         for k in range(1, 13)
     ),
