@@ -6,6 +6,7 @@ from demandloom.plans import (  # noqa: F401
     cleaning_queries,
     dashboard_queries,
     evaluation_queries,
+    feature_queries,
     forecast_queries,
     join_queries,
     scalar_queries,
