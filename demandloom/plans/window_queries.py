@@ -205,15 +205,43 @@ def _(spark, d):
     return rounded(Wn.acf(_slim(spark, d), "units", 40))
 
 
-@query("win15_pacf")
-def _(spark, d):
-    return Wn.pacf(_slim(spark, d), "units", 30)
+def _pacf_sql(lags):
+    """Partial autocorrelations `q_1 …` per series by the Durbin recursion, one common table expression per lag."""
+    keys = "store_nbr, item_nbr, n"
+    shifted = ", ".join(f"lag(x, {k}) OVER ({_PAIR_W}) AS l{k}" for k in range(1, lags + 1))
+    ratios = ", ".join(f"coalesce(sum(x * l{k}), 0) / sum(x * x) AS r{k}" for k in range(1, lags + 1))
+    r = ", ".join(f"r{k}" for k in range(1, lags + 1))
+    steps = [
+        "c AS (SELECT store_nbr, item_nbr, date, units - avg(units) OVER (PARTITION BY store_nbr, item_nbr) AS x FROM sales)",
+        f"s AS (SELECT store_nbr, item_nbr, x, {shifted} FROM c)",
+        f"d0 AS MATERIALIZED (SELECT store_nbr, item_nbr, count(*) AS n, {ratios}, CAST(1 AS DOUBLE) AS v FROM s GROUP BY 1, 2 HAVING count(*) // 2 > {lags})",
+    ]
+    for k in range(1, lags + 1):
+        done = "".join(f", q_{j}" for j in range(1, k))
+        old = "".join(f", p{j}" for j in range(1, k))
+        gap = " ".join([f"r{k}"] + [f"- p{j} * r{k - j}" for j in range(1, k)])
+        new = "".join(f", p{j} - q * p{k - j} AS p{j}" for j in range(1, k))
+        steps.append(f"e{k} AS MATERIALIZED (SELECT {keys}, {r}, v{old}{done}, ({gap}) / v AS q FROM d{k - 1})")
+        steps.append(f"d{k} AS MATERIALIZED (SELECT {keys}, {r}, v * (1 - q * q) AS v{new}, q AS p{k}{done}, q AS q_{k} FROM e{k})")
+    tall = " UNION ALL ".join(f"SELECT {keys}, {k} AS lag, q_{k} AS pacf FROM d{lags}" for k in range(1, lags + 1))
+    return ", ".join(steps) + f", pacf AS ({tall})"
+
+
+@query("win15_pacf", f"WITH {_pacf_sql(30)} SELECT store_nbr, item_nbr, n, lag, {r6('pacf', 'pacf')} FROM pacf WHERE isfinite(pacf)")
+def _(spark, d):
+    return rounded(Wn.pacf(_slim(spark, d), "units", 30))
 
 
-@query("win16_significant_lags")
+@query(
+    "win16_significant_lags",
+    f"""WITH {_pacf_sql(30)} SELECT lag, count(*) FILTER (abs(pacf) > 1.959963984540054::DOUBLE / sqrt(n)) AS series_hit, count(*) AS series_analyzed,
+        {r6('avg(n)', 'mean_n')}, (SELECT count(*) FROM (SELECT DISTINCT store_nbr, item_nbr FROM sales) t) AS series_total,
+        {r6('1.959963984540054::DOUBLE / sqrt(avg(n))', 'mean_band')} FROM pacf WHERE isfinite(pacf) GROUP BY 1
+        HAVING series_hit > 0 AND series_hit >= 0.02 * series_total""",
+)
 def _(spark, d):
     # Random demand clears a band about one time in twenty, so the share that a lag must reach is a parameter here.
-    return Wn.significant_lags(_slim(spark, d), "units", 30, share=0.02)
+    return rounded(Wn.significant_lags(_slim(spark, d), "units", 30, share=0.02))
 
 
 @query(
