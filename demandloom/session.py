@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -10,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 def local_session(cores: str = "*", app: str = "demandloom") -> SparkSession:
     """A local session for tests and benchmarks; clusters bring their own."""
+    shared = os.environ.get("DEMANDLOOM_CHECKPOINTS") or tempfile.mkdtemp(prefix="demandloom-ckpt-")
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
+        .config("spark.checkpoint.dir", shared)
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", "8")
@@ -27,14 +30,12 @@ def local_session(cores: str = "*", app: str = "demandloom") -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by `spark.checkpoint.dir`; a scratch one only in an unset local session."""
+    """The shared folder named by `spark.checkpoint.dir`; there is no other default."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-            folder = tempfile.mkdtemp(prefix="demandloom-ckpt-")
+            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
@@ -48,3 +49,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, kind: str) -> str:
     """A fresh path for a written table or model in the shared folder."""
     return f"{ensure_checkpoint_dir(spark)}/{kind}/{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, kind: str) -> DataFrame:
+    """Write a frame that several branches read to the shared folder and read it back."""
+    path = scratch_path(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
