@@ -41,8 +41,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
     with np.errstate(over="ignore"):
-        return np.cumprod(np.concatenate([[1], np.full(max(0, n - 1), base, np.uint64)]).astype(np.uint64), dtype=np.uint64)[:n]
+        return np.cumprod(out, dtype=np.uint64)
 
 
 class Runs:
