@@ -114,7 +114,14 @@ class Tokenizer:
             for lists in batches:
                 yield pd.Series([codec.decode(x.tolist()) for x in lists], dtype=object)
 
-        self._encode, self._decode = encode, decode
+        @F.pandas_udf("ids array<int>, decoded binary")
+        def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            codec = _codec(model.value, pattern)
+            for texts in batches:
+                ids = list(codec.ids.all(texts))
+                yield pd.DataFrame({"ids": ids, "decoded": [codec.decode(x.tolist()) for x in ids]})
+
+        self._encode, self._decode, self._both = encode, decode, both
 
     def encode(self, text: Column) -> Column:
         return self._encode(F.coalesce(text, F.lit("")))
@@ -122,6 +129,10 @@ class Tokenizer:
     def decode(self, ids: Column) -> Column:
         return self._decode(ids)
 
+    def round_trip(self, text: Column) -> Column:
+        """Struct of ids and of the bytes they decode to, in one pass through Python."""
+        return self._both(F.coalesce(text, F.lit("")))
+
 
 def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, `ids` (array of int) and `decoded` (bytes) of every row.
@@ -131,8 +142,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     Columns other than doc_id and text are not read.
     """
     tokenizer = Tokenizer(docs.sparkSession, path, pattern)
-    encoded = docs.select("doc_id", tokenizer.encode(F.col("text")).alias("ids"))
-    return encoded.withColumn("decoded", tokenizer.decode(F.col("ids")))
+    return docs.select("doc_id", tokenizer.round_trip(F.col("text")).alias("_coded")).select("doc_id", "_coded.*")
 
 
 def digest_of_ids(ids: Column) -> Column:

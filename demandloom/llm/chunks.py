@@ -19,7 +19,7 @@ class ChunkIds:
     (about 0.2 KB a chunk).
     """
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], most: int = 800_000):
+    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], most: int = 400_000):
         self.encode, self.most, self.known = encode, most, {}
 
     def _learn(self, chunks: Iterable[str]) -> None:
