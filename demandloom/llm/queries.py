@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandloom.llm import bpe, exact_dedup, mixing, near_dedup, quality, token_files
+from demandloom.llm import bpe, exact_dedup, mixing, near_dedup, quality, substring_dedup, token_files
 from demandloom.llm.common import table
 from demandloom.session import scratch_path
 
@@ -15,6 +15,11 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_dedup(spark, f"{sf_dir}/documents.parquet")
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -53,6 +58,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_bpe": op5_bpe,
     "op8_mix": op8_mix,
@@ -77,6 +83,23 @@ WITH RECURSIVE w AS (
   SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON l.x = r.other
 ), c AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
 SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
+""",
+    "op2_substring_dedup": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), w AS (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS i FROM d
+), r AS (
+  SELECT doc_id, i, word, string_agg(word, ' ') OVER f AS run, count(*) OVER f AS n FROM w
+  WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)
+), m AS (SELECT doc_id, i, word, n = 50 AND min(CASE WHEN n = 50 THEN doc_id END) OVER (PARTITION BY md5(run)) < doc_id AS again FROM r
+), c AS (
+  SELECT doc_id, i, word, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM m
+), k AS (
+  SELECT doc_id, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept
+  FROM c GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
 """,
     "op3_exact_dedup": r"""
 WITH n AS (
