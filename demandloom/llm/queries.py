@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandloom.llm import bpe, exact_dedup, mixing, near_dedup, quality, substring_dedup, token_files
+from demandloom.llm import bpe, exact_dedup, html_text, line_dedup, mixing, near_dedup, quality, substring_dedup, token_files
 from demandloom.llm.common import table
 from demandloom.session import scratch_path
 
@@ -36,6 +36,15 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken")
@@ -61,6 +70,8 @@ QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_bpe": op5_bpe,
+    "op6_html_text": op6_html_text,
+    "op7_line_dedup": op7_line_dedup,
     "op8_mix": op8_mix,
     "op9_token_files": op9_token_files,
     "op10_quality": op10_quality,
@@ -108,6 +119,29 @@ WITH n AS (
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = min(doc_id) OVER w AS kept, text_sha256
 FROM n WINDOW w AS (PARTITION BY text_sha256)
+""",
+    "op7_line_dedup": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), l AS (
+  SELECT doc_id, i, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w
+  FROM (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM d)
+), c AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS c FROM l
+), p AS (SELECT a.doc_id, a.i AS i, b.i AS j, a.c - a.w AS e, b.c AS c FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.i <= b.i
+         WHERE b.c - a.c + a.w >= 10
+), r AS (
+  SELECT doc_id, i, min(j) AS j FROM p GROUP BY doc_id, i UNION SELECT doc_id, max(i) AS i, j FROM p GROUP BY doc_id, j
+), k AS (
+  SELECT r.doc_id, r.i, r.j, md5(array_to_string(d.lines[r.i + 1:r.j + 1], chr(10))) AS run, r.j - r.i AS n
+  FROM r JOIN d USING (doc_id)
+), f AS (SELECT *, min({'d': doc_id, 'i': i}) OVER (PARTITION BY run, n) AS first FROM k
+), g AS (SELECT DISTINCT doc_id, unnest(range(i, j + 1)) AS i FROM f WHERE {'d': doc_id, 'i': i} > first
+), s AS (
+  SELECT x.doc_id, x.line, x.i, g.i IS NOT NULL AS gone
+  FROM (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM d) x LEFT JOIN g ON x.doc_id = g.doc_id AND x.i = g.i
+)
+SELECT s.doc_id, CASE WHEN d.text = '' THEN 0 ELSE count(*) END AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM s JOIN d USING (doc_id) GROUP BY s.doc_id, d.text
 """,
     "op8_mix": r"""
 WITH d AS (
