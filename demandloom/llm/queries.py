@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandloom.llm import bpe, exact_dedup, html_text, line_dedup, mixing, near_dedup, quality, substring_dedup, token_files
+from demandloom.llm import bpe, exact_dedup, html_text, line_dedup, mixing, near_dedup, quality, simhash, substring_dedup, token_files
 from demandloom.llm.common import table
 from demandloom.session import scratch_path
 
@@ -25,6 +25,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.compare_neighbours(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     coded = bpe.encode_decode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -69,6 +73,7 @@ QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_simhash": op4_simhash,
     "op5_bpe": op5_bpe,
     "op6_html_text": op6_html_text,
     "op7_line_dedup": op7_line_dedup,
