@@ -1,3 +1,70 @@
-STAGES = []
+"""A training-corpus pipeline: quality filter, line dedup, near dedup, source mixing, byte-level BPE."""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from demandloom.llm import bpe, line_dedup, mixing, near_dedup, quality
+from demandloom.llm.common import table
+from demandloom.session import materialize
+
+#: A learnt classifier and token ids have no SQL form; each stage is tested against a brute-force version.
 ORACLE_SQL = None
-def run(spark, sf_dir): raise NotImplementedError
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality model, fitted on the table's labels, scores at 0.7 or more."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that an earlier one has in a run of ten words or more; emptied ones go."""
+    found = line_dedup.line_dedup(docs)
+    left = found.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    changed = {"text": F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars"))
+    return left.withColumns(changed).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the smallest id, of each class of near copies."""
+    gone = near_dedup.near_dedup(docs).where("NOT kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights: documents left out, once, or repeated."""
+    return mixing.write_out(docs, mixing.mix(docs))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document of the mix, and the digest of the text they decode to."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    coded = bpe.Tokenizer(spark, path, public_tokenizers.PATTERN).round_trip(F.col("text"))
+    return docs.select("doc_id", "source", coded.alias("_coded")).select(
+        "doc_id",
+        "source",
+        F.size("_coded.ids").cast("long").alias("n_tokens"),
+        F.col("_coded.ids").alias("ids"),
+        F.sha2("_coded.decoded", 256).alias("decoded_sha256"),
+    )
+
+
+STAGES = [
+    ("quality_classifier", keep_quality),
+    ("line_dedup", drop_repeated_lines),
+    ("near_dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("byte_level_bpe", encode),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`; what each returns is written to the shared folder and read by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs

@@ -11,18 +11,18 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from demandloom.llm import rans
 from demandloom.llm.chunks import ID, ChunkIds
 from demandloom.llm.common import before
 
-#: Ids of a section, the unit that shares a frequency table: 16 MB in memory.
-SECTION_IDS = 1 << 22
+#: Ids of a section, the unit that shares a frequency table: 8 MB in memory.
+SECTION_IDS = 1 << 21
 LAST = (1 << 63) - 1
 SECTIONS = "first_key long, n_ids long, doc_ids array<bigint>, lengths array<int>, frequencies binary, blocks array<binary>"
-DECODED = "first_key long, doc_id long, inside long, ids array<int>"
+SUMMED = "first_key long, doc_id long, inside long, n_ids long, ids_crc32 long"
+DECODED = f"{SUMMED}, ids array<int>"
 
 
 class _Encoder:
@@ -88,35 +88,36 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, *, end_id: int = 0, s
     ordered.mapInPandas(sections, SECTIONS).write.parquet(path)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, `ids` with the end id, and `start`, the number of ids in all documents before it in the files."""
+def _documents(sections: DataFrame, with_ids: bool) -> DataFrame:
+    """Documents of each section, from its decoded ids: place in the section, number of ids, their CRC-32, the ids."""
 
-    def documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
                 ids = rans.decode(list(row.blocks), rans.unpack_table(row.frequencies))
                 ends = np.cumsum(row.lengths)
                 for i in range(0, len(ends), 4096):
-                    these, starts = ends[i : i + 4096], (ends - row.lengths)[i : i + 4096]
-                    yield pd.DataFrame(
-                        {
-                            "first_key": row.first_key,
-                            "doc_id": pd.array(list(row.doc_ids[i : i + 4096]), "Int64"),
-                            "inside": starts,
-                            "ids": [ids[a:b] for a, b in zip(starts, these)],
-                        }
-                    )
+                    spans = list(zip((ends - row.lengths)[i : i + 4096], ends[i : i + 4096]))
+                    out = {
+                        "first_key": row.first_key,
+                        "doc_id": pd.array(list(row.doc_ids[i : i + 4096]), "Int64"),
+                        "inside": [a for a, _ in spans],
+                        "n_ids": [b - a for a, b in spans],
+                        # of the ids as little-endian unsigned 32-bit integers
+                        "ids_crc32": [zlib.crc32(ids[a:b].astype("<u4", copy=False).tobytes()) for a, b in spans],
+                    }
+                    yield pd.DataFrame(out | ({"ids": [ids[a:b] for a, b in spans]} if with_ids else {}))
+
+    return sections.mapInPandas(run, DECODED if with_ids else SUMMED)
 
-    sections = spark.read.schema(SECTIONS).parquet(path)
-    starts = before(sections, "first_key", "n_ids", "_base")
-    return (
-        sections.mapInPandas(documents, DECODED)
-        .join(starts, "first_key")
-        .select("doc_id", "ids", (F.col("_base") + F.col("inside")).alias("start"))
-    )
 
+def read(spark: SparkSession, path: str, *, with_ids: bool = True) -> DataFrame:
+    """Read the files back: doc_id, start, n_ids, ids_crc32 and, if wanted, `ids`, all with the end id.
 
-@F.pandas_udf(T.LongType())
-def crc32_of_ids(ids: pd.Series) -> pd.Series:
-    """Unsigned CRC-32 of the ids as little-endian unsigned 32-bit integers."""
-    return ids.map(lambda x: zlib.crc32(np.asarray(x, "<u4").tobytes())).astype("int64")
+    `start` is the number of ids in all documents before it in the files. Every checksum of the files is verified.
+    """
+    sections = spark.read.schema(SECTIONS).parquet(path)
+    starts = before(sections, "first_key", "n_ids", "_base")
+    docs = _documents(sections, with_ids).join(starts, "first_key")
+    start = F.col("_base") + F.col("inside")
+    return docs.select("doc_id", start.alias("start"), "n_ids", "ids_crc32", *(["ids"] if with_ids else []))
