@@ -117,11 +117,9 @@ class PageEvents(HTMLParser):
         self.tags += 1
         if tag == "a":
             self.links = max(0, self.links - 1)
-        elif tag in BLOCKS:
+        elif tag in BLOCKS or tag in HOLDERS:
             self.flush()
-        elif any(h.tag == tag for h in self.stack):
-            if tag in HOLDERS:
-                self.flush()
+        if tag in HOLDERS | SILENT and any(h.tag == tag for h in self.stack):
             while self.stack.pop().tag != tag:
                 pass
 

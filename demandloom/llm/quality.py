@@ -166,6 +166,8 @@ def fit(
     Pairs are the ones whose coarse tables explain most of what the single features leave over. One label only, or no
     rows, gives the intercept alone.
     """
+    if not len(y):
+        x = np.zeros((1, x.shape[1]))
     model = Additive([_cuts(c, bins) for c in x.T], [_cuts(c, 8) for c in x.T])
     share = (y.sum() + 1) / (len(y) + 2)
     model.intercept = float(np.log(share / (1 - share)))
