@@ -42,57 +42,64 @@ def rolling_stats(
 
 
 def ewma_frame(alpha: float) -> int:
-    """Rows after which a weight (1−α)^k no longer changes a double."""
+    """Known values after which a weight (1−α)^k no longer changes a double."""
     return max(1, math.ceil(-44 / math.log(1 - alpha)))
 
 
-def ewma_frame_of(alphas: Sequence[float], keys=PAIR, date="date") -> WindowSpec:
-    return series(keys, date).rowsBetween(-max(64, *map(ewma_frame, alphas)), -1)
+def with_past_values(df: DataFrame, value: str, alphas: Sequence[float], *, keys=PAIR, date="date") -> DataFrame:
+    """Column `_past`: place in the series and value of the last known values before each row, in order.
 
-
-def past_values(value: str, frame: WindowSpec) -> Column:
-    """The frame's values in order, NaN standing for a missing one, beside the number of missing ones."""
-    x = F.col(value).cast("double")
-    return F.struct(
-        F.collect_list(F.coalesce(X.null_if_nan(x), F.lit(float("nan")))).over(frame).alias("values"),
-        (F.count("*").over(frame) - F.count(X.null_if_nan(x)).over(frame)).alias("gaps"),
+    The frame counts known values, not rows, so that a gap of any length neither pushes them out nor fills the array.
+    """
+    known = X.null_if_nan(F.col(value).cast("double"))
+    rows = series(keys, date)
+    df = df.withColumns(
+        {
+            "_at": F.row_number().over(rows),
+            "_known": F.count(known).over(rows.rowsBetween(W.unboundedPreceding, -1)),
+        }
     )
+    frame = W.partitionBy(*keys).orderBy("_known").rangeBetween(-max(map(ewma_frame, alphas)), -1)
+    past = F.collect_list(F.when(known.isNotNull(), F.struct(F.col("_at").alias("at"), known.alias("x")))).over(frame)
+    return df.withColumn("_past", F.sort_array(past)).drop("_at", "_known")
 
 
-def ewma_fold(past: Column, alpha: float, *, adjust: bool) -> Column:
-    """Exponentially weighted mean of a `past_values` struct; a gap ages the weights and adds nothing.
+def ewma_fold(past: Column, alphas: Sequence[float], *, adjust: bool) -> Column:
+    """Array of exponentially weighted means of `_past`, one per alpha, in one pass over its values.
 
-    The frame is long enough for double precision, so the cost per row is constant. Without gaps a plain recurrence
-    does; with gaps the weight of the running mean is carried along.
+    A value's weight falls by 1 − α with every row, missing ones included. Adjusted means divide by the sum of the
+    weights; unadjusted ones blend the aged mean, whose weight is 1 before it ages, with the next value.
     """
-    keep, values = 1 - alpha, past["values"]
-    unknown = F.lit(None).cast("double")
-    gain = 1.0 if adjust else alpha
-    plain = F.aggregate(values, unknown, lambda m, x: F.coalesce(m * keep + x * gain, x))
-    if adjust:
-        plain = plain / ((1 - F.pow(F.lit(keep), F.size(values))) / alpha)
-
-    def step(acc: Column, x: Column) -> Column:
-        mean, aged, gap = acc["m"], acc["w"] * keep, F.isnan(x)
-        blended = (aged * mean + F.lit(gain) * x) / (aged + gain)
-        return (
-            F.when(mean.isNull(), F.struct(F.when(~gap, x).alias("m"), F.lit(1.0).alias("w")))
-            .when(gap, F.struct(mean.alias("m"), aged.alias("w")))
-            .otherwise(F.struct(blended.alias("m"), (aged + 1 if adjust else F.lit(1.0)).alias("w")))
-        )
-
-    weighted = F.aggregate(values, F.struct(unknown.alias("m"), F.lit(1.0).alias("w")), step, lambda acc: acc["m"])
-    return F.when(past["gaps"] == 0, plain).otherwise(weighted)
+    state = F.struct(
+        F.lit(None).cast("int").alias("at"), *[F.lit(0.0).alias(f"{p}{i}") for i in range(len(alphas)) for p in ("m", "w")]
+    )
+
+    def step(acc: Column, v: Column) -> Column:
+        rows = F.coalesce(v["at"] - acc["at"], F.lit(1))
+        out = [v["at"].alias("at")]
+        for i, alpha in enumerate(alphas):
+            aged = acc[f"w{i}"] * F.when(rows == 1, F.lit(1 - alpha)).otherwise(F.pow(F.lit(1 - alpha), rows))
+            gain = F.lit(1.0) if adjust else F.when(acc["at"].isNull(), F.lit(1.0)).otherwise(F.lit(alpha))
+            out.append(((aged * acc[f"m{i}"] + gain * v["x"]) / (aged + gain)).alias(f"m{i}"))
+            out.append((aged + 1 if adjust else F.lit(1.0)).alias(f"w{i}"))
+        return F.struct(*out)
+
+    means = F.aggregate(past, state, step, lambda acc: F.array(*[acc[f"m{i}"] for i in range(len(alphas))]))
+    return F.when(F.size(past) > 0, means)
 
 
 def ewma(
     df: DataFrame, value: str, alphas: Sequence[float] = (0.5, 0.75), *, adjust: bool = False, keys=PAIR, date="date",
     prefix: str | None = None, aliases: Sequence[int] = (),
 ) -> DataFrame:
-    """One column per alpha; `aliases` repeats it per window name, since the window length has no effect."""
+    """One column per alpha over the rows before; `aliases` repeats it per window name, as the length has no effect.
+
+    A row inside a gap carries the mean of the values before the gap; a row with no earlier value has none.
+    """
     name = prefix or value
-    df = df.withColumn("_past", past_values(value, ewma_frame_of(alphas, keys, date)))
-    df = df.withColumns({f"{name}_ewma_{a}": ewma_fold(F.col("_past"), a, adjust=adjust) for a in alphas}).drop("_past")
+    df = with_past_values(df, value, alphas, keys=keys, date=date)
+    df = df.withColumn("_means", ewma_fold(F.col("_past"), alphas, adjust=adjust))
+    df = df.withColumns({f"{name}_ewma_{a}": F.col("_means")[i] for i, a in enumerate(alphas)}).drop("_past", "_means")
     return df.withColumns({f"{name}_ewma_{a}_{n}d": F.col(f"`{name}_ewma_{a}`") for a in alphas for n in aliases})
 
 

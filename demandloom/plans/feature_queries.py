@@ -22,7 +22,7 @@ _PROVINCE_SQL = (
     + ", ".join(f"lag(sales, {k}) OVER ({_W}) AS sales_lag_{k}" for k in (1, 7, 14, 28))
     + ", "
     + ", ".join(f"{fn}(sales) OVER ({_W} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) AS sales_{s}_{n}d" for n in (7, 14, 28) for s, fn in _STATS.items())
-    + f""", list(sales) OVER ({_W} ROWS BETWEEN 95 PRECEDING AND 1 PRECEDING) AS p,
+    + f""", list(sales) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p,
       avg(sales) OVER (PARTITION BY store_nbr, date) AS store_mean_sameday, sum(sales) OVER (PARTITION BY store_nbr, date) AS store_sum_sameday,
       avg(sales) OVER (PARTITION BY item_nbr, date) AS item_mean_sameday, sum(sales) OVER (PARTITION BY item_nbr, date) AS item_sum_sameday FROM j)
 SELECT date, store_nbr, item_nbr, province, category, {r6('sales', 'sales')}, {r6('temperature', 'temperature')}, humidity, """

@@ -50,44 +50,56 @@ def _(spark, d):
     return rounded(Wn.rolling_stats(_dirty(spark, d), "units", [7]).drop("units"))
 
 
-_PAST = f"list(units) OVER ({_PAIR_W} ROWS BETWEEN 95 PRECEDING AND 1 PRECEDING)"
-
-
-@query(
-    "win3_ewma",
-    f"SELECT {_KEYS}, "
-    + ", ".join(
-        r6(f"CASE WHEN len(p) > 0 THEN list_reduce(p, lambda a, x: (1 - {a}) * a + {a} * x) END", f"ewma_{int(a * 100)}")
-        for a in (0.5, 0.75)
-    )
-    + f" FROM (SELECT {_KEYS}, {_PAST} AS p FROM sales) t",
-)
-def _(spark, d):
-    smooth = Wn.ewma(_slim(spark, d), "units", (0.5, 0.75), adjust=False)
+def _ewma_sql(view, alphas, adjust):
+    """Over all earlier known values with their places in the series."""
+    def mean(a):
+        if adjust:
+            weight = f"pow({1 - a}::DOUBLE, p[len(p)].n - v.n)"
+            return f"list_sum(list_transform(p, lambda v: {weight} * v.m)) / list_sum(list_transform(p, lambda v: {weight}))"
+        aged = f"pow({1 - a}::DOUBLE, v.n - s.n)"
+        return f"CASE WHEN len(p) > 0 THEN list_reduce(p, lambda s, v: {{'n': v.n, 'm': ({aged} * s.m + {a} * v.m) / ({aged} + {a})}}).m END"
+
+    return f"""WITH r AS (SELECT {_KEYS}, units::DOUBLE AS x, row_number() OVER ({_PAIR_W}) AS n FROM {view}),
+        t AS (SELECT {_KEYS}, coalesce(list({{'n': n::DOUBLE, 'm': x}}) FILTER (WHERE x IS NOT NULL)
+              OVER ({_PAIR_W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), []) AS p FROM r)
+        SELECT {_KEYS}, {", ".join(r6(mean(a), f"ewma_{int(a * 100)}") for a in alphas)} FROM t"""
+
+
+def _ewma(df, adjust):
+    smooth = Wn.ewma(df, "units", (0.5, 0.75), adjust=adjust)
     return rounded(
         smooth.select("date", *PAIR, F.col("`units_ewma_0.5`").alias("ewma_50"), F.col("`units_ewma_0.75`").alias("ewma_75"))
     )
 
 
-@query(
-    "win4_ewma_adjusted",
-    f"""WITH t AS (SELECT {_KEYS}, {_PAST} AS p FROM sales)
-        SELECT {_KEYS}, """
-    + ", ".join(
-        r6(
-            f"""list_sum(list_transform(p, lambda x, i: x * pow({1 - a}::DOUBLE, len(p) - i)))
-                / list_sum(list_transform(p, lambda x, i: pow({1 - a}::DOUBLE, len(p) - i)))""",
-            f"ewma_{int(a * 100)}",
-        )
-        for a in (0.5, 0.75)
-    )
-    + " FROM t",
-)
+def _gappy(spark, d):
+    """Half of the series have no figures for five years."""
+    lost = F.col("date").between("1996-01-01", "2000-12-31") & ((F.col("store_nbr") + F.col("item_nbr")) % 2 == 0)
+    return _slim(spark, d).withColumn("units", F.when(~lost, F.col("units")))
+
+
+_GAPPY = """(SELECT * REPLACE (CASE WHEN NOT (date BETWEEN DATE '1996-01-01' AND DATE '2000-12-31' AND (store_nbr + item_nbr) % 2 = 0)
+              THEN units END AS units) FROM sales) g"""
+
+
+@query("win3_ewma", _ewma_sql("sales", (0.5, 0.75), False))
 def _(spark, d):
-    smooth = Wn.ewma(_slim(spark, d), "units", (0.5, 0.75), adjust=True)
-    return rounded(
-        smooth.select("date", *PAIR, F.col("`units_ewma_0.5`").alias("ewma_50"), F.col("`units_ewma_0.75`").alias("ewma_75"))
-    )
+    return _ewma(_slim(spark, d), False)
+
+
+@query("win3_ewma_long_gaps", _ewma_sql(_GAPPY, (0.5, 0.75), False))
+def _(spark, d):
+    return _ewma(_gappy(spark, d), False)
+
+
+@query("win4_ewma_adjusted", _ewma_sql("sales", (0.5, 0.75), True))
+def _(spark, d):
+    return _ewma(_slim(spark, d), True)
+
+
+@query("win4_ewma_adjusted_long_gaps", _ewma_sql(_GAPPY, (0.5, 0.75), True))
+def _(spark, d):
+    return _ewma(_gappy(spark, d), True)
 
 
 @query(

@@ -53,6 +53,17 @@ def test_ewma_equals_pandas_with_gaps(panel, gappy, adjust, alpha):
     same(got, grouped(gappy, lambda s: s.shift(1).ewm(alpha=alpha, adjust=adjust).mean()))
 
 
+@pytest.mark.parametrize("adjust", [False, True])
+@pytest.mark.parametrize("gap", [60, 70, 500])
+def test_ewma_carries_over_long_gaps(spark, gap, adjust):
+    known = [3.0, 17.0, 5.5, 21.0]
+    values = known + [None] * gap + [8.0, None, 2.0] + [float(i % 9) for i in range(90)]
+    days = [dt.date(2020, 1, 1) + dt.timedelta(days=i) for i in range(len(values))]
+    df = spark.createDataFrame([(d, 1, 1, v) for d, v in zip(days, values)], "date date, store_nbr int, item_nbr int, units double")
+    expected = pd.Series(values, dtype=float).shift(1).ewm(alpha=0.5, adjust=adjust).mean().to_numpy()
+    same(aligned(Wn.ewma(df, "units", [0.5], adjust=adjust), "units_ewma_0.5"), expected)
+
+
 def test_ewma_aliases_repeat_the_column(panel):
     df = Wn.ewma(panel, "units", [0.5], aliases=[7, 14])
     assert df.where(~F.col("`units_ewma_0.5_7d`").eqNullSafe(F.col("`units_ewma_0.5`"))).count() == 0
