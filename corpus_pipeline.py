@@ -43,13 +43,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document of the mix, and the digest of the text they decode to."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = bpe.Tokenizer(spark, path, public_tokenizers.PATTERN).round_trip(F.col("text"))
-    return docs.select("doc_id", "source", coded.alias("_coded")).select(
+    coded = bpe.encode_decode(docs, path, public_tokenizers.PATTERN, keep=("doc_id", "source"))
+    return coded.select(
         "doc_id",
         "source",
-        F.size("_coded.ids").cast("long").alias("n_tokens"),
-        F.col("_coded.ids").alias("ids"),
-        F.sha2("_coded.decoded", 256).alias("decoded_sha256"),
+        F.size("ids").cast("long").alias("n_tokens"),
+        "ids",
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 

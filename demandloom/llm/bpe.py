@@ -5,14 +5,17 @@ from __future__ import annotations
 import base64
 import struct
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from demandloom.llm.chunks import ChunkIds
 
@@ -20,6 +23,8 @@ from demandloom.llm.chunks import ChunkIds
 SHIFT = 0x100
 _UP = {b: b + SHIFT for b in range(256)}
 NORMAL, UNKNOWN, BPE = 1, 2, 2
+#: Texts encoded before their ids leave the task.
+SLICE = 256
 
 
 def mapped(piece: bytes) -> str:
@@ -76,15 +81,21 @@ class Codec:
         self.split = regex.compile(pattern)
         self.bytes_of = [unmapped(self.model.id_to_piece(i)) for i in range(self.model.vocab_size() - 1)]
         self.id_of = {p: i for i, p in enumerate(self.bytes_of)}
+        self.pieces: dict[str, bytes] = {}
         self.ids = ChunkIds(self._chunks)
 
     def _chunks(self, chunks: list[str]) -> list[bytes]:
         """Ids of each chunk: a piece that is a token is that token; others are merged by the model."""
-        split = [[m.encode() for m in self.split.findall(c)] for c in chunks]
-        found = {p: [self.id_of[p]] for pieces in split for p in pieces if p in self.id_of}
-        rest = list({p for pieces in split for p in pieces} - found.keys())
-        found.update(zip(rest, self.model.encode([mapped(p) for p in rest], num_threads=1)))
-        return [array("i", [i for p in pieces for i in found[p]]).tobytes() for pieces in split]
+        known = self.pieces
+        if len(known) > self.ids.most:
+            known.clear()
+        split = list(map(self.split.findall, chunks))
+        new = list(set().union(*split).difference(known))
+        raw = [p.encode() for p in new]
+        tokens = list(map(self.id_of.get, raw))
+        merged = iter(self.model.encode([mapped(p) for p, t in zip(raw, tokens) if t is None], num_threads=1))
+        known.update(zip(new, (array("i", next(merged) if t is None else (t,)).tobytes() for t in tokens)))
+        return [b"".join([known[p] for p in pieces]) for pieces in split]
 
     def decode(self, ids) -> bytes:
         table = self.bytes_of
@@ -106,7 +117,7 @@ class Tokenizer:
         def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             codec = _codec(model.value, pattern)
             for texts in batches:
-                yield pd.Series(list(codec.ids.all(texts)), dtype=object)
+                yield pd.Series(codec.ids.all(texts.tolist()), dtype=object)
 
         @F.pandas_udf("binary")
         def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -114,14 +125,7 @@ class Tokenizer:
             for lists in batches:
                 yield pd.Series([codec.decode(x.tolist()) for x in lists], dtype=object)
 
-        @F.pandas_udf("ids array<int>, decoded binary")
-        def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-            codec = _codec(model.value, pattern)
-            for texts in batches:
-                ids = list(codec.ids.all(texts))
-                yield pd.DataFrame({"ids": ids, "decoded": [codec.decode(x.tolist()) for x in ids]})
-
-        self._encode, self._decode, self._both = encode, decode, both
+        self._encode, self._decode = encode, decode
 
     def encode(self, text: Column) -> Column:
         return self._encode(F.coalesce(text, F.lit("")))
@@ -129,20 +133,30 @@ class Tokenizer:
     def decode(self, ids: Column) -> Column:
         return self._decode(ids)
 
-    def round_trip(self, text: Column) -> Column:
-        """Struct of ids and of the bytes they decode to, in one pass through Python."""
-        return self._both(F.coalesce(text, F.lit("")))
-
 
-def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, `ids` (array of int) and `decoded` (bytes) of every row.
+def encode_decode(docs: DataFrame, path: str, pattern: str, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The columns `keep`, `ids` (array of int) and `decoded` (bytes) of every row.
 
     Equal to splitting the text by `pattern` and merging the bytes of each match by the ranks in `path`; no special
     tokens. Null and empty texts have no ids and decode to no bytes; rows with the same or no doc_id stay as they are.
-    Columns other than doc_id and text are not read.
+    Columns other than text and those kept are not read. A task holds the ids of `SLICE` texts at a time.
     """
-    tokenizer = Tokenizer(docs.sparkSession, path, pattern)
-    return docs.select("doc_id", tokenizer.round_trip(F.col("text")).alias("_coded")).select("doc_id", "_coded.*")
+    model = docs.sparkSession.sparkContext.broadcast(serialise(read_ranks(path)))
+    kept = docs.select(*keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(model.value, pattern)
+        for batch in batches:
+            for i in range(0, batch.num_rows, SLICE):
+                *columns, texts = batch.slice(i, SLICE).columns
+                ids = codec.ids.all(texts.to_pylist())
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+                decoded = pa.array([codec.decode(x.tolist()) for x in ids], pa.binary())
+                yield pa.RecordBatch.from_arrays([*columns, lists, decoded], names=[*keep, "ids", "decoded"])
+
+    schema = T.StructType([*kept.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())])
+    return docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text")).mapInArrow(run, schema)
 
 
 def digest_of_ids(ids: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
 
@@ -22,29 +22,29 @@ class ChunkIds:
     def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], most: int = 400_000):
         self.encode, self.most, self.known = encode, most, {}
 
-    def _learn(self, chunks: Iterable[str]) -> None:
-        if len(self.known) > self.most:
-            self.known.clear()
-        new = {c for c in chunks if c not in self.known}
+    def _learn(self, new: set[str]) -> None:
         # A blank beside the space that starts or follows a chunk: the pattern would look across the cut.
-        odd = {c for c in new if len(c) < 2 or c[1].isspace() or c[-1].isspace()}
+        odd = {c for c in new if c[-1].isspace() or c[0] == " " and c[1].isspace()}
         plain = list(new - odd)
         self.known.update(zip(plain, self.encode(plain)))
         self.known.update(dict.fromkeys(odd))
 
+    def all(self, texts: Sequence[str]) -> list[np.ndarray]:
+        """Ids of each text; chunks new to the table are encoded together."""
+        if len(self.known) > self.most:
+            self.known.clear()
+        cut = []
+        for text in texts:
+            start, *chunks = text.split(" ")
+            cut.append([start, *[" " + c for c in chunks]] if start else [" " + c for c in chunks])
+        self._learn(set().union(*cut).difference(self.known))
+        known, out = self.known, []
+        for text, chunks in zip(texts, cut):
+            parts = [known[c] for c in chunks]
+            if None in parts:
+                parts = self.encode([text])
+            out.append(np.frombuffer(b"".join(parts), ID))
+        return out
+
     def __call__(self, text: str) -> np.ndarray:
-        start, *chunks = text.split(" ")
-        chunks = [" " + c for c in chunks]
-        try:
-            parts = [self.known[c] for c in chunks]
-        except KeyError:
-            self._learn(chunks)
-            parts = [self.known[c] for c in chunks]
-        if None in parts or start[-1:].isspace():
-            parts = self.encode([text])
-        elif start:
-            parts = [*self.encode([start]), *parts]
-        return np.frombuffer(b"".join(parts), ID)
-
-    def all(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
-        return map(self, texts)
+        return self.all([text])[0]

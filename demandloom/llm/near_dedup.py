@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from demandloom.llm.words import Runs, WordHashes, mix, split
-from demandloom.session import cut_lineage, materialize
+from demandloom.session import materialize
 
 SHINGLE = 5
 THRESHOLD = 75  # per cent
@@ -23,8 +23,11 @@ ROWS, BANDS = 5, 48
 REGISTERS = ROWS * BANDS
 #: A pair goes on to verification unless its estimate lies this many standard deviations below the threshold.
 DEVIATIONS = 5.0
-#: Members of a bucket outside its leader's class that are compared with the whole bucket at once; beyond, it is split.
+#: Members of a bucket outside its most frequent class that are compared with the whole bucket at once; beyond, it is split.
 LOOSE = 200
+#: Members of a bucket drawn as further leaders, and levels of splitting.
+DRAWN = 6
+LEVELS = 3
 PROFILE = "doc_id long, n_shingles long, same binary, sketch binary, bands array<bigint>"
 
 _SEEDS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64))
@@ -157,62 +160,86 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """Smallest reachable id of every linked node, by alternating large-star and small-star steps.
 
-    Steps end when nothing changes, after about log n rounds; each is written to the checkpoint folder. Minima combine
+    Steps end when nothing changes, after about log n rounds; each is written to the shared folder. Minima combine
     before their shuffle and neighbours are joined back, so that no task holds a node's neighbours.
     """
-    edges = cut_lineage(links.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("m")).where("x > m").distinct())
-    while True:
+
+    def written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+        edges = materialize(edges.where("x > m").distinct(), "near-classes")
+        sums = edges.agg(F.count("*"), F.sum(F.xxhash64("x", "m").cast("decimal(38,0)")), F.sum("m")).first()
+        return edges, tuple(sums)
+
+    edges, state = written(links.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("m")))
+    before = None
+    while state != before:
         ends = edges.unionByName(edges.select(F.col("m").alias("x"), F.col("x").alias("m")))
         least = ends.groupBy("x").agg(F.least(F.min("m"), F.first("x")).alias("least"))
-        large = ends.where("m > x").join(least, "x").select(F.col("m").alias("x"), F.col("least").alias("m"))
-        large = large.where("x > m").distinct()
+        large = ends.where("m > x").join(least, "x").select(F.col("m").alias("x"), F.col("least").alias("m")).distinct()
         down = large.groupBy("x").agg(F.min("m").alias("least"))
         moved = large.join(down, "x").select(F.explode(F.array("x", "m")).alias("x"), F.col("least").alias("m"))
-        new = cut_lineage(moved.where("x > m").distinct())
-        same = new.join(edges, ["x", "m"]).count()
-        if same == new.count() == edges.count():
-            return new.select(F.col("x").alias("doc_id"), F.col("m").alias("component"))
-        edges = new
+        before = state
+        edges, state = written(moved)
+    return edges.select(F.col("x").alias("doc_id"), F.col("m").alias("component"))
+
+
+def _with_classes(keys: DataFrame, links: DataFrame) -> DataFrame:
+    """Members of the buckets that aren't all of one class yet, with their classes."""
+    classes = components(links)
+    member = keys.join(classes, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("class"))
+    mixed = member.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("key")
+    return materialize(member.join(mixed, "key"), "near-open")
 
 
 def _links(profile: DataFrame, docs: DataFrame, loose: int = LOOSE) -> DataFrame:
     """Verified links between representatives, enough of them to give every class.
 
-    Per bucket all members are compared with its smallest member. Members that this leaves outside the leader's class
-    are compared with the members of other classes: at once where they are few, else after the bucket is split by the
-    other bands of its members, which random neighbours don't share. At the last level nothing is left out.
+    Per bucket all members are compared with its smallest member, then those of other classes with a few members drawn
+    by hash, which joins a large group of copies up even where many of its pairs are below the threshold. What is still
+    outside the bucket's most frequent class is compared with all members of other classes: at once where it is little,
+    else after the bucket is split by the other bands of its members, which random neighbours don't share. At the last
+    level nothing is left out.
     """
     sketches = profile.select("doc_id", "n_shingles", "sketch")
     keys = profile.select("doc_id", F.explode("bands").alias("key"))
     texts = links = None
-    for level in range(3):
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        return materialize(_verified(_likely(pairs, sketches), texts), "near-links")
+
+    for level in range(LEVELS):
         shared = keys.groupBy("key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("_other")).where("leader < _other")
         keys = materialize(keys.join(shared.drop("_other"), "key").distinct(), "near-buckets")
         if texts is None:
             wanted = keys.select("doc_id").distinct()
-            copies = docs.dropDuplicates(["doc_id"])
-            texts = materialize(copies.join(wanted, "doc_id", "left_semi").select("doc_id", "text"), "near-texts")
-        star = keys.where("doc_id > leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
-        found = materialize(_verified(_likely(star, sketches), texts), "near-links")
+            texts = materialize(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text"), "near-texts")
+        found = confirmed(keys.where("doc_id > leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct())
         links = found if links is None else links.unionByName(found)
-        classes = components(links)
-        member = keys.join(classes, "doc_id", "left").withColumn("class", F.coalesce("component", "doc_id")).drop("component")
-        lead = classes.select(F.col("doc_id").alias("leader"), F.col("component").alias("_lc"))
-        member = member.join(lead, "leader", "left").withColumn("out", F.col("class") != F.coalesce("_lc", "leader"))
-        member = materialize(member.drop("_lc"), "near-members")
-        outside = member.where("out")
-        if outside.isEmpty():
+        member = _with_classes(keys, links)
+        if member.isEmpty():
+            break
+
+        drawn = [F.xxhash64("doc_id", F.lit(i)) for i in range(DRAWN)]
+        some = [F.struct(F.min_by("doc_id", h).alias("a"), F.min_by("class", h).alias("ac")) for h in drawn]
+        guides = member.groupBy("key").agg(*[c.alias(f"g{i}") for i, c in enumerate(some)])
+        guides = guides.select("key", F.inline(F.array_distinct(F.array(*[f"g{i}" for i in range(DRAWN)]))).alias("a", "ac"))
+        tried = member.join(guides, "key").where("class <> ac").select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b"))
+        links = links.unionByName(confirmed(tried.distinct()))
+        member = _with_classes(keys, links)
+        if member.isEmpty():
             break
-        counts = outside.groupBy("key").agg(F.count("*").alias("n"))
-        few = counts if level == 2 else counts.where(F.col("n") <= loose)
-        left = outside.join(few, "key").select("key", F.col("doc_id").alias("o"), F.col("class").alias("oc"))
-        right = member.where("doc_id <> leader").select("key", F.col("doc_id").alias("r"), F.col("class").alias("rc"), "out")
+
+        sizes = member.groupBy("key", "class").agg(F.count("*").alias("n"))
+        home = sizes.groupBy("key").agg(F.max_by("class", F.struct("n", "class")).alias("home"), (F.sum("n") - F.max("n")).alias("n"))
+        home = materialize(home, "near-homes")
+        few = home if level == LEVELS - 1 else home.where(F.col("n") <= loose)
+        placed = member.join(few, "key").withColumn("out", F.col("class") != F.col("home"))
+        left = placed.where("out").select("key", F.col("doc_id").alias("o"), F.col("class").alias("oc"))
+        right = placed.select("key", F.col("doc_id").alias("r"), F.col("class").alias("rc"), "out")
         # Two members outside meet once, in the order of their ids; a member inside meets each one outside.
         cross = left.join(right, "key").where("oc <> rc AND (NOT out OR o < r)")
-        cross = cross.select(F.least("o", "r").alias("a"), F.greatest("o", "r").alias("b")).distinct()
-        links = links.unionByName(materialize(_verified(_likely(cross, sketches), texts), "near-links"))
-        crowded = counts.where(F.col("n") > loose)
-        if level == 2 or crowded.isEmpty():
+        links = links.unionByName(confirmed(cross.select(F.least("o", "r").alias("a"), F.greatest("o", "r").alias("b")).distinct()))
+        crowded = home.where(F.col("n") > loose)
+        if level == LEVELS - 1 or crowded.isEmpty():
             break
         split_up = keys.join(crowded.select("key"), "key").join(profile.select("doc_id", "bands"), "doc_id")
         keys = split_up.select("doc_id", "key", F.explode("bands").alias("_more")).where("_more <> key")

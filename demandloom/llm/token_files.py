@@ -9,6 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -20,6 +21,8 @@ from demandloom.llm.common import before
 #: Ids of a section, the unit that shares a frequency table: 8 MB in memory.
 SECTION_IDS = 1 << 21
 LAST = (1 << 63) - 1
+#: Texts of an Arrow batch turned into strings at a time.
+SLICE = 256
 SECTIONS = "first_key long, n_ids long, doc_ids array<bigint>, lengths array<int>, frequencies binary, blocks array<binary>"
 SUMMED = "first_key long, doc_id long, inside long, n_ids long, ids_crc32 long"
 DECODED = f"{SUMMED}, ids array<int>"
@@ -34,10 +37,21 @@ class _Encoder:
         self.ids = ChunkIds(self._chunks)
 
     def _chunks(self, chunks: list[str]) -> list[bytes]:
-        """Ids of each chunk. They are encoded as one text, as pieces never cross from one chunk to the next."""
-        ids = np.array(self.model.encode_batch_fast(["".join(chunks)], add_special_tokens=False)[0].ids, ID)
-        cuts = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(c.encode()) for c in chunks]), "right")
-        return [ids[i:j].tobytes() for i, j in zip([0, *cuts], cuts)]
+        """Ids of each chunk.
+
+        Those that start with a space are encoded as one text, as pieces never reach across such a space.
+        """
+        spaced = [c for c in chunks if c.startswith(" ")]
+        others = [c for c in chunks if not c.startswith(" ")]
+        encode = self.model.encode_batch_fast
+        found = {c: np.array(e.ids, ID).tobytes() for c, e in zip(others, encode(others, add_special_tokens=False))}
+        if len(spaced) == 1:
+            found[spaced[0]] = np.array(encode(spaced, add_special_tokens=False)[0].ids, ID).tobytes()
+        elif spaced:
+            ids = np.array(encode(["".join(spaced)], add_special_tokens=False)[0].ids, ID)
+            cuts = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(c.encode()) for c in spaced]), "right")
+            found.update((c, ids[i:j].tobytes()) for c, i, j in zip(spaced, [0, *cuts], cuts))
+        return [found[c] for c in chunks]
 
 
 @lru_cache(maxsize=2)
@@ -66,26 +80,31 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, *, end_id: int = 0, s
     their only id is the end id. Rows without doc_id come last; rows that share a doc_id are ordered by text. Strings
     of special tokens in a text are ordinary text. An empty table gives no sections. Other columns are not read.
     """
+    longs, ints, bytes_ = pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.binary())
+    fields = [("first_key", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", longs), ("lengths", ints), ("frequencies", pa.binary()), ("blocks", bytes_)]
+    arrow = pa.schema(fields)
     with open(tokenizer_path, encoding="utf-8") as file:
         model = docs.sparkSession.sparkContext.broadcast(file.read())
 
-    def sections(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, held, n, end = _encoder(model.value), [], 0, np.array([end_id], ID)
         for batch in batches:
-            for key, text in zip(batch["_key"].tolist(), batch["text"]):
-                doc_id = None if key == LAST else key
-                if n >= section_ids and held[-1][0] != doc_id:
-                    yield pd.DataFrame([_section(held)])
-                    held, n = [], 0
-                ids = np.concatenate([encoder.ids(text), end])
-                held.append((doc_id, ids))
-                n += len(ids)
+            for i in range(0, batch.num_rows, SLICE):
+                keys, texts = (c.to_pylist() for c in batch.slice(i, SLICE).columns)
+                for key, found in zip(keys, encoder.ids.all(texts)):
+                    doc_id = None if key == LAST else key
+                    if n >= section_ids and held[-1][0] != doc_id:
+                        yield pa.RecordBatch.from_pylist([_section(held)], arrow)
+                        held, n = [], 0
+                    ids = np.concatenate([found, end])
+                    held.append((doc_id, ids))
+                    n += len(ids)
         if held:
-            yield pd.DataFrame([_section(held)])
+            yield pa.RecordBatch.from_pylist([_section(held)], arrow)
 
     rows = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("_key"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = rows.repartitionByRange("_key").sortWithinPartitions("_key", "text")
-    ordered.mapInPandas(sections, SECTIONS).write.parquet(path)
+    ordered.mapInArrow(sections, SECTIONS).write.parquet(path)
 
 
 def _documents(sections: DataFrame, with_ids: bool) -> DataFrame:

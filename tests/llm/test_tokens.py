@@ -41,6 +41,17 @@ def test_bpe_codec_equals_tiktoken(reference, codec):
         assert codec.decode(ids) == text.encode()
 
 
+def test_both_encoders_over_many_texts_at_once(reference, codec):
+    rng = random.Random(4)
+    letters = "abc'é,.1"
+    made = [" ".join("".join(rng.choice(letters) for _ in range(rng.randrange(1, 6))) for _ in range(rng.randrange(9))) for _ in range(800)]
+    expected = [reference.encode_ordinary(t) for t in made + ODD]
+    with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        other = token_files._Encoder(file.read())
+    assert [x.tolist() for x in codec.ids.all(made + ODD)] == expected
+    assert [x.tolist() for x in other.ids.all(made + ODD)] == expected
+
+
 def test_chunk_table_stays_bounded(codec):
     small = bpe.ChunkIds(codec._chunks, most=5)
     assert all(small(f"w{i} x{i} y{i}").tolist() == codec.ids(f"w{i} x{i} y{i}").tolist() for i in range(50)) and len(small.known) < 12
