@@ -22,8 +22,9 @@ from demandloom.session import materialize
 
 LENGTH = 50
 K = 10
-#: lo and hi are the first and last start of the windows that chose the anchor at word `at`.
-ANCHORS = "doc_id long, anchor long, extent long, at int, lo int, hi int"
+#: `place` packs the first start of the windows that chose the anchor, the anchor's distance and the last start's.
+BITS = 12
+ANCHORS = "doc_id long, anchor long, extent long, place long"
 WINDOWS = "doc_id long, anchor long, window long, start int"
 
 
@@ -36,20 +37,20 @@ def smallest(hashes: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors_of(words: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
-    """Anchors of a document: hash, hash of the extent, position, first and last window start."""
+    """Anchors of a document: hash, hash of the extent, and place."""
     runs = Runs(words)
     starts = np.arange(max(0, len(words) - k + 1))
     hashes = runs.hash(starts, starts + k)
     chosen = smallest(hashes, length - k + 1)
     if not len(chosen):
-        return (np.empty(0, np.int64),) * 5
+        return (np.empty(0, np.int64),) * 3
     first = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]]))
     last = np.concatenate([first[1:] - 1, [len(chosen) - 1]])
     at = chosen[first]
     with np.errstate(over="ignore"):
         # The place of the anchor in its extent is part of the extent.
         extent = runs.hash(first, last + length) + (at - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return hashes[at].view(np.int64), extent.view(np.int64), at, first, last
+    return hashes[at].view(np.int64), extent.view(np.int64), first << 2 * BITS | at - first << BITS | last - first
 
 
 def find_anchors(docs: DataFrame, length: int, k: int) -> DataFrame:
@@ -62,7 +63,7 @@ def find_anchors(docs: DataFrame, length: int, k: int) -> DataFrame:
                     found = anchors_of(hashes.of(split(text)), length, k)
                     keys.append(np.full(len(found[0]), key, np.int64))
                     columns.append(found)
-                names = ["anchor", "extent", "at", "lo", "hi"]
+                names = ["anchor", "extent", "place"]
                 yield pd.DataFrame({"doc_id": np.concatenate(keys)} | {n: np.concatenate(c) for n, c in zip(names, zip(*columns))})
 
     return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInPandas(run, ANCHORS)
@@ -77,7 +78,9 @@ def windows_of(seeds: DataFrame, docs: DataFrame, length: int) -> DataFrame:
             for key, text, seeds in zip(batch["doc_id"], batch["text"], batch["seeds"]):
                 words = hashes.of(split(text))
                 runs = Runs(words)
-                lo, hi, at = (np.array([s[n] for s in seeds], np.int64) for n in ("lo", "hi", "at"))
+                place = np.array([s["place"] for s in seeds], np.int64)
+                lo, low = place >> 2 * BITS, (1 << BITS) - 1
+                at, hi = lo + (place >> BITS & low), lo + (place & low)
                 fits = hi + length <= len(words)
                 lo, hi, at = lo[fits], hi[fits], at[fits]
                 counts = hi - lo + 1
@@ -93,6 +96,8 @@ def windows_of(seeds: DataFrame, docs: DataFrame, length: int) -> DataFrame:
 
 def repeats(docs: DataFrame, *, length: int = LENGTH, k: int = K) -> DataFrame:
     """Starts `lo` to `hi` of the windows of each document that also start in a document with a smaller id."""
+    if length - k >= 1 << BITS:
+        raise ValueError(f"length may exceed k by less than {1 << BITS}")
     anchors = materialize(find_anchors(docs, length, k), "anchors")
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_z")).where("_a < _z")
     seeds = materialize(anchors.join(shared.select("anchor"), "anchor"), "seeds")
@@ -100,11 +105,14 @@ def repeats(docs: DataFrame, *, length: int = LENGTH, k: int = K) -> DataFrame:
     several = extents.groupBy("anchor").agg(F.count("*").alias("n"))
     extents = materialize(extents.join(several, "anchor"), "extents")
     # Whole extents that a smaller document has as well.
-    whole = seeds.join(extents, ["anchor", "extent"]).where("first < doc_id").select("doc_id", "lo", "hi")
+    whole = seeds.join(extents, ["anchor", "extent"]).where("first < doc_id")
+    lo = F.shiftright("place", 2 * BITS)
+    hi = lo + F.col("place").bitwiseAND(F.lit((1 << BITS) - 1))
+    whole = whole.select("doc_id", lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
     # Of anchors with several extents, the first document of each extent stands for the extent.
     stand = extents.where("n > 1").select("anchor", "extent", F.col("first").alias("doc_id"))
     compared = seeds.join(stand, ["anchor", "extent", "doc_id"])
-    lists = compared.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "at", "lo", "hi")).alias("seeds"))
+    lists = compared.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "place")).alias("seeds"))
     windows = materialize(windows_of(lists, docs.select("doc_id", "text"), length), "windows")
     least = windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("_z")).where("first < _z")
     single = windows.join(least, ["anchor", "window"]).where("first < doc_id")
