@@ -5,15 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Holidays of the 2016-2017 edition.
-HOLIDAYS_2016_2017 = (
-    "2016-01-01", "2016-01-02", "2016-01-03",
-    "2016-04-16", "2016-04-17", "2016-04-18",
-    "2016-04-30", "2016-05-01", "2016-05-02",
-    "2016-09-02", "2016-09-03", "2016-09-04",
-    "2017-01-01", "2017-01-02",
-)
-
 SEASON_NAMES = ("Winter", "Spring", "Summer", "Fall")
 WEEKDAY_NAMES = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
 

@@ -22,16 +22,6 @@ SUPPLY_FACTOR = {"Constrained": 0.9, "Normal": 1.0, "Abundant": 1.05}
 EVENT_DEFAULT_PCT = {"Sale/Promotion": 20, "Local Event": 10, "Inventory Clearance": -10, "New Product Launch": 50}
 WEEKEND_FACTOR = 1.15
 
-# Yearly growth by category, and its default.
-CATEGORY_GROWTH = {
-    "Staples": 1.03,
-    "Dairy": 1.05,
-    "Beverages": 1.08,
-    "Household": 1.05,
-    "Baby": 1.07,
-}
-DEFAULT_GROWTH = 1.05
-
 
 def bin_label(value: Column, edges: Sequence[float], labels: Sequence[str], *, right_closed: bool = True) -> Column:
     """Label of the interval `value` falls in; NULL stays NULL. `right_closed` puts an edge in the lower bin."""
@@ -157,34 +147,6 @@ def scenario_factor(event_pct: Column, weather: Column, competition: Column, sup
     )
 
 
-def expected_demand(
-    base: Column, store: Column, category: Column, day: Column, temperature: Column, humidity: Column, growth_year: int
-) -> Column:
-    """Deterministic daily demand: base × store, weekday, month, quarter, holiday, weather and growth factors, at least 1."""
-    month, dom = F.month(day), F.day(day)
-    factors = {
-        "store": F.lit(0.8) + (store % 10) / 10,
-        "weekday": F.when(D.weekday0(day) >= 5, 1.3).otherwise(1.0),
-        "month": F.when(month == 12, 1.3).when(month == 2, 0.9).otherwise(1.0),
-        "quarter": F.lit(1.0) + F.lit(0.05) * (F.quarter(day) - F.lit(2.5)),
-        "holiday": F.when(((month == 1) & (dom >= 27)) | ((month == 2) & (dom <= 5)), 1.5)
-        .when((month == 9) & (dom == 2), 1.3)
-        .when((month == 12) & (dom >= 20), 1.4)
-        .otherwise(1.0),
-        "temperature": F.when((category == "Beverages") & (temperature > 28), 1.3)
-        .when((category == "Beverages") & (temperature < 18), 0.9)
-        .when((category == "Dairy") & (temperature > 28), 1.4)
-        .when((category == "Dairy") & (temperature < 18), 0.8)
-        .otherwise(1.0),
-        "rain": F.when(category.isin("Beverages", "Household") & (humidity > 80), 1.2).otherwise(1.0),
-        "growth": F.when(F.year(day) == growth_year, lookup(category, CATEGORY_GROWTH, DEFAULT_GROWTH)).otherwise(1.0),
-    }
-    demand = base
-    for factor in factors.values():
-        demand = demand * factor
-    return F.greatest(F.lit(1.0), F.bround(demand))
-
-
 # Name fragments that decide a feature's type, tried in this order.
 FEATURE_TYPE_RULES = (
     ("date_time", ("day_of_week", "month", "year", "is_weekend", "is_holiday")),

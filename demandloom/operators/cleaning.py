@@ -162,44 +162,3 @@ def repair_outliers(
 def repairable_columns(columns: Sequence[str], sparse: Sequence[str] = ("snowfall", "preciptotal"), indicators: Sequence[str] = ()) -> list[str]:
     """Dense measures only: sparse ones and indicators keep their rare values."""
     return [c for c in columns if c not in set(sparse) | set(indicators)]
-
-
-def hash_rank(df: DataFrame, salt: str, keys: Sequence[str], name: str) -> DataFrame:
-    """Rank rows 1…n by the hash of a unique key, the same under any partitioning.
-
-    The leading hash digits give 65,536 even bins; a row's rank is its place in the bin plus the bin's offset, so no
-    task orders more than one bin.
-    """
-    digest = F.md5(F.concat_ws("|", F.lit(salt), *[F.col(k).cast("string") for k in keys]))
-    marked = df.withColumn("_h", digest).withColumn("_b", F.substring("_h", 1, 4))
-    sizes = marked.groupBy("_b").count()
-    # At most 65,536 rows.
-    offsets = sizes.select("_b", (F.sum("count").over(W.orderBy("_b")) - F.col("count")).alias("_before"))
-    place = F.row_number().over(W.partitionBy("_b").orderBy("_h"))
-    return (
-        marked.withColumn("_place", place)
-        .join(offsets, "_b")
-        .withColumn(name, F.col("_before") + F.col("_place"))
-        .drop("_h", "_b", "_place", "_before")
-    )
-
-
-def inject_faults(
-    df: DataFrame, outlier_pct: float, null_pct: float, *, value: str = "units", keys: Sequence[str] = (*PAIR, "date"),
-    seed: int = 2025, scale: float = 3.0,
-) -> DataFrame:
-    """Exactly ⌊n·p/100⌋ rows scaled and ⌊n·q/100⌋ rows NULL, chosen by seeded key hashes."""
-    n = df.select(F.count("*")).scalar()
-    ranked = hash_rank(hash_rank(df, f"outlier{seed}", keys, "_o"), f"null{seed}", keys, "_m")
-    dirty = (
-        F.when(F.col("_m") <= F.floor(n * null_pct / 100), F.lit(None).cast("double"))
-        .when(F.col("_o") <= F.floor(n * outlier_pct / 100), F.col(value) * scale)
-        .otherwise(F.col(value))
-    )
-    return ranked.withColumn(value, dirty).select(*df.columns)
-
-
-def carried(store: str = "store_nbr", item: str = "item_nbr", pct: int = 80) -> Column:
-    """Whether a store carries an item: a hash of the pair keeps about `pct` percent."""
-    digest = F.md5(F.concat_ws("|", F.col(store).cast("string"), F.col(item).cast("string")))
-    return F.conv(F.substring(digest, 1, 4), 16, 10).cast("int") % 100 < pct

@@ -90,13 +90,6 @@ def panel_spine(pairs: DataFrame, start, end, keys: Sequence[str] = PAIR) -> Dat
     return pairs.select(*keys, F.explode(F.sequence(start, end)).alias("date"))
 
 
-def full_assortment(stores: DataFrame, items: DataFrame) -> DataFrame:
-    """Every store with every item: item numbers are spelled out as a range and matched to the catalogue by key."""
-    span = items.select(F.struct(F.min("item_nbr").alias("a"), F.max("item_nbr").alias("b"))).scalar()
-    offered = stores.select("store_nbr", F.explode(F.sequence(span["a"], span["b"])).alias("item_nbr"))
-    return offered.join(items, "item_nbr", "left_semi")
-
-
 def densify(df: DataFrame, value: str = "units", keys: Sequence[str] = PAIR) -> DataFrame:
     """The panel on every day between its first and last, zero where nothing was sold."""
     span = df.select(F.struct(F.min("date").alias("a"), F.max("date").alias("b"))).scalar()

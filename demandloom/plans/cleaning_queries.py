@@ -188,28 +188,3 @@ def _(spark, d):
     dense = C.repairable_columns([c for c in weather.columns if c not in ("station_nbr", "date")])
     names = F.explode(F.array(*map(F.lit, dense)))
     return weather.agg(F.count("*").alias("n")).select(names.alias("column"), "n")
-
-
-@query(
-    "out4_inject_faults",
-    """WITH h AS (SELECT date, store_nbr, item_nbr, units, count(*) OVER () AS n,
-         row_number() OVER (ORDER BY md5(concat_ws('|', 'outlier2025', store_nbr, item_nbr, date))) AS o,
-         row_number() OVER (ORDER BY md5(concat_ws('|', 'null2025', store_nbr, item_nbr, date))) AS m FROM sales)
-       SELECT date, store_nbr, item_nbr, CASE WHEN m <= floor(n * 1.0 / 100) THEN NULL
-              WHEN o <= floor(n * 0.5 / 100) THEN units * 3 ELSE units END AS units FROM h""",
-)
-def _(spark, d):
-    panel = panels.sales(spark, d, province=False).drop("category")
-    return C.inject_faults(panel, 0.5, 1.0)
-
-
-@query(
-    "out5_assortment",
-    """WITH stores AS (SELECT DISTINCT store_nbr FROM sales), items AS (SELECT DISTINCT item_nbr FROM sales)
-       SELECT store_nbr, item_nbr FROM stores, items
-       WHERE CAST('0x' || substr(md5(concat_ws('|', store_nbr, item_nbr)), 1, 4) AS INT) % 100 < 80""",
-)
-def _(spark, d):
-    panel = panels.sales(spark, d, province=False)
-    offered = J.full_assortment(panel.select("store_nbr").distinct(), panel.select("item_nbr").distinct())
-    return offered.where(C.carried())

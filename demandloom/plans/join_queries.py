@@ -180,22 +180,6 @@ def _(spark, d):
     return J.event_flag(weather, S.storm_days(weather), keys=()).select("station_nbr", "date", "event")
 
 
-@query(
-    "jn14_panel_spine",
-    """WITH stores AS (SELECT DISTINCT store_nbr FROM sales), items AS (SELECT DISTINCT item_nbr FROM sales),
-            months AS (SELECT DISTINCT CAST(date_trunc('month', date) AS DATE) AS date FROM sales)
-       SELECT store_nbr, item_nbr, date FROM stores, items, months""",
-)
-def _(spark, d):
-    """Every store with every item and month."""
-    panel = _slim(spark, d)
-    everything = J.full_assortment(panel.select("store_nbr").distinct(), panel.select("item_nbr").distinct())
-    month = F.trunc("date", "month")
-    span = panel.select(F.struct(F.min(month).alias("a"), F.max(month).alias("b"))).scalar()
-    step = F.make_interval(months=F.lit(1))
-    return everything.select(*PAIR, F.explode(F.sequence(span["a"], span["b"], step)).alias("date"))
-
-
 @query(
     "jn14_dense_panel",
     """WITH span AS (SELECT CAST(unnest(generate_series(CAST((SELECT min(date) FROM sales) AS TIMESTAMP),

@@ -330,30 +330,3 @@ def _(spark, d):
     panel = panels.sales(spark, d, province=False).select("date", *PAIR).withColumns(_scenario_columns())
     factor = X.scenario_factor(F.col("event_pct"), F.col("weather"), F.col("competition"), F.col("supply"), F.col("date"))
     return rounded(panel.select("date", *PAIR, factor.alias("factor")))
-
-
-@query(
-    "mth12_expected_demand",
-    f"""SELECT s.date, store_nbr, item_nbr, greatest(1.0, round_even({'''
-          (10 + item_nbr) * (0.8::DOUBLE + (store_nbr % 10) / 10.0::DOUBLE)
-          * CASE WHEN isodow(s.date) >= 6 THEN 1.3::DOUBLE ELSE 1 END
-          * CASE month(s.date) WHEN 12 THEN 1.3::DOUBLE WHEN 2 THEN 0.9::DOUBLE ELSE 1 END
-          * (1 + 0.05::DOUBLE * (quarter(s.date) - 2.5::DOUBLE))
-          * CASE WHEN (month(s.date) = 1 AND day(s.date) >= 27) OR (month(s.date) = 2 AND day(s.date) <= 5) THEN 1.5::DOUBLE
-                 WHEN month(s.date) = 9 AND day(s.date) = 2 THEN 1.3::DOUBLE
-                 WHEN month(s.date) = 12 AND day(s.date) >= 20 THEN 1.4::DOUBLE ELSE 1 END
-          * CASE WHEN category = 'Beverages' AND temperature > 28 THEN 1.3::DOUBLE
-                 WHEN category = 'Beverages' AND temperature < 18 THEN 0.9::DOUBLE
-                 WHEN category = 'Dairy' AND temperature > 28 THEN 1.4::DOUBLE
-                 WHEN category = 'Dairy' AND temperature < 18 THEN 0.8::DOUBLE ELSE 1 END
-          * CASE WHEN category IN ('Beverages', 'Household') AND humidity > 80 THEN 1.2::DOUBLE ELSE 1 END
-          * CASE WHEN year(s.date) = 1998 THEN CASE category WHEN 'Staples' THEN 1.03::DOUBLE WHEN 'Dairy' THEN 1.05::DOUBLE
-                 WHEN 'Beverages' THEN 1.08::DOUBLE WHEN 'Household' THEN 1.05::DOUBLE ELSE 1.07::DOUBLE END ELSE 1 END'''}, 0)) AS demand
-        FROM sales s LEFT JOIN climate c ON s.date = c.date AND s.province = c.province""",
-)
-def _(spark, d):
-    joined = J.with_climate(panels.sales(spark, d), panels.climate(spark, d))
-    demand = X.expected_demand(
-        F.col("item_nbr") + F.lit(10), F.col("store_nbr"), F.col("category"), F.col("date"), F.col("temperature"), F.col("humidity"), 1998
-    )
-    return joined.select("date", *PAIR, demand.alias("demand"))

@@ -16,56 +16,9 @@ def _struct(**fields: T.DataType) -> T.StructType:
 
 
 SALES = _struct(date=DATE, store_nbr=INT, item_nbr=INT, units=DOUBLE)
-SALES_REQUEST = _struct(date=DATE, store_nbr=INT, item_nbr=INT)
-SALES_NAMED = _struct(
-    date=DATE,
-    province=STRING,
-    store_id=INT,
-    store_name=STRING,
-    category=STRING,
-    item_id=INT,
-    item_name=STRING,
-    sales=DOUBLE,
-)
-WEATHER_RAW = _struct(
-    station_nbr=INT,
-    date=DATE,
-    tmax=STRING,
-    tmin=STRING,
-    tavg=STRING,
-    depart=STRING,
-    dewpoint=STRING,
-    wetbulb=STRING,
-    heat=STRING,
-    cool=STRING,
-    sunrise=STRING,
-    sunset=STRING,
-    codesum=STRING,
-    snowfall=STRING,
-    preciptotal=STRING,
-    stnpressure=STRING,
-    sealevel=STRING,
-    resultspeed=STRING,
-    resultdir=STRING,
-    avgspeed=STRING,
-)
-CLIMATE = _struct(date=DATE, province=STRING, temperature=DOUBLE, humidity=DOUBLE, season=STRING)
 STORE_KEY = _struct(store_nbr=INT, station_nbr=INT)
-CALENDAR = _struct(date=DATE, holiday=INT, blackfriday=INT, isbf=INT)
 SUBMISSION = _struct(id=STRING, units=DOUBLE)
 FALLBACK_SALES = _struct(date=DATE, store=STRING, sales=DOUBLE)
-SCENARIO = _struct(
-    scenario_id=INT,
-    date=DATE,
-    is_holiday=INT,
-    temperature=DOUBLE,
-    humidity=DOUBLE,
-    special_event=STRING,
-    event_pct=DOUBLE,
-    weather_condition=STRING,
-    competition_level=STRING,
-    supply_chain=STRING,
-)
 FEATURE_STATS = _struct(
     model_version=STRING,
     last_trained=STRING,
@@ -85,8 +38,9 @@ ITEM_NAMES = ("item_id", "item_nbr", "item_name", "item")
 
 # The 28 weather codes.
 WEATHER_CODES = (
-    "BCFG BLDU BLSN BR DU DZ FG FG+ FU FZDZ FZFG FZRA GR GS HZ MIFG PL PRFG RA SG SN SQ TS TSRA TSSN UP VCFG VCTS"
-).split()
+    "BCFG", "BLDU", "BLSN", "BR", "DU", "DZ", "FG", "FG+", "FU", "FZDZ", "FZFG", "FZRA", "GR", "GS",
+    "HZ", "MIFG", "PL", "PRFG", "RA", "SG", "SN", "SQ", "TS", "TSRA", "TSSN", "UP", "VCFG", "VCTS",
+)
 
 
 def resolve_column(df: DataFrame, candidates: Sequence[str], *, required: bool = True) -> str | None:

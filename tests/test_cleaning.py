@@ -81,17 +81,6 @@ def test_repair_keeps_earlier_gaps_open_on_request(spark):
     assert get(C.repair_outliers(df, ["tmax"], fill_missing=False))[2] is None
 
 
-def test_fault_counts_are_exact_and_independent_of_partitioning(spark):
-    panel = series(spark, [float(i + 1) for i in range(400)])
-    dirty = C.inject_faults(panel, 5.0, 10.0)
-    found = {r["date"]: r["units"] for r in dirty.collect()}
-    clean = {r["date"]: r["units"] for r in panel.collect()}
-    assert sum(v is None for v in found.values()) == 40
-    assert sum(v is not None and v == 3 * clean[k] for k, v in found.items()) <= 20
-    again = {r["date"]: r["units"] for r in C.inject_faults(panel.repartition(7), 5.0, 10.0).collect()}
-    assert again == found
-
-
 @pytest.mark.parametrize("shape", ["one_value", "hot_value", "spread", "short"])
 def test_exact_quantiles_equal_numpy(spark, shape):
     rng = np.random.default_rng(3)
