@@ -49,7 +49,8 @@ def sampled_contributions(
 
     Each row meets one background row per permutation, matched by slot number. Along a permutation the features switch
     one by one from the background's value to the row's; the change of the prediction belongs to the feature switched.
-    The contributions of a row sum to its prediction minus the mean prediction of its background rows.
+    A row's sampled background has a mean of its own; what separates it from the mean prediction of the whole background
+    is spread over the features, so that contributions sum to the prediction minus that common mean.
     """
     slots = background.select(F.struct(*[F.col(f).cast("double").alias(f) for f in features]).alias("_bg"), _digest(F.lit(seed), F.col(key)).alias("_h"))
     # The background is a sample of bounded size, numbered in one small window.
@@ -83,7 +84,12 @@ def sampled_contributions(
     change = F.col(output) - F.lag(output).over(path)
     moved = model.transform(mixed).withColumn("_d", change).where(F.col("feature").isNotNull())
     value = F.create_map(*[part for f in features for part in (F.lit(f), F.col("_x").getField(f))])[F.col("feature")]
-    return moved.groupBy(key, "feature").agg(F.first(value).alias("value"), F.avg("_d").alias("phi"))
+    phi = moved.groupBy(key, "feature").agg(F.first(value).alias("value"), F.avg("_d").alias("phi"))
+    mean = model.transform(background).select(F.avg(output)).scalar()
+    reached = model.transform(rows).select(key, F.col(output).alias("_yhat"))
+    rest = phi.groupBy(key).agg(F.sum("phi").alias("_sum")).join(reached, key)
+    rest = rest.select(key, ((F.col("_yhat") - mean - F.col("_sum")) / len(features)).alias("_rest"))
+    return phi.join(rest, key).select(key, "feature", "value", (F.col("phi") + F.col("_rest")).alias("phi"))
 
 
 def global_importance(phi: DataFrame) -> DataFrame:

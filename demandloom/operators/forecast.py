@@ -62,7 +62,7 @@ def predict_seasonal(
 
 
 def trend_fill(
-    df: DataFrame, columns: Sequence[str], key: str = "station_nbr", *, date: str = "date", skip: Sequence[int] = (5,), least: int = 30
+    df: DataFrame, columns: Sequence[str], key: str = "station_nbr", *, date: str = "date", skip: Sequence[int] = (), least: int = 30
 ) -> DataFrame:
     """Missing readings take a seasonal fit of their own station and column; skipped stations and thin columns stay open.
 
@@ -199,11 +199,14 @@ def cross_validate(df: DataFrame, make, folds: int = 5, fold: str = "fold", labe
 
 
 def search(train: DataFrame, valid: DataFrame, grid: Sequence[dict], objective: str = "wape", label: str = "units") -> list[tuple[float, dict]]:
-    """Grid trials scored on the validation part, best first. Each trial is a distributed fit and one aggregate row."""
+    """Grid trials scored on the validation part, which also stops their boosting early, best first.
+
+    Each trial is a distributed fit and one aggregate row.
+    """
     measure = {"wape": M.wape, "rmse": M.rmse}[objective](label, "yhat")
-    trials = []
+    both, trials = train.withColumn("_stop", F.lit(False)).unionByName(valid.withColumn("_stop", F.lit(True))), []
     for options in grid:
-        predicted = boosted(label=label, **options).fit(train).transform(valid)
+        predicted = boosted(label=label, validation="_stop", **options).fit(both).transform(valid)
         trials.append((predicted.agg(measure.alias("v")).first()["v"], options))
     return sorted(trials, key=lambda t: t[0])
 

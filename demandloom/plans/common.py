@@ -18,3 +18,11 @@ def rounded(df: DataFrame, columns: Sequence[str] | None = None, digits: int = 6
 def r6(expression: str, name: str) -> str:
     """The SQL counterpart of `rounded`."""
     return f"round({expression}, 6) + 0 AS {name}"
+
+
+def levels(df: DataFrame, column: str, most: int = 1000) -> list:
+    """The distinct values of a column that become columns of a matrix, in order; an error beyond `most` of them."""
+    found = sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(most + 1).collect())
+    if len(found) > most:
+        raise ValueError(f"more than {most} values of {column}: use the long form")
+    return found

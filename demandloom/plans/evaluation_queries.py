@@ -8,7 +8,7 @@ from demandloom.operators import evaluation as E
 from demandloom.operators import sets as S
 from demandloom.operators import windows as Wn
 from demandloom.plans.aggregate_queries import ITEMS
-from demandloom.plans.common import r6, rounded
+from demandloom.plans.common import levels, r6, rounded
 from demandloom.plans.registry import query
 from demandloom.sources import panels
 
@@ -137,7 +137,7 @@ def _(spark, d):
 
 
 def _report(spark, d):
-    return E.forecast_report(panels.predictions(spark, d), ITEMS)
+    return E.forecast_report(panels.predictions(spark, d), levels(panels.items(spark, d), "item_nbr"))
 
 
 @query("ev10_report_scores", f"WITH {_TOP} SELECT store_nbr, item_nbr, {_SCORES} FROM top GROUP BY 1, 2")

@@ -14,7 +14,7 @@ from demandloom.operators import sets as S
 from demandloom.plans.common import r6, rounded
 from demandloom.plans.least_squares_sql import dot_sql, least_squares, seasonal_sql
 from demandloom.plans.registry import query
-from demandloom.session import cut_lineage, scratch_path
+from demandloom.session import materialize, scratch_path
 from demandloom.sources import panels
 
 _TERMS = seasonal_sql()
@@ -92,7 +92,7 @@ def _(spark, d):
     return Fc.future_frame(panels.sales(spark, d, province=False), 60)
 
 
-_LOG_MODELS = """(SELECT store_nbr, item_nbr, avg(ln(1 + units)) AS yhat FROM sales WHERE date < DATE '1996-01-01' GROUP BY 1, 2 HAVING count(*) >= 20)"""
+_LOG_MODELS = """(SELECT store_nbr, item_nbr, avg(ln(1 + units)) AS yhat FROM sales WHERE date < DATE '2001-01-01' GROUP BY 1, 2 HAVING count(*) >= 20)"""
 
 
 @query(
@@ -102,9 +102,9 @@ _LOG_MODELS = """(SELECT store_nbr, item_nbr, avg(ln(1 + units)) AS yhat FROM sa
         ON s.store_nbr = m.store_nbr AND s.item_nbr = m.item_nbr WHERE s.date >= DATE '2001-01-01'""",
 )
 def _(spark, d):
-    """A model of each series' mean log demand in the first year; series with fewer than 20 rows get none."""
+    """A model of each series' mean log demand before the test period; series with fewer than 20 rows get none."""
     panel = panels.sales(spark, d, province=False)
-    early = panel.where(F.col("date") < F.lit("1996-01-01").cast("date"))
+    early = panel.where(F.col("date") < F.lit(panels.TEST_START).cast("date"))
     models = early.groupBy(*PAIR).agg(F.avg(X.log_units(F.col("units"))).alias("yhat"), F.count("*").alias("_n"))
     requests = panel.where(F.col("date") >= F.lit(panels.TEST_START).cast("date")).select("date", *PAIR)
     return rounded(Fc.scored_requests(requests, models.where("_n >= 20").drop("_n")))
@@ -172,19 +172,20 @@ def _(spark, d):
 def _(spark, d):
     """Missing readings from the station's own trend and seasons; station 5 is skipped."""
     weather = panels.weather_numeric(spark, d).drop("preciptotal")
-    return rounded(Fc.trend_fill(weather, ["tmax", "tmin"]), None, 4)
+    return rounded(Fc.trend_fill(weather, ["tmax", "tmin"], skip=[5]), None, 4)
 
 
 def _features(spark, d):
+    """The model table, written once: splits and boosting passes read pruned parts of it."""
     panel = Fc.engineered(panels.sales(spark, d), panels.climate(spark, d))
-    return S.hold_out_flags(panel, panels.VALID_START, panels.TEST_START)
+    return materialize(S.hold_out_flags(panel, panels.VALID_START, panels.TEST_START), "features")
 
 
 @query("fc4_boosted_test_scores")
 def _(spark, d):
     """Boosted trees over all series, scored on the hold-out by category."""
     train, valid, test = S.three_way_split(_features(spark, d))
-    model = Fc.boosted(rounds=10).fit(train.unionByName(valid))
+    model = Fc.boosted().fit(train.unionByName(valid))
     return E.score(model.transform(test), ["category"], y="units")
 
 
@@ -192,9 +193,8 @@ def _(spark, d):
 def _(spark, d):
     """Mean scores of an expanding five-fold split by day."""
     train, valid, _ = S.three_way_split(_features(spark, d))
-    # Five fits read the table: computed once and kept in the shared folder, so a lost executor costs no rebuild.
-    folded = cut_lineage(S.date_folds(train.unionByName(valid)))
-    out = Fc.cross_validate(folded, lambda: Fc.boosted(rounds=3, depth=4))
+    folded = materialize(S.date_folds(train.unionByName(valid)), "folds")
+    out = Fc.cross_validate(folded, Fc.boosted)
     return E.fold_summary(out, y="units")
 
 
@@ -205,15 +205,15 @@ def _(spark, d):
     train, _, test = S.three_way_split(flagged)
     modelled = Fc.long_enough(train)
     fitting = flagged.where(~F.col("is_test")).join(modelled, list(PAIR), "left_semi")
-    model = Fc.boosted(rounds=10, validation="is_valid").fit(fitting)
+    model = Fc.boosted(validation="is_valid").fit(fitting)
     return E.two_level_summary(Fc.score_with_skips(model, test, modelled), y="units")
 
 
 @query("fc6_grid_search")
 def _(spark, d):
     """Trials ranked by WAPE on the validation part."""
-    train, valid, _ = S.three_way_split(cut_lineage(_features(spark, d)))
-    grid = [{"depth": depth, "rate": rate, "rounds": 3} for depth in (3, 5) for rate in (0.1, 0.3)]
+    train, valid, _ = S.three_way_split(_features(spark, d))
+    grid = [{"depth": depth, "rate": rate} for depth in (2, 3, 4, 5) for rate in (0.05, 0.1, 0.15, 0.2, 0.3)]
     return Fc.trials_table(spark, Fc.search(train, valid, grid))
 
 
@@ -250,7 +250,7 @@ def _(spark, d):
     """The newest row of every series under three scenarios, scored and adjusted."""
     features = _features(spark, d)
     train, _, _ = S.three_way_split(features)
-    model = Fc.boosted(rounds=5).fit(train)
+    model = Fc.boosted().fit(train)
     return Fc.what_if(model, A.latest_rows(features, 1), SCENARIOS)
 
 

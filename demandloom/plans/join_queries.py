@@ -198,14 +198,14 @@ def _(spark, d):
 @query(
     "jn15_fallback_zero",
     """SELECT s.date, s.store_nbr, s.item_nbr, coalesce(m.mean, 0.0) > 0 AS known, count(*) OVER () AS n FROM sales s
-       LEFT JOIN (SELECT store_nbr, item_nbr, avg(units) AS mean FROM sales WHERE date < DATE '1996-01-01' GROUP BY 1, 2
+       LEFT JOIN (SELECT store_nbr, item_nbr, avg(units) AS mean FROM sales WHERE date < DATE '2001-01-01' GROUP BY 1, 2
                   HAVING count(*) >= 20) m ON s.store_nbr = m.store_nbr AND s.item_nbr = m.item_nbr""",
 )
 def _(spark, d):
     from demandloom.operators import forecast as Fc
 
     panel = _slim(spark, d)
-    early = panel.where(F.col("date") < F.lit("1996-01-01").cast("date"))
+    early = panel.where(F.col("date") < F.lit(panels.TEST_START).cast("date"))
     models = early.groupBy(*PAIR).agg(F.avg("units").alias("yhat"), F.count("*").alias("_n")).where("_n >= 20").drop("_n")
     total = panel.select(F.count("*")).scalar()
     return Fc.with_fallback(panel, models).select("date", *PAIR, (F.col("yhat") > 0).alias("known"), total.alias("n"))
@@ -214,11 +214,11 @@ def _(spark, d):
 @query(
     "jn15_pairs_without_model",
     """SELECT DISTINCT store_nbr, item_nbr FROM sales EXCEPT SELECT store_nbr, item_nbr FROM sales
-       WHERE date < DATE '1996-01-01' GROUP BY 1, 2 HAVING count(*) >= 20""",
+       WHERE date < DATE '2001-01-01' GROUP BY 1, 2 HAVING count(*) >= 20""",
 )
 def _(spark, d):
     panel = _slim(spark, d)
-    early = panel.where(F.col("date") < F.lit("1996-01-01").cast("date"))
+    early = panel.where(F.col("date") < F.lit(panels.TEST_START).cast("date"))
     models = early.groupBy(*PAIR).agg(F.count("*").alias("_n")).where("_n >= 20")
     return S.distinct_pairs(panel).join(models, list(PAIR), "left_anti")
 

@@ -123,7 +123,7 @@ def _tree_panel(spark, d):
 
 @query("fs5_forest_importances")
 def _(spark, d):
-    return Sc.importances(_tree_panel(spark, d), _TREE_FEATURES, "units", trees=20)
+    return Sc.importances(_tree_panel(spark, d), _TREE_FEATURES, "units", trees=250)
 
 
 @query("fs5_single_tree_importances")

@@ -7,8 +7,10 @@ from demandloom.functions import scalars as X
 from demandloom.operators import aggregates as A
 from demandloom.operators import joins as J
 from demandloom.operators import sets as S
+from demandloom.plans.common import levels
 from demandloom.plans.registry import query
-from demandloom.sources import panels
+from demandloom.session import scratch_path
+from demandloom.sources import files, panels
 
 
 def _requests(panel):
@@ -21,7 +23,12 @@ def _requests(panel):
 )
 def _(spark, d):
     panel = panels.sales(spark, d, province=False)
-    years = [panel.where(F.year("date") == y) for y in range(1995, 2002)]
+    # One table per year, written once by month; each member of the union reads its own folder.
+    path = scratch_path(spark, "yearly")
+    yearly = panel.withColumn("year", F.year("date"))
+    files.write_table(yearly.repartition("year", F.month("date")), path, partition_by=["year"])
+    table = files.read_table(spark, path)
+    years = [table.where(F.col("year") == y).drop("year") for y in levels(table, "year")]
     return S.union_all(years).groupBy(F.year("date").alias("year")).agg(F.count("*").alias("n"), F.sum("units").alias("units"))
 
 

@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 
 from demandloom import schema
 from demandloom.functions import scalars as X
+from demandloom.plans.common import levels
 from demandloom.plans.registry import query
-from demandloom.session import scratch_path
+from demandloom.session import materialize, scratch_path
 from demandloom.sources import files, panels
 
 
@@ -82,12 +83,12 @@ def _(spark, d):
 
 @query(
     "src2_two_files_with_dates",
-    "SELECT date, store_nbr, item_nbr, units FROM sales_dirty WHERE year(date) IN (1997, 1998)",
+    "SELECT date, store_nbr, item_nbr, units FROM sales_dirty",
 )
 def _(spark, d):
-    """Two yearly files with dotted dates, scanned together."""
-    panel, paths = _panel(spark, d), []
-    for year in (1997, 1998):
+    """One file set per year with dotted dates, scanned together."""
+    panel, paths = materialize(_panel(spark, d), "panel"), []
+    for year in levels(panel.select(F.year("date").alias("year")), "year"):
         paths.append(scratch_path(spark, "tables"))
         rows = panel.where(F.year("date") == year)
         files.write_csv(rows.withColumn("date", F.date_format("date", "yyyy.MM.dd")), paths[-1])

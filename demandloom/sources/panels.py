@@ -46,6 +46,11 @@ def provinces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nation.join(region, nation.n_regionkey == region.r_regionkey).select("store_nbr", "province")
 
 
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue: one row per item number."""
+    return table(spark, sf_dir, "part").select(F.substring("p_brand", 7, 10).cast("int").alias("item_nbr")).distinct()
+
+
 def sales(spark: SparkSession, sf_dir: str, *, province: bool = True) -> DataFrame:
     """Units by day, store and item, with category and (on request) province.
 

@@ -160,3 +160,8 @@ def test_sampled_contributions_sum_to_the_prediction_gap(spark):
         assert r["value"] == pytest.approx(x)
         assert r["phi"] == pytest.approx(slopes[r["feature"]] * (x - origin[r["feature"]]), abs=1e-6)
     assert phi.count() == 180
+    # With a background of many rows the sums still meet the prediction less the common mean.
+    mean = model.transform(df).agg({"yhat": "avg"}).first()[0]
+    sums = {r["row_id"]: r["s"] for r in At.sampled_contributions(model, df, df, list("abc")).groupBy("row_id").agg(F.sum("phi").alias("s")).collect()}
+    for r in model.transform(df).collect():
+        assert sums[r["row_id"]] == pytest.approx(r["yhat"] - mean, abs=1e-9)
