@@ -63,7 +63,8 @@ def solve_normal(xx: np.ndarray, xy: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def condition_number(xx: np.ndarray) -> np.ndarray:
-    """Condition number of the design matrix behind each Gram matrix."""
+    """Condition number of the design matrix behind each Gram matrix; NaN where the design is singular to rounding."""
     values = np.linalg.eigvalsh(xx)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return np.sqrt(np.abs(values[:, -1]) / np.abs(values[:, 0]))
+    least, most = values[:, 0], values[:, -1]
+    regular = least > most * xx.shape[-1] * np.finfo(float).eps
+    return np.sqrt(np.where(regular, most / np.where(regular, least, 1.0), np.nan))

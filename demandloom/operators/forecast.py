@@ -23,9 +23,11 @@ from demandloom.sources.files import submission_rows
 ORIGIN = "1995-01-01"
 
 
-def seasonal_terms(date: str = "date", *, yearly: int = 3, weekly: bool = True, regressors: Sequence[str] = ()) -> dict[str, Column]:
-    """Linear trend in years, weekday effects against Monday, yearly sine and cosine pairs, further columns."""
-    years = F.datediff(F.col(date), F.lit(ORIGIN).cast("date")) / F.lit(365.25)
+def seasonal_terms(
+    date: str = "date", *, yearly: int = 3, weekly: bool = True, regressors: Sequence[str] = (), origin: str = ORIGIN
+) -> dict[str, Column]:
+    """Linear trend in years since `origin`, weekday effects against Monday, yearly sine and cosine pairs, further columns."""
+    years = F.datediff(F.col(date), F.lit(origin).cast("date")) / F.lit(365.25)
     terms: dict[str, Column] = {"trend": years}
     if weekly:
         terms |= {f"weekday_{k}": (D.weekday0(date) == k).cast("double") for k in range(1, 7)}

@@ -107,7 +107,7 @@ def storm_days(df: DataFrame, rain: float = 1.0, snow: float = 2.0) -> DataFrame
 def position_folds(df: DataFrame, folds: int = 5, order: Sequence[str] = ("date", "store_nbr", "item_nbr")) -> DataFrame:
     """Expanding-window folds by row position: `position` (0-based) and `fold`, NULL for the first, train-only block.
 
-    The last `folds` blocks of ⌊n/(folds+1)⌋ rows are the validation parts; fold k trains on every row before its block.
+    Fewer rows than folds + 1 make no block and no fold. The last `folds` blocks of ⌊n/(folds+1)⌋ rows are the validation parts; fold k trains on every row before its block.
     Positions come from counts per day and per day and store plus a rank inside one store's day, so no task orders
     the whole table.
     """
@@ -130,12 +130,15 @@ def position_folds(df: DataFrame, folds: int = 5, order: Sequence[str] = ("date"
     placed = placed.withColumn("position", F.col("_start") + F.col("_in")).drop("_in", "_start")
     head = n - F.lit(folds) * block
     return placed.withColumn(
-        "fold", F.when(F.col("position") >= head, F.floor((F.col("position") - head) / block).cast("int"))
+        "fold", F.when(F.col("position") >= head, F.floor(F.try_divide(F.col("position") - head, block)).cast("int"))
     )
 
 
 def date_folds(df: DataFrame, folds: int = 5, date: str = "date") -> DataFrame:
-    """The same by distinct day, so that a day is never split between train and validation."""
+    """The same by distinct day, so that a day is never split between train and validation.
+
+    Fewer days than folds + 1 make no fold.
+    """
     from pyspark.sql import Window as W
 
     days = df.select(date).distinct().withColumn("position", F.row_number().over(W.orderBy(date)) - 1)  # a calendar
@@ -143,6 +146,6 @@ def date_folds(df: DataFrame, folds: int = 5, date: str = "date") -> DataFrame:
     block = F.floor(n / (folds + 1))
     head = n - F.lit(folds) * block
     numbered = days.withColumn(
-        "fold", F.when(F.col("position") >= head, F.floor((F.col("position") - head) / block).cast("int"))
+        "fold", F.when(F.col("position") >= head, F.floor(F.try_divide(F.col("position") - head, block)).cast("int"))
     )
     return df.join(numbered.drop("position"), date)

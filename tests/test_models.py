@@ -165,3 +165,11 @@ def test_sampled_contributions_sum_to_the_prediction_gap(spark):
     sums = {r["row_id"]: r["s"] for r in At.sampled_contributions(model, df, df, list("abc")).groupBy("row_id").agg(F.sum("phi").alias("s")).collect()}
     for r in model.transform(df).collect():
         assert sums[r["row_id"]] == pytest.approx(r["yhat"] - mean, abs=1e-9)
+
+
+def test_condition_number_of_a_collinear_design_is_undefined():
+    x = np.random.default_rng(4).normal(size=(50, 2))
+    good = np.column_stack([np.ones(50), x])
+    bad = np.column_stack([good, x[:, 0] + x[:, 1]])
+    assert stats.condition_number((good.T @ good)[None])[0] == pytest.approx(np.linalg.cond(good))
+    assert np.isnan(stats.condition_number((bad.T @ bad)[None])[0])
