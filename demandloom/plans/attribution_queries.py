@@ -6,21 +6,34 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
 
 from demandloom.operators import attribution as At
+from demandloom.operators import gram as G
 from demandloom.operators import screening as Sc
 from demandloom.plans.common import r6, rounded
 from demandloom.plans.registry import query
+from demandloom.session import materialize
 from demandloom.sources import panels
 
-_FEATURES = tuple(panels.LINEAR_TERMS)
-_MODEL = " + ".join(f"{b} * {c}" for c, b in panels.LINEAR_TERMS.items())
+_FEATURES = panels.LINEAR_FEATURES
+_MODEL = " + ".join(
+    ["(SELECT b0 FROM attribution_model)"] + [f"(SELECT b{i} FROM attribution_model) * {c}" for i, c in enumerate(_FEATURES, 1)]
+)
 
 
 def _rows(spark, d):
     return panels.attribution_features(spark, d)
 
 
+def _model(spark, d):
+    """The rows, written once, and a least-squares model of those before the test period: intercept and slopes."""
+    rows = materialize(_rows(spark, d), "attribution")
+    train = rows.where(F.col("date") < F.lit(panels.TEST_START).cast("date"))
+    coef = G.fit(train, {c: F.col(c) for c in _FEATURES}, F.col("y")).select("fit.coef").first()[0]
+    return rows, round(coef[0], 4), {c: round(b, 4) for c, b in zip(_FEATURES, coef[1:])}
+
+
 def _phi(spark, d):
-    return At.linear_contributions(_rows(spark, d), panels.LINEAR_TERMS, ("row_id", "date", "y"))
+    rows, _, slopes = _model(spark, d)
+    return At.linear_contributions(rows, slopes, ("row_id", "date", "y"))
 
 
 @query("xa0_linear_contributions", f"SELECT row_id, feature, {r6('value', 'value')}, {r6('phi', 'phi')} FROM attribution")
@@ -137,10 +150,10 @@ def _(spark, d):
         FROM r JOIN u ON r.row_id = u.row_id""",
 )
 def _(spark, d):
-    rows = _rows(spark, d)
-    predicted = sum((F.lit(b) * F.col(c) for c, b in panels.LINEAR_TERMS.items()), F.lit(0.0))
+    rows, intercept, slopes = _model(spark, d)
+    predicted = sum((F.lit(b) * F.col(c) for c, b in slopes.items()), F.lit(intercept))
     results = rows.select("row_id", F.col("y").alias("actual"), predicted.alias("predicted"))
-    return rounded(At.local_explanations(_phi(spark, d), results), ["predicted", "value", "phi"])
+    return rounded(At.local_explanations(At.linear_contributions(rows, slopes), results), ["predicted", "value", "phi"])
 
 
 @query("xa7_dependence", f"SELECT row_id, {r6('value', 'value')}, {r6('phi', 'phi')} FROM attribution WHERE feature = 'sales_mean_7d'")

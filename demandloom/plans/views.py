@@ -1,7 +1,9 @@
 """SQL text of the shared panels, later views may read earlier ones."""
 
-from demandloom.sources.panels import CALENDAR_ROWS, LINEAR_TERMS
+from demandloom.plans.least_squares_sql import least_squares
+from demandloom.sources.panels import CALENDAR_ROWS, LINEAR_FEATURES
 
+_FIT = least_squares("(SELECT * FROM attribution_features WHERE date < DATE '2001-01-01')", [], {c: c for c in LINEAR_FEATURES}, "y")
 _CALENDAR = ",\n".join(f"(DATE '{d}', {h}, {b}, {int(b > 0)})" for d, h, b in CALENDAR_ROWS)
 
 VIEWS = {
@@ -74,9 +76,12 @@ SELECT * FROM (
   WINDOW w AS (PARTITION BY s.store_nbr, s.item_nbr ORDER BY s.date)
 ) t WHERE sales_lag_1 IS NOT NULL
 """,
+    "attribution_model": f"WITH {_FIT} SELECT "
+    + ", ".join(f"round(b{i}, 4) AS b{i}" for i in range(len(LINEAR_FEATURES) + 1))
+    + " FROM ols",
     "attribution": "\nUNION ALL\n".join(
-        f"SELECT row_id, date, y, '{name}' AS feature, {name} AS value, "
-        f"{slope} * ({name} - (SELECT avg({name}) FROM attribution_features)) AS phi FROM attribution_features"
-        for name, slope in LINEAR_TERMS.items()
+        f"SELECT row_id, date, y, '{name}' AS feature, {name} AS value, (SELECT b{i} FROM attribution_model) "
+        f"* ({name} - (SELECT avg({name}) FROM attribution_features)) AS phi FROM attribution_features"
+        for i, name in enumerate(LINEAR_FEATURES, 1)
     ),
 }

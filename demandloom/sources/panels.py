@@ -197,17 +197,17 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# Slopes of the linear attribution model.
-LINEAR_TERMS = {
-    "sales_lag_1": 0.3,
-    "sales_mean_7d": 0.5,
-    "day_of_week": 0.8,
-    "month": -0.2,
-    "temperature": 0.25,
-    "store_nbr": 0.1,
-    "item_nbr": -0.15,
-    "quarter": 0.4,
-}
+# The features of the linear attribution model.
+LINEAR_FEATURES = (
+    "sales_lag_1",
+    "sales_mean_7d",
+    "day_of_week",
+    "month",
+    "temperature",
+    "store_nbr",
+    "item_nbr",
+    "quarter",
+)
 
 
 def attribution_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,6 +229,6 @@ def attribution_features(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat_ws("_", "store_nbr", "item_nbr", F.date_format("date", "yyyy-MM-dd")).alias("row_id"),
             "date",
             F.col("units").alias("y"),
-            *[F.col(c).cast("double").alias(c) for c in LINEAR_TERMS],
+            *[F.col(c).cast("double").alias(c) for c in LINEAR_FEATURES],
         )
     )
