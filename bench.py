@@ -37,6 +37,12 @@ HEADLINE = (
     "fc1_seasonal_by_pair",
     "fc8_store_models",
     "xa3_importance_by_type",
+    "features_by_province",
+    "features_by_station",
+    "xa0_sampled_contributions",
+    "fs5_single_tree_importances",
+    "fc5_boosted_with_skips",
+    "fc4_boosted_test_scores",
 )
 
 
