@@ -14,6 +14,7 @@ from demandloom.operators import cleaning as C
 from demandloom.operators import joins as J
 from demandloom.operators import windows as Wn
 from demandloom.operators.aggregates import selling_pairs
+from demandloom.session import materialize
 
 SEASONS = ("dry", "fall", "spring", "summer", "wet", "winter")
 
@@ -72,14 +73,18 @@ def clean_station_weather(
 def station_features(panel: DataFrame, weather: DataFrame, key: DataFrame, calendar: DataFrame) -> DataFrame:
     """Selling series joined with their station's weather, calendar flags, date parts and leak-free history.
 
-    The series that never sell go first, before anything is joined to them.
+    The series that never sell go first, before anything is joined to them. The cleaned panel is written once: the wide
+    table and both row contexts, which need four of its columns only, read it from the shared folder.
     """
     selling = J.keep_pairs(panel, selling_pairs(panel))
-    repaired = C.flatten_outliers(C.fill_group_mean(selling)).withColumn("logunits", X.log_units(F.col("units")))
+    slim = materialize(C.flatten_outliers(C.fill_group_mean(selling)), "cleaned")
+    repaired = slim.withColumn("logunits", X.log_units(F.col("units")))
     df = D.with_date_parts(J.with_calendar(J.with_store_weather(repaired, weather, key), calendar))
     df = Wn.lags(df, "units", [1, 2, 3, 4, 5, 6, 7, 14, 21, 28])
     df = Wn.rolling_stats(df, "units", [7, 14, 28])
     df = Wn.ewma(df, "units", [0.5, 0.75])
     df = df.withColumnsRenamed({c: c.replace("0.", "") for c in df.columns if "_ewma_0." in c})
-    df = Wn.row_context(df, "store_nbr", "item_nbr")
-    return Wn.row_context(df, "item_nbr", "store_nbr")
+    rows = materialize(J.with_store_weather(slim, weather, key).select("date", *PAIR, "units"), "cleaned")
+    for key, tie in (PAIR, PAIR[::-1]):
+        df = df.join(Wn.row_context(rows, key, tie).drop("units"), ["date", *PAIR])
+    return df

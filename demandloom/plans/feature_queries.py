@@ -5,6 +5,7 @@ from demandloom.functions import dates as D
 from demandloom.operators import features as Ft
 from demandloom.plans.common import r6, rounded
 from demandloom.plans.registry import query
+from demandloom.session import materialize
 from demandloom.sources import panels
 
 _W = "PARTITION BY store_nbr, item_nbr ORDER BY date"
@@ -46,7 +47,7 @@ SELECT date, store_nbr, item_nbr, province, category, {r6('sales', 'sales')}, {r
 @query("features_by_province", _PROVINCE_SQL)
 def _(spark, d):
     """Cleaned demand with all features of the province edition, complete rows only."""
-    panel = Ft.clean_demand(panels.sales_dirty(spark, d))
+    panel = Ft.clean_demand(materialize(panels.sales_dirty(spark, d), "panel"))
     table = Ft.province_features(panel, panels.climate(spark, d), panels.TEST_START, D.listed_day("date", _LISTED))
     return rounded(table)
 
@@ -84,8 +85,9 @@ def _(spark, d):
 @query("features_by_station")
 def _(spark, d):
     """Selling series with weather, calendar, date parts and leak-free history of the station edition."""
-    weather = Ft.clean_station_weather(panels.weather_raw(spark, d), _DENSE, codes=["RA", "SN", "BR", "FG+"])
-    panel = panels.sales_dirty(spark, d).select("date", *PAIR, "units")
+    raw = materialize(panels.weather_raw(spark, d), "weather")
+    weather = materialize(Ft.clean_station_weather(raw, _DENSE, codes=schema.WEATHER_CODES), "weather")
+    panel = materialize(panels.sales_dirty(spark, d).select("date", *PAIR, "units"), "panel")
     return Ft.station_features(panel, weather, panels.store_key(spark, d), panels.calendar(spark))
 
 

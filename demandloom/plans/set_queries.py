@@ -9,7 +9,7 @@ from demandloom.operators import joins as J
 from demandloom.operators import sets as S
 from demandloom.plans.common import levels
 from demandloom.plans.registry import query
-from demandloom.session import scratch_path
+from demandloom.session import materialize, scratch_path
 from demandloom.sources import files, panels
 
 
@@ -234,7 +234,7 @@ def _(spark, d):
        FROM p""",
 )
 def _(spark, d):
-    return S.position_folds(panels.sales(spark, d, province=False).select("date", *PAIR))
+    return S.position_folds(materialize(panels.sales(spark, d, province=False).select("date", *PAIR), "panel"))
 
 
 @query(
@@ -246,4 +246,4 @@ def _(spark, d):
        FROM sales s JOIN p ON s.date = p.date""",
 )
 def _(spark, d):
-    return S.date_folds(panels.sales(spark, d, province=False).select("date", *PAIR))
+    return S.date_folds(materialize(panels.sales(spark, d, province=False).select("date", *PAIR), "panel"))
