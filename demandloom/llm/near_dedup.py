@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from demandloom.llm.words import Runs, WordHashes, mix, split
+from demandloom.llm.words import Runs, WordHashes, mix
 from demandloom.session import materialize
 
 SHINGLE = 5
@@ -35,7 +35,8 @@ _BAND_SEEDS = mix(np.arange(1001, 1001 + BANDS, dtype=np.uint64))
 
 
 def lowered(text: str | None) -> list[bytes]:
-    return split((text or "").encode().lower().decode()) if text else []
+    """Words with A-Z in lower case; other letters stay as they are."""
+    return (text or "").encode().lower().split()
 
 
 def shingles(words: list[bytes]) -> set[tuple[bytes, ...]]:
