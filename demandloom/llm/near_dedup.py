@@ -7,7 +7,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -136,8 +136,7 @@ def _likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 
     sides = [sketches.select(F.col("doc_id").alias(c), F.col("sketch").alias(f"s{c}"), F.col("n_shingles").alias(f"n{c}")) for c in "ab"]
     both = pairs.join(sides[1], "b").join(sides[0], "a")
-    sized = both.where(100 * F.least("na", "nb") >= THRESHOLD * F.greatest("na", "nb"))
-    return sized.where(close("sa", "sb", "na", "nb")).select("a", "b")
+    return both.where(_fits("na", "nb")).where(close("sa", "sb", "na", "nb")).select("a", "b")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -183,12 +182,17 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("x").alias("doc_id"), F.col("m").alias("component"))
 
 
-def _with_classes(keys: DataFrame, links: DataFrame) -> DataFrame:
-    """Members of the buckets that aren't all of one class yet, with their classes."""
+def _with_classes(keys: DataFrame, links: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Members of the buckets that aren't all of one class yet, with their classes and the sizes of their sets."""
     classes = components(links)
     member = keys.join(classes, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("class"))
     mixed = member.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("key")
-    return materialize(member.join(mixed, "key"), "near-open")
+    return materialize(member.join(mixed, "key").join(sizes, "doc_id"), "near-open")
+
+
+def _fits(a: str, b: str) -> Column:
+    """Whether sets of these sizes can reach the threshold at all."""
+    return 100 * F.least(a, b) >= THRESHOLD * F.greatest(a, b)
 
 
 def _links(profile: DataFrame, docs: DataFrame, loose: int = LOOSE) -> DataFrame:
@@ -201,6 +205,7 @@ def _links(profile: DataFrame, docs: DataFrame, loose: int = LOOSE) -> DataFrame
     level nothing is left out.
     """
     sketches = profile.select("doc_id", "n_shingles", "sketch")
+    sizes = profile.select("doc_id", F.col("n_shingles").alias("n"))
     keys = profile.select("doc_id", F.explode("bands").alias("key"))
     texts = links = None
 
@@ -213,31 +218,33 @@ def _links(profile: DataFrame, docs: DataFrame, loose: int = LOOSE) -> DataFrame
         if texts is None:
             wanted = keys.select("doc_id").distinct()
             texts = materialize(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text"), "near-texts")
-        found = confirmed(keys.where("doc_id > leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct())
-        links = found if links is None else links.unionByName(found)
-        member = _with_classes(keys, links)
+        if links is None:
+            star = keys.where("doc_id > leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b"))
+            links = confirmed(star.distinct())
+        member = _with_classes(keys, links, sizes)
         if member.isEmpty():
             break
 
         drawn = [F.xxhash64("doc_id", F.lit(i)) for i in range(DRAWN)]
-        some = [F.struct(F.min_by("doc_id", h).alias("a"), F.min_by("class", h).alias("ac")) for h in drawn]
+        parts = {"doc_id": "a", "class": "ac", "n": "an"}
+        some = [F.struct(*[F.min_by(c, h).alias(name) for c, name in parts.items()]) for h in drawn]
         guides = member.groupBy("key").agg(*[c.alias(f"g{i}") for i, c in enumerate(some)])
-        guides = guides.select("key", F.inline(F.array_distinct(F.array(*[f"g{i}" for i in range(DRAWN)]))).alias("a", "ac"))
-        tried = member.join(guides, "key").where("class <> ac").select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b"))
+        guides = guides.select("key", F.inline(F.array_distinct(F.array(*[f"g{i}" for i in range(DRAWN)]))).alias("a", "ac", "an"))
+        tried = member.join(guides, "key").where(_fits("n", "an") & (F.col("class") != F.col("ac"))).select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b"))
         links = links.unionByName(confirmed(tried.distinct()))
-        member = _with_classes(keys, links)
+        member = _with_classes(keys, links, sizes)
         if member.isEmpty():
             break
 
-        sizes = member.groupBy("key", "class").agg(F.count("*").alias("n"))
-        home = sizes.groupBy("key").agg(F.max_by("class", F.struct("n", "class")).alias("home"), (F.sum("n") - F.max("n")).alias("n"))
+        classes = member.groupBy("key", "class").agg(F.count("*").alias("n"))
+        home = classes.groupBy("key").agg(F.max_by("class", F.struct("n", "class")).alias("home"), (F.sum("n") - F.max("n")).alias("n"))
         home = materialize(home, "near-homes")
         few = home if level == LEVELS - 1 else home.where(F.col("n") <= loose)
-        placed = member.join(few, "key").withColumn("out", F.col("class") != F.col("home"))
-        left = placed.where("out").select("key", F.col("doc_id").alias("o"), F.col("class").alias("oc"))
-        right = placed.select("key", F.col("doc_id").alias("r"), F.col("class").alias("rc"), "out")
+        placed = member.join(few.select("key", "home"), "key").withColumn("out", F.col("class") != F.col("home"))
+        left = placed.where("out").select("key", F.col("doc_id").alias("o"), F.col("class").alias("oc"), F.col("n").alias("on"))
+        right = placed.select("key", F.col("doc_id").alias("r"), F.col("class").alias("rc"), F.col("n").alias("rn"), "out")
         # Two members outside meet once, in the order of their ids; a member inside meets each one outside.
-        cross = left.join(right, "key").where("oc <> rc AND (NOT out OR o < r)")
+        cross = left.join(right, "key").where(_fits("on", "rn") & F.expr("oc <> rc AND (NOT out OR o < r)"))
         links = links.unionByName(confirmed(cross.select(F.least("o", "r").alias("a"), F.greatest("o", "r").alias("b")).distinct()))
         crowded = home.where(F.col("n") > loose)
         if level == LEVELS - 1 or crowded.isEmpty():
