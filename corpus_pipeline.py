@@ -20,8 +20,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that an earlier one has in a run of ten words or more; emptied ones go."""
-    found = line_dedup.line_dedup(docs)
+    """Documents without the later copies of repeated lines, however short; emptied ones go."""
+    found = line_dedup.line_dedup(docs, line_dedup.ANY_WORDS)
     left = found.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
     changed = {"text": F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:

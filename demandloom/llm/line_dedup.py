@@ -20,6 +20,8 @@ from demandloom.session import materialize
 
 #: A repeated run counts from so many words on, over any number of lines.
 MIN_WORDS = 10
+#: With this floor every repeated run that is not blank counts, single short lines included.
+ANY_WORDS = 1
 #: Ranks and hashes are cut into blocks of so many bits for prefix sums, so that no window holds a whole group.
 BLOCK_BITS = 12
 RUNS = "doc_id long, row long, lo int, n int, head long, tail long"

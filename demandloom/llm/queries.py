@@ -49,6 +49,11 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_line_dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), line_dedup.ANY_WORDS)
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken")
@@ -73,6 +78,7 @@ QUERIES = {
     "op5_bpe": op5_bpe,
     "op6_html_text": op6_html_text,
     "op7_line_dedup": op7_line_dedup,
+    "op7_line_dedup_all": op7_line_dedup_all,
     "op8_mix": op8_mix,
     "op9_token_files": op9_token_files,
     "op10_quality": op10_quality,
@@ -170,3 +176,6 @@ SELECT doc_id, size, source_size, target,
 FROM r
 """,
 }
+
+#: Repeated runs of one word or more, by the same statement.
+ORACLE_SQL["op7_line_dedup_all"] = ORACLE_SQL["op7_line_dedup"].replace(">= 10", ">= 1")

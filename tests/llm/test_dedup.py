@@ -186,6 +186,28 @@ def test_lines_by_brute_force(spark, seed):
     assert {r["doc_id"]: r["kept"] for r in by_id(got)} == expected
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_short_lines_by_brute_force(spark, seed):
+    """With a floor of one word the later copies of all lines but blank ones go, and blank ones inside repeated runs."""
+    rng = random.Random(10 + seed)
+    pool = ["a b c", "d", "", "e f g h", " ", "k l m n o p q r s t u"]
+    rows = [(i, "\n".join(rng.choice(pool) if rng.random() < 0.6 else f"own {i} {j}" for j in range(rng.randrange(10)))) for i in range(40)]
+    docs = {i: t.split("\n") for i, t in rows}
+    first, runs = {}, []
+    for i in sorted(docs):
+        for a in range(len(docs[i])):
+            for b in range(a + 1, len(docs[i]) + 1):
+                if any(x.split() for x in docs[i][a:b]):
+                    first.setdefault(tuple(docs[i][a:b]), (i, a))
+                    runs.append((i, a, b))
+    gone = {(i, p) for i, a, b in runs if first[tuple(docs[i][a:b])] < (i, a) for p in range(a, b)}
+    expected = {i: "\n".join(x for p, x in enumerate(lines) if (i, p) not in gone) for i, lines in docs.items()}
+    got = {r["doc_id"]: r["kept"] for r in by_id(line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), line_dedup.ANY_WORDS))}
+    assert got == expected
+    left = [x for t in got.values() for x in t.split("\n") if x.split()]
+    assert len(left) == len(set(left))
+
+
 def test_suffix_ranks_order_all_suffixes(spark):
     rows = [(1, "a\nb\na\nb\nc"), (2, "b\na\nb\na"), (3, "c\nc\nz"), (4, "a\nb")]
     got = line_dedup.suffix_ranks(spark.createDataFrame(rows, "doc_id long, text string")).collect()

@@ -54,6 +54,12 @@ def test_repeated_lines_go(stages):
     assert all(r["n_chars"] == len(r["text"]) for r in rows(after) if r["text"])
 
 
+def test_no_short_line_comes_twice(stages):
+    _, after = stages["line_dedup"]
+    lines = [x for r in rows(after) for x in (r["text"] or "").split("\n") if x.split()]
+    assert len(lines) == len(set(lines))
+
+
 def test_one_document_of_each_class_stays(stages):
     before, after = stages["near_dedup"]
     sets = {r["doc_id"]: near_dedup.shingles(near_dedup.lowered(r["text"])) for r in rows(before)}
