@@ -32,10 +32,13 @@ HINTS = frozenset(
     "modal overlay newsletter subscribe subscription signup login paywall search share sharing social comment comments disqus "
     "reply replies related recommended recommendations pagination pager toolbar copyright".split()
 )
+#: Hints that stand however much text is there: readers may write more than the author.
+ASIDES = frozenset("comment comments disqus reply replies related recommended recommendations".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Gaussian kernel over neighbouring blocks.
 KERNEL = np.exp(-0.5 * np.arange(-2, 3) ** 2)
-#: Share of the clustered text that the region must hold where the page names no article.
-MOST = 0.7
+#: A holder with a hint in its class or id and more than this share of the page's plain text is no furniture.
+MOST = 0.5
 _WORDS = re.compile(r"[^a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -47,6 +50,8 @@ class Block:
     linked: int
     within: tuple[int, ...]
     furniture: bool
+    heading: bool
+    hints: frozenset[str]  # of its own class and id
 
 
 @dataclass
@@ -56,6 +61,7 @@ class Holder:
     furniture: bool
     silent: bool
     article: bool = field(default=False)
+    hints: frozenset[str] = field(default=frozenset())
 
 
 class PageEvents(HTMLParser):
@@ -68,26 +74,32 @@ class PageEvents(HTMLParser):
         self.stack: list[Holder] = []
         self.parts: list[str] = []
         self.tags = self.linked = self.links = self.count = 0
-        self.odd = False  # the current block itself is furniture
+        self.odd = self.heading = False  # the current block itself is furniture, or a heading
+        self.hints: frozenset[str] = frozenset()
+        self.holders: dict[int, Holder] = {}
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
             furniture = self.odd or any(h.furniture for h in self.stack)
-            self.blocks.append(Block(text, self.tags, self.linked, tuple(h.number for h in self.stack), furniture))
-        self.parts, self.tags, self.linked, self.odd = [], 0, 0, False
+            within = tuple(h.number for h in self.stack)
+            self.blocks.append(Block(text, self.tags, self.linked, within, furniture, self.heading, self.hints))
+        self.parts, self.tags, self.linked, self.odd, self.heading, self.hints = [], 0, 0, False, False, frozenset()
 
     def _is_furniture(self, tag: str, attrs: dict[str, str | None]) -> bool:
         if tag in FURNITURE or "hidden" in attrs or (attrs.get("role") or "").lower() in ROLES:
             return True
         if "display:none" in (attrs.get("style") or "").replace(" ", "").lower():
             return True
-        if tag == "header":
-            return not any(h.article for h in self.stack)
+        return tag == "header" and not any(h.article for h in self.stack)
+
+    def _hints(self, tag: str, attrs: dict[str, str | None]) -> frozenset[str]:
         if tag in ("html", "body", "main", "article"):
-            return False
+            return frozenset()
         names = _CAMEL.sub(" ", f"{attrs.get('class') or ''} {attrs.get('id') or ''}").lower()
-        return not HINTS.isdisjoint(_WORDS.split(names))
+        hints = HINTS.intersection(_WORDS.split(names))
+        own = tag in HEADINGS or any(h.article for h in self.stack)  # a heading's or an article's own header
+        return hints - {"header"} if own else hints
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in SILENT or tag in HOLDERS:
@@ -95,14 +107,19 @@ class PageEvents(HTMLParser):
                 self.flush()
             named = dict(attrs)
             holder = Holder(tag, self.count, tag in HOLDERS and self._is_furniture(tag, named), tag in SILENT)
+            holder.hints = self._hints(tag, named) if tag in HOLDERS else frozenset()
+            self.holders[holder.number] = holder
             if tag in ("article", "main") or named.get("role") in ("article", "main") or named.get("itemprop") == "articleBody":
                 holder.article = True
+                holder.hints = frozenset()
                 self.articles[holder.number] = "article" if tag == "article" or named.get("itemprop") else "main"
             self.count += 1
             self.stack.append(holder)
         elif tag in BLOCKS:
             self.flush()
             self.odd = bool(attrs) and self._is_furniture(tag, dict(attrs))
+            self.hints = self._hints(tag, dict(attrs)) if attrs else frozenset()
+            self.heading = tag in HEADINGS
         elif tag == "br":
             self.parts.append(" ")
         elif tag == "a":
@@ -158,12 +175,56 @@ def content_lines(blocks: list[Block]) -> np.ndarray:
     return (smooth >= min((low + high) / 2, smooth.std() if smooth.std() > 0 else smooth.max())) & ~np.array([b.furniture for b in blocks])
 
 
+def settle_hints(events: PageEvents) -> None:
+    """Makes blocks furniture whose class and id hints, their own or a holder's, nothing overrides.
+
+    A holder with a hint is no furniture if an article or main is inside, unless another one stands outside of all
+    hints, or if it holds most of the text of the cluster that forms without hints. Comments and the like give way only
+    to a main inside.
+    """
+    blocks, holders = events.blocks, events.holders
+    hinted = lambda b: [n for n in b.within if holders[n].hints]
+    aside = [bool(b.hints & ASIDES) or any(holders[n].hints & ASIDES for n in b.within) for b in blocks]
+    around: dict[int, set[int]] = defaultdict(set)  # articles by hinted holder
+    clean: set[tuple[int, int]] = set()  # articles outside of hints, with the number of holders around
+    inside: dict[int, int] = defaultdict(int)
+    total = 0
+    for b, far, content in zip(blocks, aside, content_lines(blocks)):
+        if b.furniture:
+            continue
+        for d, n in enumerate(b.within):
+            if n in events.articles:
+                above = [m for m in b.within[:d] if holders[m].hints]
+                for m in above:
+                    around[m].add(n)
+                if not above:
+                    clean.add((n, d))
+        size = len(b.text) * bool(content)
+        total += size * (not far)
+        for n in hinted(b):
+            inside[n] += size
+    paths = {n: b.within[: b.within.index(n)] for b in blocks for n in hinted(b)}
+    cleared = set()
+    for n, path in paths.items():
+        if holders[n].hints & ASIDES:
+            open_ = any(events.articles[a] == "main" for a in around[n])
+        else:
+            open_ = bool(around[n]) and all(c in path for c, _ in clean)
+            open_ = open_ or inside[n] > MOST * total
+        if open_:
+            cleared.add(n)
+    for b in blocks:
+        own = b.hints and (b.hints & ASIDES or len(b.text) <= MOST * total)
+        b.furniture = b.furniture or bool(own) or any(n not in cleared for n in hinted(b))
+
+
 def main_text(html: str | None) -> str:
     """The page's article, its blocks joined by line feeds; empty if none."""
     events = page_blocks(html or "")
     blocks = events.blocks
     if not blocks:
         return ""
+    settle_hints(events)
     chosen = content_lines(blocks)
     weight: dict[int, int] = defaultdict(int)
     depth: dict[int, int] = {}
@@ -181,7 +242,7 @@ def main_text(html: str | None) -> str:
     if named:
         region = max(articles or named, key=lambda n: (weight[n], -depth[n]))
     elif weight:
-        region = max((n for n in weight if weight[n] >= MOST * total), key=lambda n: depth[n], default=None)
+        region = max((n for n in weight if weight[n] >= 0.7 * total), key=lambda n: depth[n], default=None)
     return "\n".join(b.text for b in blocks if not b.furniture and (region is None or region in b.within))
 
 
@@ -194,7 +255,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, `text` and n_chars (code points) of every row.
 
     A block's white space becomes single spaces, trimmed; empty blocks go. Furniture (menus, page headers, footers,
-    sidebars, notices, adverts, forms, comments) is told by element, role, class and id. The region is the named
+    sidebars, notices, adverts, forms, comments) is told by element, role, class and id; class and id give way where an
+    article or most of the clustered text is inside. The region is the named
     article with the most clustered text, or else the innermost element that holds most of it; all of its blocks stay,
     short ones too. Null, empty and text-free pages give the empty text. Rows with the same page_id are pages of their
     own. Other columns are not read.

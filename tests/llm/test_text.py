@@ -135,6 +135,28 @@ def test_page_text(holder):
     assert html_text.main_text(PAGE % ARTICLE.format(holder)) == TEXT
 
 
+LONG = "A sentence of the text, which is long enough to be prose and has no links at all."
+PROSE = f"<p>{LONG}</p>" * 4
+
+
+@pytest.mark.parametrize("holder", ["article", "main", "div"])
+@pytest.mark.parametrize("wrapper", ["content-sidebar-wrap", "has-right-sidebar", "site search"])
+def test_hints_around_the_text_give_way(holder, wrapper):
+    page = f"<body><div class='{wrapper}'><{holder}>{PROSE}<div class='ad'><p>Buy</p></div></{holder}><div class='sidebar'><p>Tags and more</p></div></div></body>"
+    assert html_text.main_text(page) == "\n".join([LONG] * 4)
+
+
+@pytest.mark.parametrize("header", ["entry-header", "post-header"])
+def test_headline_in_the_own_header_stays(header):
+    page = f"<body><div id='header'><p>Site</p></div><article><div class='{header}'><h1>Headline</h1></div>{PROSE}</article></body>"
+    assert html_text.main_text(page) == "\n".join(["Headline", *[LONG] * 4])
+
+
+def test_sidebar_articles_beside_the_article_are_furniture():
+    page = f"<body><article>{PROSE}</article><div class='sidebar'><article><p>{LONG} Teaser.</p></article></div></body>"
+    assert html_text.main_text(page) == "\n".join([LONG] * 4)
+
+
 def test_page_text_odd(spark):
     rows = [
         (1, "u", None), (1, "u", ""), (2, None, "<nav>only a menu</nav>"), (3, "u", "plain text"), (4, "u", "<article><p>cut off &am"),
