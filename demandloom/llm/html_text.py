@@ -34,6 +34,8 @@ HINTS = frozenset(
 )
 #: Hints that stand however much text is there: readers may write more than the author.
 ASIDES = frozenset("comment comments disqus reply replies related recommended recommendations".split())
+#: Holders that are a part of a text, not its region.
+PARTS = frozenset("ul ol dl table thead tbody tr blockquote figure fieldset details".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Gaussian kernel over neighbouring blocks.
 KERNEL = np.exp(-0.5 * np.arange(-2, 3) ** 2)
@@ -218,6 +220,39 @@ def settle_hints(events: PageEvents) -> None:
         b.furniture = b.furniture or bool(own) or any(n not in cleared for n in hinted(b))
 
 
+def content_region(events: PageEvents, chosen: np.ndarray) -> int | None:
+    """The innermost holder around all blocks of the cluster; None if it is the whole page.
+
+    Where articles have text, the cluster's blocks inside articles and main count, and every article with more plain
+    than linked text is inside as a whole. Lists, tables and quotations are parts of a text: their holder is taken.
+    """
+    plain: dict[int, int] = defaultdict(int)
+    for b in events.blocks:
+        for n in b.within:
+            plain[n] += 0 if b.furniture else len(b.text) - 2 * b.linked
+    named, rest = [], []
+    for b, content in zip(events.blocks, chosen):
+        if b.furniture:
+            continue
+        articles = [d for d, n in enumerate(b.within) if events.articles.get(n) == "article"]
+        mains = [d for d, n in enumerate(b.within) if n in events.articles]
+        if articles and (content or plain[b.within[articles[0]]] > 0):
+            named.append(b.within[: articles[0] + 1])
+        elif mains and content:
+            named.append(b.within[: mains[-1] + 1])
+        elif content:
+            rest.append(b.within)
+    paths = named or rest
+    if not paths:
+        return None
+    low, high = min(paths), max(paths)
+    shared = next((d for d, (x, y) in enumerate(zip(low, high)) if x != y), min(len(low), len(high)))
+    path = list(low[:shared])
+    while path and events.holders[path[-1]].tag in PARTS and path[-1] not in events.articles:
+        path.pop()
+    return path[-1] if path else None
+
+
 def main_text(html: str | None) -> str:
     """The page's article, its blocks joined by line feeds; empty if none."""
     events = page_blocks(html or "")
@@ -225,24 +260,7 @@ def main_text(html: str | None) -> str:
     if not blocks:
         return ""
     settle_hints(events)
-    chosen = content_lines(blocks)
-    weight: dict[int, int] = defaultdict(int)
-    depth: dict[int, int] = {}
-    total = 0
-    for b, content in zip(blocks, chosen):
-        if b.furniture:
-            continue
-        total += len(b.text) * bool(content)
-        for d, number in enumerate(b.within):
-            weight[number] += len(b.text) * bool(content)
-            depth[number] = d
-    named = [n for n in weight if n in events.articles]
-    articles = [n for n in named if events.articles[n] == "article"]
-    region = None
-    if named:
-        region = max(articles or named, key=lambda n: (weight[n], -depth[n]))
-    elif weight:
-        region = max((n for n in weight if weight[n] >= 0.7 * total), key=lambda n: depth[n], default=None)
+    region = content_region(events, content_lines(blocks))
     return "\n".join(b.text for b in blocks if not b.furniture and (region is None or region in b.within))
 
 
@@ -256,9 +274,8 @@ def extract(pages: DataFrame) -> DataFrame:
 
     A block's white space becomes single spaces, trimmed; empty blocks go. Furniture (menus, page headers, footers,
     sidebars, notices, adverts, forms, comments) is told by element, role, class and id; class and id give way where an
-    article or most of the clustered text is inside. The region is the named
-    article with the most clustered text, or else the innermost element that holds most of it; all of its blocks stay,
-    short ones too. Null, empty and text-free pages give the empty text. Rows with the same page_id are pages of their
+    article or most of the clustered text is inside. The region is the innermost element around all clustered text, of
+    the articles and main where a page has them; all of its blocks stay, short ones too. Null, empty and text-free pages give the empty text. Rows with the same page_id are pages of their
     own. Other columns are not read.
     """
     texts = pages.select("page_id", "url", main_text_of(F.coalesce("html", F.lit(""))).alias("text"))

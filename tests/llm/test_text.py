@@ -157,6 +157,24 @@ def test_sidebar_articles_beside_the_article_are_furniture():
     assert html_text.main_text(page) == "\n".join([LONG] * 4)
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<div>{PROSE * 3}</div><div>{PROSE}</div>",
+        f"<article>{PROSE * 3}</article><article>{PROSE}</article>",
+        f"<div>{PROSE}<ul>{'<li>' + LONG + '</li>'}" + f"<li>{LONG}</li>" * 11 + "</ul></div>",
+    ],
+)
+def test_sibling_holders_and_lists_stay_whole(page):
+    html = f"<body><nav><a href=/>Menu</a></nav><div id='wrap'>{page}</div><footer>&copy;</footer></body>"
+    assert html_text.main_text(html) == "\n".join([LONG] * 16)
+
+
+def test_headline_and_introduction_before_a_list_stay():
+    html = f"<body><nav>Menu</nav><div><h1>Headline</h1><p>Short introduction.</p><ul>{f'<li>{LONG}</li>' * 20}</ul></div></body>"
+    assert html_text.main_text(html) == "\n".join(["Headline", "Short introduction.", *[LONG] * 20])
+
+
 def test_page_text_odd(spark):
     rows = [
         (1, "u", None), (1, "u", ""), (2, None, "<nav>only a menu</nav>"), (3, "u", "plain text"), (4, "u", "<article><p>cut off &am"),
