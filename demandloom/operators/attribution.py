@@ -42,54 +42,43 @@ def sample_splits(train: DataFrame, test: DataFrame, n: int = 500, *, key: str =
 
 
 def sampled_contributions(
-    model: Transformer, rows: DataFrame, background: DataFrame, features: Sequence[str], *, permutations: int = 4, key: str = "row_id",
+    model: Transformer, rows: DataFrame, background: DataFrame, features: Sequence[str], *, permutations: int = 2, key: str = "row_id",
     seed: int = 42, output: str = "yhat",
 ) -> DataFrame:
     """Shapley values of any fitted model by permutation sampling, from two bounded samples.
 
-    Each row meets one background row per permutation, matched by slot number. Along a permutation the features switch
-    one by one from the background's value to the row's; the change of the prediction belongs to the feature switched.
-    A row's sampled background has a mean of its own; what separates it from the mean prediction of the whole background
-    is spread over the features, so that contributions sum to the prediction minus that common mean.
+    Each row meets every background row `permutations` times, each time along a permutation of its own; every second
+    one is the reverse of the one before. Along a permutation the features switch one by one from the background's value
+    to the row's; the change of the prediction belongs to the feature switched. As the whole background is met,
+    contributions sum to the prediction minus its mean over the background, and a feature the model never uses gets 0.
     """
-    slots = background.select(F.struct(*[F.col(f).cast("double").alias(f) for f in features]).alias("_bg"), _digest(F.lit(seed), F.col(key)).alias("_h"))
-    # The background is a sample of bounded size, numbered in one small window.
-    numbered = slots.withColumn("_slot", F.row_number().over(W.orderBy("_h")) - 1).drop("_h")
-    size = background.select(F.count("*")).scalar()
-
-    asked = rows.select(key, F.struct(*[F.col(f).cast("double").alias(f) for f in features]).alias("_x")).withColumn(
-        "_perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1)))
-    )
-    slot = F.conv(F.substring(_digest(F.lit(seed), F.col(key), F.col("_perm")), 1, 8), 16, 10).cast("long") % size
-    paired = asked.withColumn("_slot", slot.cast("int")).join(numbered, "_slot")
-
-    ordered = F.array_sort(
-        F.array(*[F.struct(_digest(F.lit(seed + 1), F.col(key), F.col("_perm"), F.lit(f)).alias("h"), F.lit(f).alias("f")) for f in features])
-    )
-    staged = paired.withColumn("_order", F.transform(ordered, lambda e: e["f"])).withColumn(
-        "_step", F.explode(F.sequence(F.lit(0), F.lit(len(features))))
-    )
+    names = F.array(*map(F.lit, features))
+    x = F.array(*[F.col(f).cast("double") for f in features])
+    # The background is a sample of bounded size that goes along with every row.
+    base = background.select(F.collect_list(F.struct(F.col(key).cast("string").alias("k"), x.alias("v")))).scalar()
+    asked = rows.select(key, x.alias("_x"), F.explode(base).alias("_b"))
+    asked = asked.withColumn("_perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
+    draw = [F.struct(F.xxhash64(F.lit(seed), F.col(key), F.col("_b.k"), F.floor(F.col("_perm") / 2), F.lit(i)).alias("h"), F.lit(i).alias("i")) for i in range(len(features))]
+    order = F.transform(F.array_sort(F.array(*draw)), lambda e: e["i"])
+    order = F.when(F.col("_perm") % 2 == 1, F.reverse(order)).otherwise(order)
+    staged = asked.withColumn("_order", order).withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(len(features)))))
     mixed = staged.select(
         key,
-        "_perm",
-        "_step",
-        F.when(F.col("_step") > 0, F.get("_order", F.col("_step") - 1)).alias("feature"),
         "_x",
+        "_order",
+        "_step",
         *[
-            F.when(F.array_position("_order", f) <= F.col("_step"), F.col("_x").getField(f)).otherwise(F.col("_bg").getField(f)).alias(f)
-            for f in features
+            F.when(F.array_position("_order", F.lit(i)) <= F.col("_step"), F.col("_x")[i]).otherwise(F.col("_b.v")[i]).alias(f)
+            for i, f in enumerate(features)
         ],
     )
-    path = W.partitionBy(key, "_perm").orderBy("_step")
-    change = F.col(output) - F.lag(output).over(path)
-    moved = model.transform(mixed).withColumn("_d", change).where(F.col("feature").isNotNull())
-    value = F.create_map(*[part for f in features for part in (F.lit(f), F.col("_x").getField(f))])[F.col("feature")]
-    phi = moved.groupBy(key, "feature").agg(F.first(value).alias("value"), F.avg("_d").alias("phi"))
-    mean = model.transform(background).select(F.avg(output)).scalar()
-    reached = model.transform(rows).select(key, F.col(output).alias("_yhat"))
-    rest = phi.groupBy(key).agg(F.sum("phi").alias("_sum")).join(reached, key)
-    rest = rest.select(key, ((F.col("_yhat") - mean - F.col("_sum")) / len(features)).alias("_rest"))
-    return phi.join(rest, key).select(key, "feature", "value", (F.col("phi") + F.col("_rest")).alias("phi"))
+    # A prediction ends the change of the feature just switched and starts that of the next.
+    ends = F.when(F.col("_step") > 0, F.struct(F.get("_order", F.col("_step") - 1).alias("i"), F.col(output).alias("d")))
+    starts = F.when(F.col("_step") < len(features), F.struct(F.get("_order", F.col("_step")).alias("i"), (-F.col(output)).alias("d")))
+    moved = model.transform(mixed).select(key, "_x", F.inline(F.array_compact(F.array(ends, starts))).alias("_i", "_d"))
+    met = background.select(F.count("*")).scalar() * permutations
+    phi = moved.groupBy(key, "_i").agg(F.first(F.get("_x", F.col("_i"))).alias("value"), (F.sum("_d") / met).alias("phi"))
+    return phi.select(key, F.get(names, F.col("_i")).alias("feature"), "value", "phi")
 
 
 def global_importance(phi: DataFrame) -> DataFrame:

@@ -167,6 +167,39 @@ def test_sampled_contributions_sum_to_the_prediction_gap(spark):
         assert sums[r["row_id"]] == pytest.approx(r["yhat"] - mean, abs=1e-9)
 
 
+def test_sampled_contributions_near_exact_shapley_values(spark):
+    """A feature that the model never uses gets 0; the others come near the values over all orders."""
+    from itertools import permutations
+
+    from pyspark.ml.feature import SQLTransformer
+
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame(rng.normal(size=(48, 4)), columns=list("abcd"))
+    pdf.insert(0, "row_id", [f"r{i}" for i in range(48)])
+    df = frame(spark, pdf, "row_id string, a double, b double, c double, d double")
+    model = SQLTransformer(statement="SELECT *, a * b + exp(c / 2) * a AS yhat FROM __THIS__")
+    f = lambda x: x[:, 0] * x[:, 1] + np.exp(x[:, 2] / 2) * x[:, 0]
+    rows, base = pdf.iloc[:8], pdf.iloc[8:, 1:].to_numpy()
+    asked = df.where(F.col("row_id").isin(list(rows.row_id)))
+    got = At.sampled_contributions(model, asked, df.join(asked, "row_id", "left_anti"), list("abcd")).collect()
+    got = {(r["row_id"], r["feature"]): r["phi"] for r in got}
+    assert len(got) == 32
+    errors, sizes = [], []
+    for _, row in rows.iterrows():
+        x, exact = row[list("abcd")].to_numpy(float), np.zeros(4)
+        for order in permutations(range(4)):
+            z, at = base.copy(), f(base)
+            for i in order:
+                z[:, i] = x[i]
+                exact[i] += (f(z) - at).mean() / 24
+                at = f(z)
+        mine = np.array([got[row.row_id, c] for c in "abcd"])
+        assert abs(mine[3]) < 1e-12 and mine.sum() == pytest.approx(f(x[None])[0] - f(base).mean())
+        errors.append(np.abs(mine - exact).max())
+        sizes.append(np.abs(exact).max())
+    assert np.mean(errors) < 0.1 * np.mean(sizes)
+
+
 def test_condition_number_of_a_collinear_design_is_undefined():
     x = np.random.default_rng(4).normal(size=(50, 2))
     good = np.column_stack([np.ones(50), x])
