@@ -16,6 +16,8 @@ BITS = 128
 HALVES = ("f0", "f1")
 #: Every two fingerprints within RADIUS bits of each other agree on one of RADIUS + 1 blocks.
 RADIUS = 3
+#: Near copies lie within so many bits. Two such fingerprints differ in at most FLIPS bits of one of PARTS parts.
+NEAR, PARTS, FLIPS = 11, 4, 2
 #: 2^8 ids lie next to each other in one task.
 NEAR_IDS = 8
 #: Bit i and bit i + 32 of a hash; their votes are summed in the two halves of one long.
@@ -105,6 +107,33 @@ def within(queries: DataFrame, index: DataFrame, radius: int = RADIUS, blocks: i
     return found.select("q0", "q1", *HALVES, "bits").distinct()
 
 
+def count_near(queries: DataFrame, copies: DataFrame, radius: int = NEAR) -> DataFrame:
+    """f0, f1 of each distinct query and `near`: the sum of `n` over the rows of `copies` at most `radius` bits apart.
+
+    `copies` has distinct f0, f1 and a count n. Exact for radii below PARTS * (FLIPS + 1): a pair within such a radius
+    differs in at most FLIPS bits of some 32-bit part, so each query asks for each part with up to FLIPS bits flipped.
+    A pair counts in the first part where that holds.
+    """
+    if radius >= PARTS * (FLIPS + 1):
+        raise ValueError("a search within a radius needs more parts or flips")
+    width = BITS // PARTS
+    one = [1 << i for i in range(width)]
+    masks = [0, *one, *[a | b for i, a in enumerate(one) for b in one[:i]]]
+    distinct = queries.select(F.col("f0").alias("q0"), F.col("f1").alias("q1")).distinct()
+    flips = F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("flip")
+    halves = distinct.select("q0", "q1", F.col("q0").alias("f0"), F.col("q1").alias("f1"))
+    left = tables(halves, ["q0", "q1"], PARTS).drop(*HALVES).select("q0", "q1", "table", "key", flips)
+    left = left.select("q0", "q1", "table", F.col("key").bitwiseXOR(F.col("flip")).alias("key"))
+    found = left.join(tables(copies, ["n"], PARTS), ["table", "key"])
+    differ = [F.col(q).bitwiseXOR(F.col(f)) for q, f in (("q0", "f0"), ("q1", "f1"))]
+    mask, per_half = F.lit((1 << width) - 1), 64 // width
+    parts = [F.bit_count(F.shiftrightunsigned(differ[t // per_half], width * (t % per_half)).bitwiseAND(mask)) for t in range(PARTS)]
+    earlier = reduce(lambda a, b: a | b, [(F.col("table") > t) & (parts[t] <= FLIPS) for t in range(PARTS)])
+    apart = distance((F.col("q0"), F.col("q1")), (F.col("f0"), F.col("f1")))
+    found = found.where((apart <= radius) & ~earlier)
+    return found.groupBy(F.col("q0").alias("f0"), F.col("q1").alias("f1")).agg(F.sum("n").alias("near"))
+
+
 def _with_next(docs: DataFrame) -> DataFrame:
     """Rows in descending order of doc_id with the text of the next one; after the last comes the first.
 
@@ -124,11 +153,12 @@ def _with_next(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", "group", "place", "text", F.coalesce("next", "head").alias("next"), F.col("next").isNull().alias("last"))
 
 
-def compare_neighbours(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def compare_neighbours(docs: DataFrame, radius: int = RADIUS, near: int = NEAR) -> DataFrame:
     """Fingerprints of every text and of its edited text, whose second half comes from the next document.
 
-    Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, and `n_within`: for
-    ids divisible by 100 the number of documents whose fingerprints lie within `radius` bits (null for others). The
+    Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, and `n_within` and `n_near`: for
+    ids divisible by 100 the number of documents whose fingerprints lie within `radius` bits, which are next to equal,
+    and within `near` bits, which are near copies (null for others). The
     edited text replaces the last floor(n/2) code points by as many, or all, from the start of the next document in
     descending order of doc_id; rows without doc_id come last, rows that share one are ordered by text, and after the
     last row comes the first. Null texts are empty; fingerprints of texts without words are zero and equal. A table of
@@ -166,7 +196,8 @@ def compare_neighbours(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     copies = prints.groupBy(*HALVES).agg(F.count("*").alias("n"))
     asked = within(prints.where("doc_id % 100 = 0"), copies, radius, radius + 1)
     counted = asked.join(copies, [*HALVES]).groupBy(F.col("q0").alias("f0"), F.col("q1").alias("f1")).agg(F.sum("n").alias("_within"))
-    return keyed.join(counted, [*HALVES], "left").select(
+    near_copies = count_near(prints.where("doc_id % 100 = 0"), copies, near)
+    return keyed.join(counted, [*HALVES], "left").join(near_copies, [*HALVES], "left").select(
         "doc_id",
         "n_chars",
         "edited_sha256",
@@ -175,4 +206,5 @@ def compare_neighbours(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
         likeness(own, changed).alias("near_edited"),
         likeness(own, following).alias("near_next"),
         F.when(F.col("doc_id") % 100 == 0, F.col("_within")).alias("n_within"),
+        F.when(F.col("doc_id") % 100 == 0, F.col("near")).alias("n_near"),
     )

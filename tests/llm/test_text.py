@@ -107,6 +107,31 @@ def test_permuted_tables_find_all(spark, radius, blocks):
         simhash.within(df, df, blocks, blocks)
 
 
+def test_near_prints_are_counted_exactly(spark):
+    rng = random.Random(7)
+    prints = {rng.getrandbits(128) for _ in range(5)} | {0, (1 << 128) - 1}
+    for p in list(prints):
+        for _ in range(60):
+            q = p
+            for bit in rng.sample(range(128), rng.randrange(16)):
+                q ^= 1 << bit
+            prints.add(q)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    halves = {(signed(p & (1 << 64) - 1), signed(p >> 64)): (p, 1 + p % 3) for p in prints}
+    df = spark.createDataFrame([(*h, n) for h, (_, n) in halves.items()], "f0 long, f1 long, n long")
+    got = {(r["f0"], r["f1"]): r["near"] for r in simhash.count_near(df, df).collect()}
+    assert got == {h: sum(n for q, n in halves.values() if bin(p ^ q).count("1") <= simhash.NEAR) for h, (p, _) in halves.items()}
+    with pytest.raises(ValueError):
+        simhash.count_near(df, df, 12)
+
+
+def test_simhash_query_counts_near_copies(spark, small):
+    got = queries.op4_simhash(spark, small).collect()
+    for r in got:
+        near = sum(apart(r["fingerprint"], g["fingerprint"]) <= simhash.NEAR for g in got)
+        assert r["n_near"] == (near if r["doc_id"] % 100 == 0 else None)
+
+
 def test_simhash_odd(spark, odd, none):
     got = simhash.compare_neighbours(odd).collect()
     assert len(got) == odd.count()
