@@ -6,7 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandloom.llm import bpe, exact_dedup, html_text, line_dedup, mixing, near_dedup, quality, simhash, substring_dedup, token_files
+from demandloom.llm import (
+    bpe,
+    decontamination,
+    exact_dedup,
+    filter_audit,
+    html_text,
+    line_dedup,
+    mixing,
+    near_dedup,
+    negatives,
+    quality,
+    simhash,
+    substring_dedup,
+    token_files,
+)
 from demandloom.llm.common import table
 from demandloom.session import scratch_path
 
@@ -70,6 +84,28 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = negatives.whole_numbers(table(spark, sf_dir, "embeddings"))
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", shifted), F.col("vec_id") % 50 == 0)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_substring_dedup": op2_substring_dedup,
@@ -82,6 +118,9 @@ QUERIES = {
     "op8_mix": op8_mix,
     "op9_token_files": op9_token_files,
     "op10_quality": op10_quality,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_decontamination": op13_decontamination,
 }
 
 ORACLE_SQL = {
@@ -174,6 +213,79 @@ WITH d AS (
 SELECT doc_id, size, source_size, target,
        CAST(epochs * size + greatest(0, least(size, rest - (reached - size))) AS BIGINT) AS taken
 FROM r
+""",
+    "op11_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS vec_id, a.label = b.label AS alike, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.alike AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)
+QUALIFY row_number() OVER w <= 3
+""",
+    "op12_filter_audit": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), f AS (
+  SELECT doc_id, part, [len(words) < 200, 100 * len(list_distinct(words)) < 50 * len(words),
+         100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text), regexp_matches(text, '[#$%&*|]'),
+         min(doc_id) OVER (PARTITION BY text) < doc_id] AS fails FROM d
+), m AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE quality = 1) AS good, count(*) FILTER (WHERE toxic = 1) AS toxic
+  FROM f LEFT JOIN labels USING (doc_id) GROUP BY part, fails
+), i AS (SELECT unnest(range(1, 6)) AS i
+), o AS (
+  SELECT [a.i, b.i, c.i, d.i, e.i] AS ids FROM i a, i b, i c, i d, i e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5
+), s AS (
+  SELECT array_to_string(list_transform(ids, lambda x: chr(CAST(64 + x AS INTEGER))), '') AS filter_order, CAST(step AS INTEGER) AS step,
+         ids[step] AS mine, ids[1:step - 1] AS earlier
+  FROM o, (SELECT unnest(range(1, 6)) AS step)
+), r AS (
+  SELECT part, filter_order, step, mine,
+         CAST(sum(n) FILTER (WHERE NOT hit AND NOT fails[mine]) AS BIGINT) AS kept, CAST(sum(n) FILTER (WHERE NOT hit AND fails[mine]) AS BIGINT) AS removed,
+         CAST(sum(n) FILTER (WHERE hit AND fails[mine]) AS BIGINT) AS redundant,
+         CAST(sum(n) FILTER (WHERE fails[mine] AND len(list_filter(fails, lambda x: x)) = 1) AS BIGINT) AS unique_fails,
+         CAST(sum(good) FILTER (WHERE NOT hit AND fails[mine]) AS BIGINT) AS good_lost,
+         CAST(sum(toxic) FILTER (WHERE NOT hit AND fails[mine]) AS BIGINT) AS toxic_lost
+  FROM (SELECT m.*, s.*, len(list_filter(earlier, lambda x: fails[x])) > 0 AS hit FROM m, s) GROUP BY part, filter_order, step, mine
+)
+SELECT part, filter_order, step, coalesce(kept, 0) AS kept, coalesce(removed, 0) AS removed, coalesce(redundant, 0) AS redundant,
+       coalesce(unique_fails, 0) AS unique_fails, coalesce(good_lost, 0) AS good_lost, coalesce(toxic_lost, 0) AS toxic_lost,
+       CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, mine) AS BIGINT) AS shapley
+FROM r
+""",
+    "op13_decontamination": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark WHERE item_id IS NOT NULL
+), t AS (
+  SELECT DISTINCT item_id, least(10, len(words)) AS n, unnest([array_to_string(words[i:i + least(10, len(words)) - 1], ' ')
+         for i in range(1, len(words) - least(10, len(words)) + 2)]) AS run FROM b WHERE len(words) > 0
+), r AS (
+  SELECT doc_id, n, unnest(range(1, len(words) - n + 2)) AS i, unnest([array_to_string(words[i:i + n - 1], ' ') for i in range(1, len(words) - n + 2)]) AS run
+  FROM d, (SELECT DISTINCT n FROM t) WHERE len(words) >= n
+), h AS (SELECT r.doc_id, r.i, r.n, t.item_id FROM r JOIN t ON r.run = t.run AND r.n = t.n
+), n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM h) GROUP BY doc_id
+), k AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
 """,
 }
 

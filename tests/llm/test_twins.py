@@ -14,5 +14,5 @@ def test_twin(spark, small, name):
 
 def test_all_operators_are_registered():
     names = __spark_entry__.queries()
-    assert [n for n in range(1, 11) if not any(x.startswith(f"op{n}_") for x in names)] == []
+    assert [n for n in range(1, 14) if not any(x.startswith(f"op{n}_") for x in names)] == []
     assert "pipeline" in names
