@@ -10,6 +10,7 @@ from demandloom.plans import (  # noqa: F401
     forecast_queries,
     join_queries,
     scalar_queries,
+    scoring_queries,
     screening_queries,
     set_queries,
     source_queries,

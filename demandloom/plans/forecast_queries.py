@@ -96,7 +96,7 @@ _LOG_MODELS = """(SELECT store_nbr, item_nbr, avg(ln(1 + units)) AS yhat FROM sa
 
 
 @query(
-    "fc7_score_and_submit",
+    "fc7_mean_log_by_series",
     f"""SELECT concat_ws('_', s.store_nbr, s.item_nbr, strftime(s.date, '%Y-%m-%d')) AS id,
         {r6('greatest(exp(coalesce(yhat, 0)) - 1, 0)', 'units')} FROM sales s LEFT JOIN {_LOG_MODELS} m
         ON s.store_nbr = m.store_nbr AND s.item_nbr = m.item_nbr WHERE s.date >= DATE '2001-01-01'""",

@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 
-def least_squares(source: str, keys: Sequence[str], terms: Mapping[str, str], target: str, name: str = "ols", least: int = 1) -> str:
-    """Common table expressions ending in `name`: keys, n, b0 … bp (intercept first), ssr, sst."""
+def least_squares(source: str, keys: Sequence[str], terms: Mapping[str, str], target: str, name: str = "ols", least: int = 1, ridge: float = 0.0) -> str:
+    """Common table expressions ending in `name`: keys, n, b0 … bp (intercept first), ssr, sst.
+
+    `ridge` adds that multiple of its centred sum of squares to the diagonal cell of each term but the intercept.
+    """
     p = len(terms) + 1
     key_list = "".join(f"{k}, " for k in keys)
     names = [f"x{i}" for i in range(p)]
@@ -16,13 +19,18 @@ def least_squares(source: str, keys: Sequence[str], terms: Mapping[str, str], ta
     sides = ", ".join(f"sum(x{i} * y) AS r{i}" for i in range(p))
     keep = key_list + "n, yy, " + ", ".join(f"r{i}" for i in range(p))
     group = f" GROUP BY {', '.join(keys)}" if keys else ""
+
+    def cell(i: int, j: int) -> str:
+        plain = f"a_{min(i, j)}_{max(i, j)}"
+        return f"{plain} + {ridge}::DOUBLE * ({plain} - a_0_{j} * a_0_{j} / n)" if ridge and i == j > 0 else plain
+
     ctes = [
         f"{name}_rows AS MATERIALIZED (SELECT * FROM (SELECT {key_list}CAST(1 AS DOUBLE) AS x0, {columns}, "
         f"CAST({target} AS DOUBLE) AS y FROM {source}) t WHERE {known})",
         f"{name}_sums AS MATERIALIZED (SELECT {key_list}count(*) AS n, sum(y * y) AS yy, {products}, {sides} FROM {name}_rows{group} "
         f"HAVING count(*) >= {least})",
         f"{name}_0 AS MATERIALIZED (SELECT {keep}, "
-        + ", ".join(f"a_{min(i, j)}_{max(i, j)} AS m_{i}_{j}" for i in range(p) for j in range(p))
+        + ", ".join(f"{cell(i, j)} AS m_{i}_{j}" for i in range(p) for j in range(p))
         + ", "
         + ", ".join(f"r{i} AS m_{i}_{p}" for i in range(p))
         + f" FROM {name}_sums)",
