@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from statistics import NormalDist
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +21,7 @@ from demandloom.functions import metrics as M
 from demandloom.functions import scalars as X
 from demandloom.operators import gram as G
 from demandloom.operators import windows as Wn
+from demandloom.session import materialize
 from demandloom.sources.files import submission_rows
 
 ORIGIN = "1995-01-01"
@@ -162,17 +166,20 @@ def engineered(panel: DataFrame, climate: DataFrame) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in FEATURES if c not in PAIR})
 
 
+def _trees(label: str, rounds: int, rate: float, depth: int, sample: float, validation: str | None, seed: int) -> GBTRegressor:
+    trees = GBTRegressor(
+        featuresCol="features", labelCol=label, predictionCol="yhat", maxIter=rounds, stepSize=rate, maxDepth=depth,
+        subsamplingRate=sample, seed=seed, maxBins=64,
+    )
+    return trees.setValidationIndicatorCol(validation) if validation else trees
+
+
 def boosted(
     features: Sequence[str] = FEATURES, label: str = "units", *, rounds: int = 100, rate: float = 0.05, depth: int = 5,
     sample: float = 0.9, validation: str | None = None, seed: int = 42,
 ) -> Pipeline:
     """Boosted trees over the whole panel; `validation` names a flag column whose rows stop the boosting early."""
-    trees = GBTRegressor(
-        featuresCol="features", labelCol=label, predictionCol="yhat", maxIter=rounds, stepSize=rate, maxDepth=depth,
-        subsamplingRate=sample, seed=seed, maxBins=64,
-    )
-    if validation:
-        trees = trees.setValidationIndicatorCol(validation)
+    trees = _trees(label, rounds, rate, depth, sample, validation, seed)
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), trees])
 
 
@@ -200,17 +207,60 @@ def cross_validate(df: DataFrame, make, folds: int = 5, fold: str = "fold", labe
     return out
 
 
-def search(train: DataFrame, valid: DataFrame, grid: Sequence[dict], objective: str = "wape", label: str = "units") -> list[tuple[float, dict]]:
+class ErrorEvaluator(Evaluator):
+    """WAPE or RMSE of `yhat`, the smaller the better; usable in Spark's own validators as well."""
+
+    def __init__(self, objective: str = "wape", label: str = "units"):
+        super().__init__()
+        self.measure = {"wape": M.wape, "rmse": M.rmse}[objective](label, "yhat")
+
+    def _evaluate(self, dataset: DataFrame) -> float:
+        value = dataset.agg(self.measure.alias("v")).first()["v"]
+        return math.inf if value is None else float(value)
+
+    def isLargerBetter(self) -> bool:
+        return False
+
+
+def search(
+    train: DataFrame, valid: DataFrame, grid: Sequence[dict], objective: str = "wape", label: str = "units", *,
+    rounds: int = 100, heats: int = 3, short: int = 10, at_once: int = 4,
+) -> list[tuple[float, dict]]:
     """Grid trials scored on the validation part, which also stops their boosting early, best first.
 
-    Each trial is a distributed fit and one aggregate row.
+    Successive halving: all trials run a short boosting, the better half one of twice the rounds, until the last heat has
+    `rounds` (or the trial's own); trials that left earlier rank after those that stayed. No heat has fewer than `short`
+    rounds: the first trees tell little about the rate, and where all rounds are as few, the first heat is the last. The table is assembled and
+    written once per set of features, and `at_once` trials run side by side, each a distributed fit and one aggregate row.
     """
-    measure = {"wape": M.wape, "rmse": M.rmse}[objective](label, "yhat")
-    both, trials = train.withColumn("_stop", F.lit(False)).unionByName(valid.withColumn("_stop", F.lit(True))), []
+    both = train.withColumn("_stop", F.lit(False)).unionByName(valid.withColumn("_stop", F.lit(True)))
+    tables: dict[tuple, DataFrame] = {}
     for options in grid:
-        predicted = boosted(label=label, validation="_stop", **options).fit(both).transform(valid)
-        trials.append((predicted.agg(measure.alias("v")).first()["v"], options))
-    return sorted(trials, key=lambda t: t[0])
+        features = tuple(options.get("features", FEATURES))
+        if features not in tables:
+            assembled = VectorAssembler(inputCols=list(features), outputCol="features").transform(both)
+            tables[features] = materialize(assembled.select("features", label, "_stop"), "trials")
+    evaluator = ErrorEvaluator(objective, label)
+
+    def trial(options: dict, heat: int) -> float:
+        table = tables[tuple(options.get("features", FEATURES))]
+        full = options.get("rounds", rounds)
+        given = {"rate": 0.05, "depth": 5, "sample": 0.9, "seed": 42} | {k: v for k, v in options.items() if k not in ("features", "rounds")}
+        model = _trees(label, rounds=max(min(full, short), full >> (heats - 1 - heat)), validation="_stop", **given).fit(table)
+        return evaluator.evaluate(model.transform(table.where("_stop")))
+
+    running, ranked = list(grid), []
+    heats = 1 if all(o.get("rounds", rounds) <= short for o in grid) else heats
+    with ThreadPoolExecutor(at_once) as pool:
+        for heat in range(heats):
+            job = inheritable_thread_target(train.sparkSession)(lambda options, heat=heat: trial(options, heat))
+            scores = list(pool.map(job, running))
+            order = sorted(range(len(running)), key=scores.__getitem__)
+            stay = len(running) if heat == heats - 1 else -(-len(running) // 2)
+            left = [(scores[i], running[i]) for i in order]
+            ranked = (left if heat == heats - 1 else left[stay:]) + ranked
+            running = [o for _, o in left[:stay]]
+    return ranked
 
 
 def trials_table(spark: SparkSession, trials: Sequence[tuple[float, dict]]) -> DataFrame:

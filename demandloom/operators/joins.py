@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from demandloom import PAIR
 from demandloom.functions import dates as D
+from demandloom.session import materialize
 
 
 def keep_pairs(df: DataFrame, pairs: DataFrame, keys: Sequence[str] = PAIR) -> DataFrame:
@@ -97,3 +99,29 @@ def densify(df: DataFrame, value: str = "units", keys: Sequence[str] = PAIR) ->
     return spine.join(df.select(*keys, "date", value), [*keys, "date"], "left").withColumn(
         value, F.coalesce(value, F.lit(0.0))
     )
+
+
+def with_positions(df: DataFrame, order: Sequence[str], name: str = "position") -> DataFrame:
+    """0-based row number of the whole table in the given order, ties in no particular order.
+
+    Rows are range-partitioned, sorted inside their partition and written with their place in it; the partitions' sizes,
+    one row each, give the offsets. No task sees more than one range.
+    """
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    placed = materialize(placed, "positions").withColumns({"_part": F.shiftright("_id", 33), "_in": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))})
+    earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # one row per partition
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    return placed.join(starts, "_part").withColumn(name, F.col("_start") + F.col("_in")).drop("_id", "_part", "_in", "_start")
+
+
+def positional_join(
+    left: DataFrame, right: DataFrame, left_order: Sequence[str], right_order: Sequence[str], *, name: str = "position", suffix: str = "_right"
+) -> DataFrame:
+    """Rows of two tables side by side by their place in the given orders; the shorter one's columns are NULL after its end.
+
+    Columns of the right table that the left one has too get `suffix`.
+    """
+    a, b = with_positions(left, left_order, name), with_positions(right, right_order, name)
+    b = b.withColumnsRenamed({c: c + suffix for c in right.columns if c in left.columns})
+    return a.join(b, name, "full")

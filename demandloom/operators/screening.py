@@ -165,78 +165,3 @@ def principal_components(df: DataFrame, features: Sequence[str], k: int = 3) ->
     model = PCA(k=k, inputCol="features", outputCol="pc").fit(data)
     rows = [(i + 1, float(v)) for i, v in enumerate(model.explainedVariance.toArray())]
     return df.sparkSession.createDataFrame(rows, "component int, explained_ratio double")
-
-
-# Published response surfaces of the unit-root test with a constant.
-ADF_CRITICAL = {
-    "crit_1": (-3.43035, -6.5393, -16.786, -79.433),
-    "crit_5": (-2.86154, -2.8903, -4.234, -40.040),
-    "crit_10": (-2.56677, -1.5384, -2.809, 0.0),
-}
-ADF_SMALL_P = (2.1659, 1.4412, 0.038269)
-ADF_LARGE_P = (1.7339, 0.93202, -0.12745, -0.010368)
-ADF_BOUNDS = (-18.83, -1.61, 2.74)
-
-
-def _adf_pvalue(t: float) -> float:
-    low, switch, high = ADF_BOUNDS
-    if t > high:
-        return 1.0
-    if t < low:
-        return 0.0
-    powers = ADF_SMALL_P if t <= switch else ADF_LARGE_P
-    z = sum(c * t**i for i, c in enumerate(powers))
-    return 0.5 * math.erfc(-z / math.sqrt(2))
-
-
-def _unit_root(y: np.ndarray) -> tuple[float, int, int] | None:
-    """Test statistic, lags chosen by AIC, observations used; None when the series is too short or constant."""
-    n = len(y)
-    most = min(math.ceil(12 * (n / 100) ** 0.25), n // 2 - 2)
-    if most < 0 or np.ptp(y) == 0:
-        return None
-    change = np.diff(y)
-
-    def regression(lags: int, first: int):
-        rows = np.arange(first, n - 1)
-        design = np.column_stack([y[rows], np.ones(len(rows)), *[change[rows - k] for k in range(1, lags + 1)]])
-        inverse = np.linalg.pinv(design.T @ design, hermitian=True)
-        coef = inverse @ design.T @ change[rows]
-        rss = float(((change[rows] - design @ coef) ** 2).sum())
-        return coef, inverse, rss, len(rows), design.shape[1]
-
-    def aic(lags: int) -> float:
-        _, _, rss, count, p = regression(lags, most)
-        return count * (math.log(2 * math.pi * rss / count) + 1) + 2 * p if rss > 0 else -math.inf
-
-    best = min(range(most + 1), key=aic)
-    coef, inverse, rss, count, p = regression(best, best)
-    if count <= p or rss == 0:
-        return None
-    return float(coef[0] / math.sqrt(rss / (count - p) * inverse[0, 0])), best, count
-
-
-def stationarity(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("station_nbr",), date: str = "date") -> DataFrame:
-    """Augmented Dickey-Fuller test with a constant for every series and column, p < 0.05 called stationary.
-
-    A group is one column of one series, a calendar long at most; the groups spread over the cluster.
-    """
-    tall = df.select(*keys, date, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot([*keys, date], list(columns), "column", "value")
-    result = "statistic double, pvalue double, lags int, n int, crit_1 double, crit_5 double, crit_10 double, stationary boolean"
-    schema = ", ".join(f"{name} {kind}" for name, kind in tall.select(*keys, "column").dtypes) + ", " + result
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = [*keys, "column"]
-        found = _unit_root(pdf.sort_values(date)["value"].to_numpy(float))
-        if found is None:
-            row = [None] * 8
-        else:
-            t, lags, n = found
-            p = _adf_pvalue(t)
-            limits = [sum(c / n**i for i, c in enumerate(surface)) for surface in ADF_CRITICAL.values()]
-            row = [t, p, lags, n, *limits, p < 0.05]
-        head = [pdf[k].iloc[0] for k in names]
-        columns_ = [*names, "statistic", "pvalue", "lags", "n", *ADF_CRITICAL, "stationary"]
-        return pd.DataFrame([head + row], columns=columns_)
-
-    return tall.where(F.col("value").isNotNull()).groupBy(*keys, "column").applyInPandas(one, schema)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -29,6 +29,28 @@ def drop_incomplete_history(df: DataFrame, flag: str = "is_kaggle_test") -> Data
     return df.where(F.col(flag) | complete)
 
 
+def keyed_frames(df: DataFrame, keys: Sequence[str], columns: Sequence[str], by: Sequence[str] = (), name: str = "frames") -> DataFrame:
+    """`by, frames`: a map from the text of the keys (`a_b`) to the key's rows, an array of `columns` in order.
+
+    For keys with few rows each (a series' forecasts); `by` says which keys share a map.
+    """
+    key = F.concat_ws("_", *[F.col(k).cast("string") for k in keys])
+    rows = df.groupBy(*by, key.alias("_key")).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("_rows"))
+    return rows.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("_key", "_rows"))).alias(name))
+
+
+def flatten_frames(df: DataFrame, key: str = "store_item", name: str = "frames") -> DataFrame:
+    """One row per row of every frame in the maps, with its key and the columns beside the map; keys without rows vanish."""
+    kept = [c for c in df.columns if c != name]
+    return df.select(*kept, F.explode(name).alias(key, "_rows")).select(*kept, key, F.inline("_rows"))
+
+
+def union_frames(frames: Mapping[str, DataFrame], key: str = "store_item") -> DataFrame:
+    """Frames by key as one table with the key as a column; a column that a frame lacks is NULL there."""
+    tagged = [df.withColumn(key, F.lit(k)) for k, df in frames.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
+
+
 def distinct_pairs(df: DataFrame, keys: Sequence[str] = PAIR) -> DataFrame:
     return df.select(*keys).distinct()
 

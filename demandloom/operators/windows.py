@@ -41,51 +41,8 @@ def rolling_stats(
     )
 
 
-def ewma_frame(alpha: float) -> int:
-    """Known values after which a weight (1−α)^k no longer changes a double."""
-    return max(1, math.ceil(-44 / math.log(1 - alpha)))
-
-
-def with_past_values(df: DataFrame, value: str, alphas: Sequence[float], *, keys=PAIR, date="date") -> DataFrame:
-    """Column `_past`: place in the series and value of the last known values before each row, in order.
-
-    The frame counts known values, not rows, so that a gap of any length neither pushes them out nor fills the array.
-    """
-    known = X.null_if_nan(F.col(value).cast("double"))
-    rows = series(keys, date)
-    df = df.withColumns(
-        {
-            "_at": F.row_number().over(rows),
-            "_known": F.count(known).over(rows.rowsBetween(W.unboundedPreceding, -1)),
-        }
-    )
-    frame = W.partitionBy(*keys).orderBy("_known").rangeBetween(-max(map(ewma_frame, alphas)), -1)
-    past = F.collect_list(F.when(known.isNotNull(), F.struct(F.col("_at").alias("at"), known.alias("x")))).over(frame)
-    return df.withColumn("_past", F.sort_array(past)).drop("_at", "_known")
-
-
-def ewma_fold(past: Column, alphas: Sequence[float], *, adjust: bool) -> Column:
-    """Array of exponentially weighted means of `_past`, one per alpha, in one pass over its values.
-
-    A value's weight falls by 1 − α with every row, missing ones included. Adjusted means divide by the sum of the
-    weights; unadjusted ones blend the aged mean, whose weight is 1 before it ages, with the next value.
-    """
-    state = F.struct(
-        F.lit(None).cast("int").alias("at"), *[F.lit(0.0).alias(f"{p}{i}") for i in range(len(alphas)) for p in ("m", "w")]
-    )
-
-    def step(acc: Column, v: Column) -> Column:
-        rows = F.coalesce(v["at"] - acc["at"], F.lit(1))
-        out = [v["at"].alias("at")]
-        for i, alpha in enumerate(alphas):
-            aged = acc[f"w{i}"] * F.when(rows == 1, F.lit(1 - alpha)).otherwise(F.pow(F.lit(1 - alpha), rows))
-            gain = F.lit(1.0) if adjust else F.when(acc["at"].isNull(), F.lit(1.0)).otherwise(F.lit(alpha))
-            out.append(((aged * acc[f"m{i}"] + gain * v["x"]) / (aged + gain)).alias(f"m{i}"))
-            out.append((aged + 1 if adjust else F.lit(1.0)).alias(f"w{i}"))
-        return F.struct(*out)
-
-    means = F.aggregate(past, state, step, lambda acc: F.array(*[acc[f"m{i}"] for i in range(len(alphas))]))
-    return F.when(F.size(past) > 0, means)
+#: Nats of decay after which a value no longer changes a double.
+FADED = 40.0
 
 
 def ewma(
@@ -94,12 +51,56 @@ def ewma(
 ) -> DataFrame:
     """One column per alpha over the rows before; `aliases` repeats it per window name, as the length has no effect.
 
-    A row inside a gap carries the mean of the values before the gap; a row with no earlier value has none.
+    A value's weight falls by 1 − α with every row, missing ones included. Adjusted means divide by the sum of the
+    weights; unadjusted ones blend the aged mean, whose weight is 1 before it ages, with the next value. A row inside a
+    gap carries the mean of the values before the gap; a row with no earlier value has none.
+
+    Each known value is a step (decay, gain) of a scan. Decays add up along the series and cut it into chunks of 40 nats:
+    inside a chunk weights are running sums of growing powers, which stay in range; of the chunk before only the total is
+    needed, and what lies further back has faded. No row carries the values before it. The corrections that gaps need
+    cost precision; unadjusted means therefore add up the values since the last gap once more, by whole powers of 1 − α,
+    and take only what lies before the gap from the scan.
     """
-    name = prefix or value
-    df = with_past_values(df, value, alphas, keys=keys, date=date)
-    df = df.withColumn("_means", ewma_fold(F.col("_past"), alphas, adjust=adjust))
-    df = df.withColumns({f"{name}_ewma_{a}": F.col("_means")[i] for i, a in enumerate(alphas)}).drop("_past", "_means")
+    name, rows = prefix or value, series(keys, date)
+    upto = rows.rowsBetween(W.unboundedPreceding, W.currentRow)
+    df = df.withColumns({"_x": X.null_if_nan(F.col(value).cast("double")), "_row": F.row_number().over(rows)})
+    df = df.withColumn("_at", F.last(F.when(F.col("_x").isNotNull(), F.col("_row")), ignorenulls=True).over(upto))
+    df = df.withColumn("_gap", F.when(F.col("_x").isNotNull(), F.col("_at") - F.lag("_at").over(rows)))
+    df = df.withColumn("_run", F.col("_at") - F.count("_x").over(upto))
+    for i, alpha in enumerate(alphas):
+        keep = 1 - alpha
+        if keep <= 0:
+            df = df.withColumn(f"_mean{i}", F.last("_x", ignorenulls=True).over(upto))
+            continue
+        fade = -math.log(keep)
+        both = F.pow(F.lit(keep), F.col("_gap")) + alpha  # weight of the aged mean plus that of the value
+        slower = F.lit(0.0) if adjust else F.coalesce(F.sum(F.log(both)).over(upto), F.lit(0.0))
+        df = df.withColumn("_slower", slower)
+        df = df.withColumn("_chunk", F.floor((F.col("_at") * fade + F.col("_slower")) / FADED))
+        own = W.partitionBy(*keys, "_chunk").orderBy(date).rowsBetween(W.unboundedPreceding, W.currentRow)
+        past = W.partitionBy(*keys).orderBy("_chunk").rangeBetween(-1, -1)
+        # The first row of a chunk, and of the chunk before, from which its weights grow.
+        df = df.withColumns({"_at0": F.min("_at").over(own), "_slower0": F.max("_slower").over(own)})
+        grown = F.pow(F.lit(keep), F.col("_at0") - F.col("_at")) * F.exp(F.col("_slower") - F.col("_slower0"))
+        gain = F.lit(1.0) if adjust else F.when(F.col("_gap").isNull(), 1.0).otherwise(alpha / both)
+        df = df.withColumn("_w", F.when(F.col("_x").isNotNull(), gain * grown))
+        df = df.withColumn("_wx", F.col("_w") * F.col("_x"))
+        aged = F.pow(F.lit(keep), F.col("_at0") - F.min("_at").over(past)) * F.exp(F.max("_slower").over(past) - F.col("_slower0"))
+        total = lambda c: F.sum(c).over(own) + F.coalesce(F.sum(c).over(past) * aged, F.lit(0.0))
+        if adjust:
+            df = df.withColumn(f"_mean{i}", F.try_divide(total("_wx"), total("_w")))
+            continue
+        # Unadjusted weights sum to 1 at the last known value. A run has no gap: places and values count up together.
+        df = df.withColumn("_scan", total("_wx") / grown).withColumn("_entry", F.lag("_scan").over(rows) * F.pow(F.lit(keep), F.col("_gap")) / both)
+        df = df.withColumn("_block", F.floor(F.col("_at") / max(1, int(600 / fade))))
+        run = W.partitionBy(*keys, "_run", "_block").orderBy(date).rowsBetween(W.unboundedPreceding, W.currentRow)
+        df = df.withColumn("_start", F.min("_at").over(run))
+        inside = F.sum(gain * F.pow(F.lit(keep), F.col("_start") - F.col("_at")) * F.col("_x")).over(run)
+        entry = F.coalesce(F.first("_entry").over(run), F.lit(0.0))
+        df = df.withColumn(f"_mean{i}", (inside + entry) * F.pow(F.lit(keep), F.col("_at") - F.col("_start")))
+    df = df.withColumns({f"{name}_ewma_{a}": F.lag(f"_mean{i}").over(rows) for i, a in enumerate(alphas)})
+    inner = ("_x", "_row", "_at", "_gap", "_slower", "_chunk", "_at0", "_slower0", "_w", "_wx", "_run", "_scan", "_entry", "_block", "_start")
+    df = df.drop(*inner, *[f"_mean{i}" for i in range(len(alphas))])
     return df.withColumns({f"{name}_ewma_{a}_{n}d": F.col(f"`{name}_ewma_{a}`") for a in alphas for n in aliases})
 
 

@@ -1,5 +1,7 @@
 """Fitting, scoring and what-if queries."""
 
+import datetime as dt
+
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from demandloom import PAIR
 from demandloom.functions import scalars as X
 from demandloom.operators import aggregates as A
+from demandloom.operators import changes as Ch
 from demandloom.operators import evaluation as E
 from demandloom.operators import forecast as Fc
 from demandloom.operators import sets as S
@@ -62,6 +65,40 @@ def _(spark, d):
     return rounded(rounded(out, ["r2"]), ["per_degree"], 4)
 
 
+_HINGES = (dt.date(1997, 1, 1), dt.date(1999, 7, 1))
+_HINGE_TERMS = seasonal_sql() | {f"change_{i}": f"greatest((date - DATE '{d}') / 365.25::DOUBLE, 0)" for i, d in enumerate(_HINGES)}
+_DAILY_TOTALS = "(SELECT province, category, date, sum(units) AS units FROM sales GROUP BY 1, 2, 3)"
+
+
+def _daily_totals(spark, d):
+    return A.total_by(panels.sales(spark, d), ["province", "category", "date"], name="units")
+
+
+@query(
+    "fc1_fixed_trend_changes",
+    f"""WITH {least_squares(_DAILY_TOTALS, ['province', 'category'], _HINGE_TERMS, 'units', least=60)}
+        SELECT province, category, n, round(b1, 4) + 0 AS slope, round(b14, 4) + 0 AS change_1997, round(b15, 4) + 0 AS change_1999 FROM ols""",
+)
+def _(spark, d):
+    """The slope of each province's and category's demand and its changes at two given dates."""
+    terms = Fc.seasonal_terms() | Ch.hinge_terms(_HINGES)
+    models = Fc.fit_seasonal(_daily_totals(spark, d), ["province", "category"], terms=terms, least=60)
+    coef = lambda i, name: F.col("fit.coef")[i].alias(name)
+    return rounded(models.select("province", "category", "n", coef(1, "slope"), coef(14, "change_1997"), coef(15, "change_1999")), None, 4)
+
+
+@query("fc1_trend_changes")
+def _(spark, d):
+    """Where the trend of each province and category changes: up to five of ten candidate dates, by forward selection."""
+    totals = materialize(_daily_totals(spark, d), "totals")
+    span = totals.agg(F.min("date").alias("a"), F.max("date").alias("b")).first()
+    dates = Ch.candidate_dates(span["a"], span["b"]) if span["a"] else [dt.date(1995, 1, 1)]
+    models, terms = Ch.fit_with_changes(totals, dates, F.col("units"), ["province", "category"])
+    at = len(terms) - len(dates) + 1
+    change = F.transform("fit.changes", lambda i: F.struct(F.get(F.array(*map(F.lit, dates)), i).alias("date"), F.get("fit.coef", i + at).alias("slope")))
+    return models.select("province", "category", "n", F.col("fit.sigma").alias("sigma"), F.size("fit.changes").alias("n_changes"), change.alias("changes"))
+
+
 @query(
     "fc2_intervals",
     f"""WITH {least_squares(_TRAIN, ['store_nbr', 'item_nbr'], _TERMS, 'units', least=60)},

@@ -242,3 +242,17 @@ def _(spark, d):
 )
 def _(spark, d):
     return Wn.lags(_slim(spark, d), "units", [1, 2, 7, 14])
+
+
+@query(
+    "jn17_positional_join",
+    """WITH a AS (SELECT row_number() OVER (ORDER BY date, store_nbr, item_nbr) - 1 AS position, date, store_nbr, item_nbr, units FROM sales),
+            b AS (SELECT row_number() OVER (ORDER BY date, province) - 1 AS position, date AS date_right, province, temperature FROM climate)
+       SELECT coalesce(a.position, b.position) AS position, date, store_nbr, item_nbr, units, date_right, province, temperature
+       FROM a FULL JOIN b ON a.position = b.position""",
+)
+def _(spark, d):
+    """Two tables side by side by row number, the longer one to its end."""
+    panel = panels.sales(spark, d, province=False).drop("category")
+    climate = panels.climate(spark, d).select("date", "province", "temperature")
+    return J.positional_join(panel, climate, ["date", *PAIR], ["date", "province"])

@@ -6,6 +6,7 @@ from demandloom import schema
 from demandloom.functions import dates as D
 from demandloom.functions import scalars as X
 from demandloom.operators import screening as Sc
+from demandloom.operators import unit_roots as U
 from demandloom.operators import windows as Wn
 from demandloom.plans.common import r6, rounded
 from demandloom.plans.least_squares_sql import least_squares
@@ -157,7 +158,7 @@ def _(spark, d):
 
 @query("fs9_stationarity")
 def _(spark, d):
-    return Sc.stationarity(panels.weather_numeric(spark, d), ["tmax", "tmin"])
+    return U.stationarity(panels.weather_numeric(spark, d), ["tmax", "tmin"])
 
 
 @query(

@@ -7,7 +7,7 @@ from demandloom.functions import scalars as X
 from demandloom.operators import aggregates as A
 from demandloom.operators import joins as J
 from demandloom.operators import sets as S
-from demandloom.plans.common import levels
+from demandloom.plans.common import levels, rounded
 from demandloom.plans.registry import query
 from demandloom.session import materialize, scratch_path
 from demandloom.sources import files, panels
@@ -57,6 +57,17 @@ def _(spark, d):
     return S.drop_incomplete_history(lags(flagged, "units", [7]).withColumnRenamed("units_lag_7", "lag_7"))
 
 
+@query(
+    "set4_flattened_frames",
+    """SELECT category, concat_ws('_', store_nbr, item_nbr) AS store_item, date, y, round(yhat, 6) + 0 AS yhat
+       FROM predictions WHERE date >= DATE '2001-01-01'""",
+)
+def _(spark, d):
+    """Forecasts kept as frames by series, one map per category, as one table again."""
+    recent = panels.predictions(spark, d).where(F.col("date") >= F.lit(panels.TEST_START).cast("date"))
+    return rounded(S.flatten_frames(S.keyed_frames(recent, PAIR, ["date", "y", "yhat"], ["category"])), ["yhat"])
+
+
 @query("set5_distinct_pairs", "SELECT DISTINCT store_nbr, item_nbr FROM sales")
 def _(spark, d):
     return S.distinct_pairs(panels.sales(spark, d, province=False))
