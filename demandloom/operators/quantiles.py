@@ -4,25 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from demandloom.session import materialize
 
-COARSE = 16
-BINS = COARSE * COARSE
+BINS = 256
 
 
-def _below(splitters: Column, value: Column) -> Column:
-    return F.size(F.filter(splitters, lambda s: s < value))
-
-
-def _bin_of(splitters: Column, value: Column) -> Column:
-    """Number of splitters below a value, found in two short looks: every 16th splitter, then the 15 after it."""
-    coarse = F.array(*[F.get(splitters, i * COARSE - 1) for i in range(1, COARSE)])
-    block = _below(coarse, value)
-    return block * COARSE + _below(F.slice(splitters, block * COARSE + 1, COARSE - 1), value)
+def _with_bin(df: DataFrame, splitters: str, value: str, name: str) -> DataFrame:
+    """Number of splitters below a value, by halving: one comparison per bit, each its own projection in generated code."""
+    df = df.withColumn(name, F.lit(0))
+    step = BINS // 2
+    while step:
+        above = F.get(F.col(splitters), F.col(name) + (step - 1)) < F.col(value)
+        df = df.withColumn(name, F.when(above, F.col(name) + step).otherwise(F.col(name)))
+        step //= 2
+    return df
 
 
 def exact_quantiles(
@@ -41,7 +40,7 @@ def exact_quantiles(
     cuts = [i / BINS for i in range(1, BINS)]
     splitters = known.groupBy("_k").agg(F.percentile_approx("_v", cuts, F.lit(10000)).alias("_s"))
     splitters = materialize(splitters, "quantile-splitters")
-    binned = known.join(splitters, "_k").select("_k", "_v", F.coalesce(_bin_of(F.col("_s"), F.col("_v")), F.lit(0)).alias("_b"))
+    binned = _with_bin(known.join(splitters, "_k"), "_s", "_v", "_b").drop("_s")
 
     # At most BINS rows per group reach these windows.
     order = W.partitionBy("_k").orderBy("_b")
