@@ -7,7 +7,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,19 +18,17 @@ SHINGLE = 5
 THRESHOLD = 75  # per cent
 #: SetSketch parameters: registers are floor(1 - log_b x) of minima x of exponentials with rate a, cut to 0..q+1.
 B, A, Q = 1.001, 20.0, (1 << 16) - 2
-#: Rows of a band and number of bands. A pair at 0.75 shares a band with probability 1 - (1 - 0.75^5)^48 > 0.999997.
-ROWS, BANDS = 5, 48
+#: Rows of a band and number of bands. A pair at 0.75 shares a band with probability 1 - (1 - 0.75^7)^68 > 0.9999, one at
+#: 0.5 with 0.41.
+ROWS, BANDS = 7, 68
 REGISTERS = ROWS * BANDS
 #: A pair goes on to verification unless its estimate lies this many standard deviations below the threshold.
 DEVIATIONS = 5.0
-#: Members of a bucket outside its most frequent class that are compared with the whole bucket at once; beyond, it is split.
-LOOSE = 200
-#: Members of a bucket drawn as further leaders, and levels of splitting.
-DRAWN = 6
-LEVELS = 3
+#: Classes of a bucket, the largest first, whose representatives meet the bucket's members in each round.
+LEADERS = 6
 PROFILE = "doc_id long, n_shingles long, same binary, sketch binary, bands array<bigint>"
 
-_SEEDS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64))
+_SEEDS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64)).astype(np.uint32)
 _BAND_SEEDS = mix(np.arange(1001, 1001 + BANDS, dtype=np.uint64))
 
 
@@ -47,16 +45,19 @@ def shingles(words: list[bytes]) -> set[tuple[bytes, ...]]:
 
 
 def registers(hashes: np.ndarray) -> np.ndarray:
-    """SetSketch registers of a set of 64-bit hashes: one independent exponential minimum each, on a log scale."""
-    least = np.full(REGISTERS, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(hashes), 2048):
-        part = hashes[i : i + 2048]
-        with np.errstate(over="ignore"):
-            drawn = (part[None, :] ^ _SEEDS[:, None]) * np.uint64(0xBF58476D1CE4E5B9)
-            drawn ^= drawn >> np.uint64(32)
-            drawn *= np.uint64(0x94D049BB133111EB)
+    """SetSketch registers of a set of 64-bit hashes: one exponential minimum each, on a log scale.
+
+    Each register draws from a hash of 32 bits, fine enough for the scale up to millions of members.
+    """
+    least = np.full(REGISTERS, np.iinfo(np.uint32).max, np.uint32)
+    short = (hashes ^ (hashes >> np.uint64(32))).astype(np.uint32)
+    for i in range(0, len(short), 2048):
+        drawn = short[None, i : i + 2048] ^ _SEEDS[:, None]
+        drawn *= np.uint32(0x85EBCA6B)
+        drawn ^= drawn >> np.uint32(16)
+        drawn *= np.uint32(0xC2B2AE35)
         np.minimum(least, drawn.min(axis=1), out=least)
-    x = -np.log1p(-(least.astype(np.float64) + 0.5) / 2.0**64) / A
+    x = -np.log1p(-(least.astype(np.float64) + 0.5) / 2.0**32) / A
     return np.clip(np.floor(1 - np.log(x) / np.log(B)), 0, Q + 1).astype(np.uint16)
 
 
@@ -195,64 +196,61 @@ def _fits(a: str, b: str) -> Column:
     return 100 * F.least(a, b) >= THRESHOLD * F.greatest(a, b)
 
 
-def _links(profile: DataFrame, docs: DataFrame, loose: int = LOOSE) -> DataFrame:
+def _led(member: DataFrame, turn: int) -> DataFrame:
+    """Pairs of a bucket's members with representatives of its largest classes, drawn anew in each turn."""
+    draw = F.xxhash64("doc_id", F.lit(turn))
+    classes = member.groupBy("key", "class").agg(F.count("*").alias("size"), F.min_by(F.struct("doc_id", "n"), draw).alias("lead"))
+    largest = Window.partitionBy("key").orderBy(F.desc("size"), "class")
+    leads = classes.withColumn("_at", F.row_number().over(largest)).where(F.col("_at") <= LEADERS)
+    leads = leads.select("key", F.col("class").alias("lc"), F.col("lead.doc_id").alias("l"), F.col("lead.n").alias("ln"))
+    met = member.join(leads, "key").where(_fits("n", "ln") & (F.col("class") != F.col("lc")))
+    return met.select(F.least("l", "doc_id").alias("a"), F.greatest("l", "doc_id").alias("b")).distinct()
+
+
+def _links(profile: DataFrame, docs: DataFrame) -> DataFrame:
     """Verified links between representatives, enough of them to give every class.
 
-    Per bucket all members are compared with its smallest member, then those of other classes with a few members drawn
-    by hash, which joins a large group of copies up even where many of its pairs are below the threshold. What is still
-    outside the bucket's most frequent class is compared with all members of other classes: at once where it is little,
-    else after the bucket is split by the other bands of its members, which random neighbours don't share. At the last
-    level nothing is left out.
+    Per bucket all members are compared with its smallest member, then, turn by turn, those of other classes with members
+    drawn from its largest classes, until a turn joins nothing: work stays in proportion to the members, and a large group
+    of copies comes together even where many of its pairs are below the threshold. What is still outside the bucket's
+    largest class is then compared with all members of other classes. No pair is compared twice.
     """
     sketches = profile.select("doc_id", "n_shingles", "sketch")
     sizes = profile.select("doc_id", F.col("n_shingles").alias("n"))
     keys = profile.select("doc_id", F.explode("bands").alias("key"))
-    texts = links = None
+    shared = keys.groupBy("key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("_other")).where("leader < _other")
+    keys = materialize(keys.join(shared.drop("_other"), "key").distinct(), "near-buckets")
+    wanted = keys.select("doc_id").distinct()
+    texts = materialize(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text"), "near-texts")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        return materialize(_verified(_likely(pairs, sketches), texts), "near-links")
-
-    for level in range(LEVELS):
-        shared = keys.groupBy("key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("_other")).where("leader < _other")
-        keys = materialize(keys.join(shared.drop("_other"), "key").distinct(), "near-buckets")
-        if texts is None:
-            wanted = keys.select("doc_id").distinct()
-            texts = materialize(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text"), "near-texts")
-        if links is None:
-            star = keys.where("doc_id > leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b"))
-            links = confirmed(star.distinct())
-        member = _with_classes(keys, links, sizes)
-        if member.isEmpty():
-            break
-
-        drawn = [F.xxhash64("doc_id", F.lit(i)) for i in range(DRAWN)]
-        parts = {"doc_id": "a", "class": "ac", "n": "an"}
-        some = [F.struct(*[F.min_by(c, h).alias(name) for c, name in parts.items()]) for h in drawn]
-        guides = member.groupBy("key").agg(*[c.alias(f"g{i}") for i, c in enumerate(some)])
-        guides = guides.select("key", F.inline(F.array_distinct(F.array(*[f"g{i}" for i in range(DRAWN)]))).alias("a", "ac", "an"))
-        tried = member.join(guides, "key").where(_fits("n", "an") & (F.col("class") != F.col("ac"))).select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b"))
-        links = links.unionByName(confirmed(tried.distinct()))
+        likely = materialize(_likely(pairs, sketches), "near-likely")
+        return materialize(_verified(likely, texts), "near-links")
+
+    star = keys.where("doc_id > leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
+    tried = materialize(star, "near-pairs")
+    links = confirmed(tried)
+    turn = 0
+    while True:
         member = _with_classes(keys, links, sizes)
         if member.isEmpty():
+            return links
+        turn += 1
+        fresh = materialize(_led(member, turn).join(tried, ["a", "b"], "left_anti"), "near-pairs")
+        found = confirmed(fresh)
+        if found.isEmpty():
             break
-
-        classes = member.groupBy("key", "class").agg(F.count("*").alias("n"))
-        home = classes.groupBy("key").agg(F.max_by("class", F.struct("n", "class")).alias("home"), (F.sum("n") - F.max("n")).alias("n"))
-        home = materialize(home, "near-homes")
-        few = home if level == LEVELS - 1 else home.where(F.col("n") <= loose)
-        placed = member.join(few.select("key", "home"), "key").withColumn("out", F.col("class") != F.col("home"))
-        left = placed.where("out").select("key", F.col("doc_id").alias("o"), F.col("class").alias("oc"), F.col("n").alias("on"))
-        right = placed.select("key", F.col("doc_id").alias("r"), F.col("class").alias("rc"), F.col("n").alias("rn"), "out")
-        # Two members outside meet once, in the order of their ids; a member inside meets each one outside.
-        cross = left.join(right, "key").where(_fits("on", "rn") & F.expr("oc <> rc AND (NOT out OR o < r)"))
-        links = links.unionByName(confirmed(cross.select(F.least("o", "r").alias("a"), F.greatest("o", "r").alias("b")).distinct()))
-        crowded = home.where(F.col("n") > loose)
-        if level == LEVELS - 1 or crowded.isEmpty():
-            break
-        split_up = keys.join(crowded.select("key"), "key").join(profile.select("doc_id", "bands"), "doc_id")
-        keys = split_up.select("doc_id", "key", F.explode("bands").alias("_more")).where("_more <> key")
-        keys = keys.select("doc_id", F.xxhash64(F.least("key", "_more"), F.greatest("key", "_more")).alias("key"))
-    return links
+        tried, links = tried.unionByName(fresh), links.unionByName(found)
+
+    classes = member.groupBy("key", "class").agg(F.count("*").alias("n"))
+    home = classes.groupBy("key").agg(F.max_by("class", F.struct("n", "class")).alias("home"))
+    placed = member.join(home, "key").withColumn("out", F.col("class") != F.col("home"))
+    left = placed.where("out").select("key", F.col("doc_id").alias("o"), F.col("class").alias("oc"), F.col("n").alias("on"))
+    right = placed.select("key", F.col("doc_id").alias("r"), F.col("class").alias("rc"), F.col("n").alias("rn"), "out")
+    # Two members outside meet once, in the order of their ids; a member inside meets each one outside.
+    cross = left.join(right, "key").where(_fits("on", "rn") & F.expr("oc <> rc AND (NOT out OR o < r)"))
+    cross = cross.select(F.least("o", "r").alias("a"), F.greatest("o", "r").alias("b")).distinct()
+    return links.unionByName(confirmed(cross.join(tried.unionByName(fresh), ["a", "b"], "left_anti")))
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
