@@ -18,21 +18,21 @@ from pyspark.sql import functions as F
 from demandloom.llm.common import word_count
 from demandloom.session import materialize
 
-#: A repeated run counts from so many words on, over any number of lines.
-MIN_WORDS = 10
-#: With this floor every repeated run that is not blank counts, single short lines included.
-ANY_WORDS = 1
+#: A repeated run counts from so many words on, over any number of lines: any that is not blank, single short lines too.
+MIN_WORDS = 1
 #: Ranks and hashes are cut into blocks of so many bits for prefix sums, so that no window holds a whole group.
 BLOCK_BITS = 12
 RUNS = "doc_id long, row long, lo int, n int, head long, tail long"
 
 
-def _lines(docs: DataFrame) -> DataFrame:
+def _lines(docs: DataFrame, min_words: int) -> DataFrame:
+    """Lines with their hashes and words; where one word is enough, 1 stands for any number."""
     text = F.coalesce("text", F.lit(""))
+    words = word_count(F.col("_line")) if min_words > 1 else (F.btrim("_line", F.lit(" \t\n\x0b\x0c\r")) != "").cast("long")
     cut = docs.where("doc_id IS NOT NULL").select(
         "doc_id", F.xxhash64("text").alias("row"), F.posexplode(F.split(text, "\n", -1)).alias("at", "_line")
     )
-    return cut.select("doc_id", "row", "at", F.xxhash64("_line").alias("h"), F.hash("_line").alias("g"), word_count(F.col("_line")).alias("words"))
+    return cut.select("doc_id", "row", "at", F.xxhash64("_line").alias("h"), F.hash("_line").alias("g"), words.alias("words"))
 
 
 def _first_ranks(lines: DataFrame) -> DataFrame:
@@ -66,21 +66,49 @@ def _refined(active: DataFrame, reach: int) -> DataFrame:
     )
 
 
-def suffix_ranks(docs: DataFrame) -> DataFrame:
-    """doc_id, row (hash of the text), at (line), words, and `ranks` by 1, 2, 4, … lines until they are final."""
-    active = _first_ranks(materialize(_lines(docs), "lines")).withColumn("ranks", F.array("rank"))
+def suffix_ranks(docs: DataFrame, min_words: int = MIN_WORDS, *, whole: bool = False) -> DataFrame:
+    """doc_id, row (hash of the text), at (line), words, and `ranks` by 1, 2, 4, … lines.
+
+    Two ranks by 2^j lines name a run of up to 2^(j+1), so doubling stops at the longest of the runs that are to be
+    named; with `whole` it goes on until no group splits, when ranks order all suffixes.
+    """
+    active = _first_ranks(materialize(_lines(docs, min_words), "lines")).withColumn("ranks", F.array("rank"))
     active = materialize(active, "line-ranks")
-    groups = active.select("rank").distinct().count()
+    longest = None if whole else _longest(active, min_words)
+    groups = active.select("rank").distinct().count() if whole else 1
     reach = 1
-    while groups:
+    while groups and (whole or 2 * reach <= longest):
         refined = materialize(_refined(active, reach), "line-ranks")
-        now = refined.select("rank").distinct().count()
-        if now == groups:
-            return active
-        active, groups, reach = refined, now, 2 * reach
+        if whole:
+            now = refined.select("rank").distinct().count()
+            if now == groups:
+                return active
+            groups = now
+        active, reach = refined, 2 * reach
     return active
 
 
+def _pieces(lines: list) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Stretches of repeated lines that follow each other: offset in the list, line numbers, words."""
+    at = np.array([x["at"] for x in lines])
+    words = np.array([x["words"] for x in lines])
+    breaks = [0, *(np.flatnonzero(np.diff(at) != 1) + 1), len(at)]
+    for a, b in zip(breaks, breaks[1:]):
+        yield a, at[a:b], words[a:b]
+
+
+def _longest(suffixes: DataFrame, least: int) -> int:
+    """Lines of the longest of the shortest runs."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            lengths = [j - i + 1 for lines in batch["lines"] for _, _, words in _pieces(lines) for i, j in shortest_runs(words, least)]
+            yield pd.DataFrame({"n": [max(lengths, default=0)]})
+
+    lines = F.sort_array(F.collect_list(F.struct("at", "words"))).alias("lines")
+    return suffixes.groupBy("doc_id", "row").agg(lines).select("lines").mapInPandas(run, "n int").agg(F.max("n")).first()[0] or 0
+
+
 def shortest_runs(words: np.ndarray, least: int) -> set[tuple[int, int]]:
     """First and last line of the shortest runs of at least `least` words from each line on and up to each line.
 
@@ -101,15 +129,12 @@ def _runs(suffixes: DataFrame, least: int) -> DataFrame:
         for batch in batches:
             out = []
             for doc_id, row, lines in zip(batch["doc_id"], batch["row"], batch["lines"]):
-                at = np.array([x["at"] for x in lines])
-                words = np.array([x["words"] for x in lines])
-                breaks = [0, *(np.flatnonzero(np.diff(at) != 1) + 1), len(at)]
-                for a, b in zip(breaks, breaks[1:]):
-                    for i, j in shortest_runs(words[a:b], least):
+                for a, at, words in _pieces(lines):
+                    for i, j in shortest_runs(words, least):
                         n = j - i + 1
                         level = min(n.bit_length(), len(lines[a + i]["ranks"])) - 1
                         tail = a + j + 1 - (1 << level)
-                        out.append((doc_id, row, at[a + i], n, lines[a + i]["ranks"][level], lines[tail]["ranks"][level]))
+                        out.append((doc_id, row, at[i], n, lines[a + i]["ranks"][level], lines[tail]["ranks"][level]))
             yield pd.DataFrame(out, columns=["doc_id", "row", "lo", "n", "head", "tail"])
 
     lines = F.sort_array(F.collect_list(F.struct("at", "words", "ranks"))).alias("lines")
@@ -118,7 +143,7 @@ def _runs(suffixes: DataFrame, least: int) -> DataFrame:
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Runs of lines, `lo` and `n`, that have a copy earlier in the corpus, by doc_id and line."""
-    runs = materialize(_runs(suffix_ranks(docs), min_words), "line-runs")
+    runs = materialize(_runs(suffix_ranks(docs, min_words), min_words), "line-runs")
     place = F.struct("doc_id", "row", "lo")
     first = runs.groupBy("n", "head", "tail").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last")
     return runs.join(first.drop("last"), ["n", "head", "tail"]).where(place > F.col("first")).select("doc_id", "row", "lo", "n")

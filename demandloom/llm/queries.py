@@ -63,8 +63,9 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-def op7_line_dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), line_dedup.ANY_WORDS)
+def op7_line_dedup_ten_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated runs of ten words or more only."""
+    found = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), 10)
     return found.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
@@ -114,7 +115,7 @@ QUERIES = {
     "op5_bpe": op5_bpe,
     "op6_html_text": op6_html_text,
     "op7_line_dedup": op7_line_dedup,
-    "op7_line_dedup_all": op7_line_dedup_all,
+    "op7_line_dedup_ten_words": op7_line_dedup_ten_words,
     "op8_mix": op8_mix,
     "op9_token_files": op9_token_files,
     "op10_quality": op10_quality,
@@ -173,7 +174,7 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text
   FROM (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM d)
 ), c AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS c FROM l
 ), p AS (SELECT a.doc_id, a.i AS i, b.i AS j, a.c - a.w AS e, b.c AS c FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.i <= b.i
-         WHERE b.c - a.c + a.w >= 10
+         WHERE b.c - a.c + a.w >= 1
 ), r AS (
   SELECT doc_id, i, min(j) AS j FROM p GROUP BY doc_id, i UNION SELECT doc_id, max(i) AS i, j FROM p GROUP BY doc_id, j
 ), k AS (
@@ -289,5 +290,5 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
 """,
 }
 
-#: Repeated runs of one word or more, by the same statement.
-ORACLE_SQL["op7_line_dedup_all"] = ORACLE_SQL["op7_line_dedup"].replace(">= 10", ">= 1")
+#: Repeated runs of ten words or more, by the same statement.
+ORACLE_SQL["op7_line_dedup_ten_words"] = ORACLE_SQL["op7_line_dedup"].replace("a.w >= 1\n", "a.w >= 10\n")

@@ -38,8 +38,8 @@ def test_near_edge_of_the_threshold(spark):
     assert [r["component_id"] == 1 for r in got] == expected == [True, True, False]
 
 
-def test_near_chains_and_split_buckets(spark, monkeypatch):
-    """Drifting copies are linked only to their neighbours; a tiny limit sends buckets through the splitting levels."""
+def test_near_chains(spark, monkeypatch):
+    """Drifting copies are linked only to their neighbours, which leaders of large classes alone don't find."""
     rng = random.Random(3)
     words = [f"w{i}" for i in range(400)]
     rows = []
@@ -59,7 +59,8 @@ def test_near_chains_and_split_buckets(spark, monkeypatch):
     plain = {r["doc_id"]: r["component_id"] for r in by_id(near_dedup.near_dedup(docs))}
     assert plain == root
     profile = near_dedup.profiles(docs).drop("same").cache()
-    links = near_dedup._links(profile, docs, loose=1)
+    monkeypatch.setattr(near_dedup, "LEADERS", 1)
+    links = near_dedup._links(profile, docs)
     split = {r["doc_id"]: r["component"] for r in near_dedup.components(links).collect()}
     assert {i: split.get(i, i) for i in root} == root
 
@@ -182,7 +183,7 @@ def test_lines_by_brute_force(spark, seed):
                     runs.append((i, a, b))
     gone = {(i, p) for i, a, b in runs if first[tuple(docs[i][a:b])] < (i, a) for p in range(a, b)}
     expected = {i: "\n".join(x for p, x in enumerate(lines) if (i, p) not in gone) for i, lines in docs.items()}
-    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 10)
     assert {r["doc_id"]: r["kept"] for r in by_id(got)} == expected
 
 
@@ -202,7 +203,7 @@ def test_short_lines_by_brute_force(spark, seed):
                     runs.append((i, a, b))
     gone = {(i, p) for i, a, b in runs if first[tuple(docs[i][a:b])] < (i, a) for p in range(a, b)}
     expected = {i: "\n".join(x for p, x in enumerate(lines) if (i, p) not in gone) for i, lines in docs.items()}
-    got = {r["doc_id"]: r["kept"] for r in by_id(line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), line_dedup.ANY_WORDS))}
+    got = {r["doc_id"]: r["kept"] for r in by_id(line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")))}
     assert got == expected
     left = [x for t in got.values() for x in t.split("\n") if x.split()]
     assert len(left) == len(set(left))
@@ -210,7 +211,7 @@ def test_short_lines_by_brute_force(spark, seed):
 
 def test_suffix_ranks_order_all_suffixes(spark):
     rows = [(1, "a\nb\na\nb\nc"), (2, "b\na\nb\na"), (3, "c\nc\nz"), (4, "a\nb")]
-    got = line_dedup.suffix_ranks(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = line_dedup.suffix_ranks(spark.createDataFrame(rows, "doc_id long, text string"), whole=True).collect()
     final = {(r["doc_id"], r["at"]): r["ranks"][-1] for r in got}
     single = {(r["doc_id"], r["at"]): r["ranks"][0] for r in got}
 
