@@ -103,7 +103,8 @@ def within(queries: DataFrame, index: DataFrame, radius: int = RADIUS, blocks: i
     left = tables(queries.select(*HALVES).distinct(), [], blocks).select(F.col("f0").alias("q0"), F.col("f1").alias("q1"), "table", "key")
     right = tables(index.select(*HALVES).distinct(), [], blocks)
     apart = distance((F.col("q0"), F.col("q1")), (F.col("f0"), F.col("f1")))
-    found = left.join(right, ["table", "key"]).withColumn("bits", apart).where(F.col("bits") <= radius)
+    # Spark's size estimate doesn't see the rows that exploding adds; without the hint it may broadcast the whole index.
+    found = left.hint("merge").join(right.hint("merge"), ["table", "key"]).withColumn("bits", apart).where(F.col("bits") <= radius)
     return found.select("q0", "q1", *HALVES, "bits").distinct()
 
 
@@ -124,7 +125,8 @@ def count_near(queries: DataFrame, copies: DataFrame, radius: int = NEAR) -> Dat
     halves = distinct.select("q0", "q1", F.col("q0").alias("f0"), F.col("q1").alias("f1"))
     left = tables(halves, ["q0", "q1"], PARTS).drop(*HALVES).select("q0", "q1", "table", "key", flips)
     left = left.select("q0", "q1", "table", F.col("key").bitwiseXOR(F.col("flip")).alias("key"))
-    found = left.join(tables(copies, ["n"], PARTS), ["table", "key"])
+    # As in `within`: neither side may be broadcast on an estimate from before the rows were multiplied.
+    found = left.hint("merge").join(tables(copies, ["n"], PARTS).hint("merge"), ["table", "key"])
     differ = [F.col(q).bitwiseXOR(F.col(f)) for q, f in (("q0", "f0"), ("q1", "f1"))]
     mask, per_half = F.lit((1 << width) - 1), 64 // width
     parts = [F.bit_count(F.shiftrightunsigned(differ[t // per_half], width * (t % per_half)).bitwiseAND(mask)) for t in range(PARTS)]
