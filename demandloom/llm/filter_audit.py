@@ -25,6 +25,8 @@ SETS = 1 << len(FILTERS)
 SYMBOLS = "#$%&*|"
 #: Parts whose sums a task holds before it hands them on.
 PARTS = 4096
+#: Rows of one text are dealt to so many tasks when they look up its smallest id.
+SALTS = 16
 
 _CAPITALS = bytes(range(ord("A"), ord("Z") + 1))
 _CONTINUATION = bytes(range(0x80, 0xC0))
@@ -97,7 +99,9 @@ def failed_filters(
     several = seen.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     copy = F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False))
     fails = F.when(copy, F.col("fails") + 16).otherwise(F.col("fails"))
-    return seen.join(several, "digest", "left").select("doc_id", "part", fails.alias("fails"))
+    dealt = seen.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    several = several.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(several, ["digest", "salt"], "left").select("doc_id", "part", fails.alias("fails"))
 
 
 SURVIVORS = "part string, filters int, kept long, good long, toxic long"
