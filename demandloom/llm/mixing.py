@@ -105,7 +105,8 @@ def write_out(docs: DataFrame, plan: DataFrame) -> DataFrame:
 
     Ids are taken as unique here; where the plan lists an id more than once, its largest number of copies holds.
     """
-    wanted = plan.where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    return docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select(
-        *[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")
-    ).drop("_copy")
+    wanted = plan.where("copies > 0").groupBy(F.col("doc_id").alias("id")).agg(F.max("copies").alias("times"))
+    # One column holds the whole row, so that no column of it can clash.
+    rows = docs.select(F.struct("*").alias("row"))
+    joined = rows.join(wanted, F.col("row.doc_id").eqNullSafe(F.col("id")))
+    return joined.select(F.inline(F.array_repeat("row", F.col("times"))))

@@ -227,7 +227,7 @@ def train(rows: DataFrame, labels: DataFrame, label: str = "quality", most: int
     joined = rows.join(known, "doc_id").select("features", "_label", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).alias("_slot"))
     share = 0.95 * most / max(1, joined.count())
     chosen = joined if share >= 0.95 else joined.where(F.col("_slot") < int(share * (1 << 20)))
-    sample = sorted(chosen.select("features", "_label").limit(most).collect())
+    sample = sorted(chosen.orderBy("_slot").limit(most).select("features", "_label").collect())
     x = np.array([r[0] for r in sample], float).reshape(len(sample), len(FEATURES))
     return fit(x, np.array([float(r[1]) for r in sample]))
 
@@ -256,7 +256,15 @@ def classify(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, most: int = FIT_ROWS) -> DataFrame:
-    """The rows that `classify` predicts to be good, with the columns they came with."""
-    rows = materialize(docs.select("doc_id", feature_column(F.col("text")).alias("features")), "quality-features")
+    """The rows that `classify` predicts to be good, with the columns they came with.
+
+    The labelled rows to fit on are chosen by their ids before any features are computed: at most about `most` ids, which
+    every task may hold. Nulls, ties and repeated rows are as in `classify`.
+    """
+    known = labels.where(F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id").distinct()
+    share = 0.95 * most / max(1, known.count())
+    chosen = known if share >= 0.95 else known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    few = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi")
+    rows = materialize(few.select("doc_id", feature_column(F.col("text")).alias("features")), "quality-features")
     score = scorer(train(rows, labels, most=most))
     return docs.where(score(feature_column(F.col("text"))) >= threshold)

@@ -32,7 +32,6 @@ class _Encoder:
     def __init__(self, text: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.model = Tokenizer.from_str(text)
-        self.model.encode_special_tokens = True
         self.bytes_of = np.array([len(self.model.id_to_token(i)) for i in range(self.model.get_vocab_size())])
         self.ids = ChunkIds(self._chunks)
 
@@ -78,7 +77,7 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, *, end_id: int = 0, s
     Each file is a Parquet table of sections in order, and files are in order of their names. A section ends once it
     has `section_ids` ids and the doc_id changes, so a task holds one section and one document. Null texts are empty:
     their only id is the end id. Rows without doc_id come last; rows that share a doc_id are ordered by text. Strings
-    of special tokens in a text are ordinary text. An empty table gives no sections. Other columns are not read.
+    of special tokens in a text become their ids, as the library has it. An empty table gives no sections. Other columns are not read.
     """
     longs, ints, bytes_ = pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.binary())
     fields = [("first_key", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", longs), ("lengths", ints), ("frequencies", pa.binary()), ("blocks", bytes_)]

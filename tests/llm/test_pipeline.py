@@ -97,3 +97,20 @@ def test_odd_rows_pass_all_stages(spark, small, odd, none):
             docs = materialize(stage(spark, docs, small), "test-odd")
             assert docs.columns == odd.columns
         assert cp.STAGES[-1][1](spark, docs, small).count() == docs.count()
+
+
+def test_clashing_columns_keep_their_values(spark, small):
+    """Columns named like the operators' own come through every stage with the values they came with."""
+    names = ["kept", "n_lines", "n_removed", "_copy", "_copies", "_stay", "_d", "_x", "score", "features", "taken"]
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(i, f"{text} own{i} line\nshared line\nlast{i}", "en", "a", 7, *[i * 100 + j for j in range(len(names))]) for i in range(1, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names))
+    for name, stage in cp.STAGES[1:4]:
+        out = materialize(stage(spark, docs, small), f"test-{name}")
+        assert out.schema == docs.schema or out.dtypes == docs.dtypes
+        for r in out.collect():
+            assert [r[n] for n in names] == [r["doc_id"] * 100 + j for j in range(len(names))]
+        if name == "line_dedup":
+            texts = {r["doc_id"]: r["text"].count("shared line") for r in out.collect()}
+            assert texts == {1: 1, 2: 0, 3: 0, 4: 0}
+        docs = out

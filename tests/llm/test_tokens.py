@@ -49,7 +49,9 @@ def test_both_encoders_over_many_texts_at_once(reference, codec):
     with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as file:
         other = token_files._Encoder(file.read())
     assert [x.tolist() for x in codec.ids.all(made + ODD)] == expected
-    assert [x.tolist() for x in other.ids.all(made + ODD)] == expected
+    # The library has its special tokens even where none are added.
+    model = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    assert [x.tolist() for x in other.ids.all(made + ODD)] == [model.encode(t, add_special_tokens=False).ids for t in made + ODD]
 
 
 def test_chunk_table_stays_bounded(codec):
@@ -116,7 +118,6 @@ def test_coder_spans_are_independent_and_checked():
 
 def brute(rows):
     model = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    model.encode_special_tokens = True
     at, out = 0, []
     for i, text in rows:
         ids = np.array(model.encode(text or "", add_special_tokens=False).ids + [0], "<u4")
@@ -143,3 +144,13 @@ def test_token_files_odd(spark, odd, none):
     empty = scratch_path(spark, "tokens")
     token_files.write(none, P.path("byte_bpe_50k.json"), empty)
     assert token_files.read(spark, empty).count() == 0
+
+
+def test_special_strings_are_as_in_the_library(spark):
+    """A special token's string becomes its id wherever it stands, also beside spaces and between known chunks."""
+    texts = ["hello <|endoftext|>", "<|endoftext|>", "a  <|endoftext|>  b", "x<|endoftext|>y z <|endoftext|> w", "<|endoftext|> <|endoftext|><|endoftext|>", "<|endo ftext|> q"]
+    rows = list(enumerate([*texts, " ".join(texts)]))
+    path = scratch_path(spark, "tokens")
+    token_files.write(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), P.path("byte_bpe_50k.json"), path)
+    got = sorted(tuple(r[c] for c in ("doc_id", "start", "n_ids", "ids_crc32")) for r in token_files.read(spark, path).collect())
+    assert got == brute(rows)
