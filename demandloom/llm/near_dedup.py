@@ -22,10 +22,14 @@ B, A, Q = 1.001, 20.0, (1 << 16) - 2
 #: 0.5 with 0.41.
 ROWS, BANDS = 7, 68
 REGISTERS = ROWS * BANDS
-#: A pair goes on to verification unless its estimate lies this many standard deviations below the threshold.
-DEVIATIONS = 5.0
-#: Classes of a bucket, the largest first, whose representatives meet the bucket's members in each round.
+#: A pair goes on to verification unless its estimate lies this many standard deviations below the threshold; a link at
+#: the threshold is lost with 3e-5, less often than by the bands.
+DEVIATIONS = 4.0
+#: Classes of a bucket, the largest first, whose representatives meet the bucket's members in each turn, how many of them
+#: a member meets in one turn, and the share of links among those pairs below which turns end.
 LEADERS = 6
+MEETINGS = 4
+LINKED = 0.02
 PROFILE = "doc_id long, n_shingles long, same binary, sketch binary, bands array<bigint>"
 
 _SEEDS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64)).astype(np.uint32)
@@ -196,24 +200,31 @@ def _fits(a: str, b: str) -> Column:
     return 100 * F.least(a, b) >= THRESHOLD * F.greatest(a, b)
 
 
+def _few(pairs: DataFrame, member: str, most: int, turn: int) -> DataFrame:
+    """At most `most` of each member's pairs (a, b), drawn anew in each turn."""
+    draw = Window.partitionBy(member).orderBy(F.xxhash64("a", "b", F.lit(turn)))
+    return pairs.withColumn("_at", F.row_number().over(draw)).where(F.col("_at") <= most).select("a", "b").distinct()
+
+
 def _led(member: DataFrame, turn: int) -> DataFrame:
-    """Pairs of a bucket's members with representatives of its largest classes, drawn anew in each turn."""
+    """Pairs (a, b) of a bucket's members with representatives of its largest classes, drawn anew in each turn."""
     draw = F.xxhash64("doc_id", F.lit(turn))
     classes = member.groupBy("key", "class").agg(F.count("*").alias("size"), F.min_by(F.struct("doc_id", "n"), draw).alias("lead"))
     largest = Window.partitionBy("key").orderBy(F.desc("size"), "class")
     leads = classes.withColumn("_at", F.row_number().over(largest)).where(F.col("_at") <= LEADERS)
     leads = leads.select("key", F.col("class").alias("lc"), F.col("lead.doc_id").alias("l"), F.col("lead.n").alias("ln"))
     met = member.join(leads, "key").where(_fits("n", "ln") & (F.col("class") != F.col("lc")))
-    return met.select(F.least("l", "doc_id").alias("a"), F.greatest("l", "doc_id").alias("b")).distinct()
+    return met.select(F.least("l", "doc_id").alias("a"), F.greatest("l", "doc_id").alias("b"), F.col("doc_id").alias("m")).distinct()
 
 
 def _links(profile: DataFrame, docs: DataFrame) -> DataFrame:
     """Verified links between representatives, enough of them to give every class.
 
-    Per bucket all members are compared with its smallest member, then, turn by turn, those of other classes with members
-    drawn from its largest classes, until a turn joins nothing: work stays in proportion to the members, and a large group
-    of copies comes together even where many of its pairs are below the threshold. What is still outside the bucket's
-    largest class is then compared with all members of other classes. No pair is compared twice.
+    Members of a bucket are compared with a few of its smallest members and then, turn by turn, with a few drawn from its
+    largest other classes, while a fair share of these pairs are links. Work stays in proportion to the members, and a
+    large group of copies comes together even where many of its pairs are below the threshold. What is still outside the
+    bucket's largest class is then compared with all members of other classes. No pair is compared
+    twice, and sketches and texts of documents whose buckets are settled are left behind.
     """
     sketches = profile.select("doc_id", "n_shingles", "sketch")
     sizes = profile.select("doc_id", F.col("n_shingles").alias("n"))
@@ -227,21 +238,25 @@ def _links(profile: DataFrame, docs: DataFrame) -> DataFrame:
         likely = materialize(_likely(pairs, sketches), "near-likely")
         return materialize(_verified(likely, texts), "near-links")
 
-    star = keys.where("doc_id > leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
-    tried = materialize(star, "near-pairs")
+    star = keys.where("doc_id > leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b"), F.col("doc_id").alias("m"))
+    tried = materialize(_few(star.distinct(), "m", MEETINGS, 0), "near-pairs")
     links = confirmed(tried)
-    turn = 0
-    while True:
+    turn, open_ = 0, True
+    while open_:
         member = _with_classes(keys, links, sizes)
         if member.isEmpty():
             return links
+        if turn == 0:
+            still = materialize(member.select("doc_id").distinct(), "near-still")
+            sketches, texts = (materialize(x.join(still, "doc_id", "left_semi"), "near-still") for x in (sketches, texts))
         turn += 1
-        fresh = materialize(_led(member, turn).join(tried, ["a", "b"], "left_anti"), "near-pairs")
+        led = _led(member, turn).join(tried, ["a", "b"], "left_anti")
+        fresh = materialize(_few(led, "m", MEETINGS, turn), "near-pairs")
         found = confirmed(fresh)
-        if found.isEmpty():
-            break
         tried, links = tried.unionByName(fresh), links.unionByName(found)
+        open_ = found.count() > LINKED * fresh.count()
 
+    member = _with_classes(keys, links, sizes)
     classes = member.groupBy("key", "class").agg(F.count("*").alias("n"))
     home = classes.groupBy("key").agg(F.max_by("class", F.struct("n", "class")).alias("home"))
     placed = member.join(home, "key").withColumn("out", F.col("class") != F.col("home"))
@@ -250,7 +265,8 @@ def _links(profile: DataFrame, docs: DataFrame) -> DataFrame:
     # Two members outside meet once, in the order of their ids; a member inside meets each one outside.
     cross = left.join(right, "key").where(_fits("on", "rn") & F.expr("oc <> rc AND (NOT out OR o < r)"))
     cross = cross.select(F.least("o", "r").alias("a"), F.greatest("o", "r").alias("b")).distinct()
-    return links.unionByName(confirmed(cross.join(tried.unionByName(fresh), ["a", "b"], "left_anti")))
+    rest = materialize(cross.join(tried, ["a", "b"], "left_anti"), "near-pairs")
+    return links.unionByName(confirmed(rest))
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
