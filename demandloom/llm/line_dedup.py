@@ -22,6 +22,8 @@ from demandloom.session import materialize
 MIN_WORDS = 1
 #: Ranks and hashes are cut into blocks of so many bits for prefix sums, so that no window holds a whole group.
 BLOCK_BITS = 12
+#: Tasks that share the copies of one run.
+SALTS = 16
 RUNS = "doc_id long, row long, lo int, n int, head long, tail long"
 
 
@@ -146,7 +148,10 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     runs = materialize(_runs(suffix_ranks(docs, min_words), min_words), "line-runs")
     place = F.struct("doc_id", "row", "lo")
     first = runs.groupBy("n", "head", "tail").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last")
-    return runs.join(first.drop("last"), ["n", "head", "tail"]).where(place > F.col("first")).select("doc_id", "row", "lo", "n")
+    # Copies of one run are dealt to SALTS tasks when they look up the first of them.
+    first = first.select("n", "head", "tail", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    dealt = runs.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    return dealt.join(first, ["n", "head", "tail", "salt"]).where(place > F.col("first")).select("doc_id", "row", "lo", "n")
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
