@@ -41,6 +41,12 @@ HEADLINE = (
     "features_by_station",
     "xa0_sampled_contributions",
     "fs5_single_tree_importances",
+    "fc7_score_and_submit",
+    "fc5_ridge_by_pair",
+    "cv2_scores_from_sums",
+    "fc1_trend_changes",
+    "fs9_stationarity",
+    "jn17_positional_join",
     "fc5_boosted_with_skips",
     "fc4_boosted_test_scores",
 )

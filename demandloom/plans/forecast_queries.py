@@ -291,11 +291,29 @@ def _(spark, d):
     return Fc.what_if(model, A.latest_rows(features, 1), SCENARIOS)
 
 
+def _linear_model(spark, d):
+    """A linear model of the features, saved and reloaded: in memory, from disk, and the hold-out."""
+    train, _, test = S.three_way_split(_features(spark, d))
+    stages = [VectorAssembler(inputCols=list(Fc.FEATURES), outputCol="features"), LinearRegression(labelCol="units", predictionCol="yhat", regParam=0.01)]
+    path, model = scratch_path(spark, "models"), Pipeline(stages=stages).fit(train)
+    Fc.save_model(model, path)
+    return model, Fc.load_model(path), test
+
+
 @query("fc13_reloaded_model")
 def _(spark, d):
     """A saved and reloaded linear model scores the hold-out."""
-    train, _, test = S.three_way_split(_features(spark, d))
-    stages = [VectorAssembler(inputCols=list(Fc.FEATURES), outputCol="features"), LinearRegression(labelCol="units", predictionCol="yhat", regParam=0.01)]
-    path = scratch_path(spark, "models")
-    Fc.save_model(Pipeline(stages=stages).fit(train), path)
-    return E.score(Fc.load_model(path).transform(test), ["store_nbr"], y="units")
+    _, reloaded, test = _linear_model(spark, d)
+    return E.score(reloaded.transform(test), ["store_nbr"], y="units")
+
+
+@query(
+    "fc13_reload_differences",
+    """SELECT store_nbr, count(*) AS n, 0::BIGINT AS differ FROM (SELECT store_nbr, date, lag(units) OVER (PARTITION BY store_nbr, item_nbr ORDER BY date) AS l
+       FROM sales) t WHERE l IS NOT NULL AND date >= DATE '2001-01-01' GROUP BY 1""",
+)
+def _(spark, d):
+    """Hold-out rows by store, and those whose forecast by the reloaded model differs from the one in memory: none."""
+    model, reloaded, test = _linear_model(spark, d)
+    both = reloaded.transform(model.transform(test).withColumnRenamed("yhat", "kept").drop("features"))
+    return both.groupBy("store_nbr").agg(F.count("*").alias("n"), F.count_if(~F.col("yhat").eqNullSafe(F.col("kept"))).alias("differ"))

@@ -108,11 +108,41 @@ def _(spark, d):
 @query("fs4_subset_search")
 def _(spark, d):
     """5 features in powers 1 to 3: 15 terms, 4,928 subsets of two to five."""
+    terms = Sc.power_terms(list(_SCALED_TERMS))
+    return Sc.subset_search(_term_panel(spark, d), X.log_units(F.col("units")), terms)
+
+
+_SCALED_TERMS = {"temperature": "temperature / 10", "humidity": "humidity / 100", "store": "store_nbr / 10.0::DOUBLE", "item": "item_nbr / 10.0::DOUBLE",
+                 "month": "month(s.date) / 10.0::DOUBLE"}
+_POWERS = [(f"{c}^{k}" if k > 1 else c, f"pow({e}, {k})") for c, e in _SCALED_TERMS.items() for k in (1, 2, 3)]
+_PAIRS = [(i, j) for i in range(len(_POWERS)) for j in range(i + 1, len(_POWERS))]
+
+
+def _term_panel(spark, d):
     panel = _weather_panel(spark, d).withColumn("month", F.month("date"))
-    scaled = panel.withColumns({"temperature": F.col("temperature") / 10, "humidity": F.col("humidity") / 100, "store": F.col("store_nbr") / 10,
-                                "item": F.col("item_nbr") / 10, "month": F.col("month") / 10})
-    terms = Sc.power_terms(["temperature", "humidity", "store", "item", "month"])
-    return Sc.subset_search(scaled, X.log_units(F.col("units")), terms)
+    return panel.withColumns({"temperature": F.col("temperature") / 10, "humidity": F.col("humidity") / 100, "store": F.col("store_nbr") / 10,
+                              "item": F.col("item_nbr") / 10, "month": F.col("month") / 10})
+
+
+@query(
+    "fs4_pairs_of_terms",
+    "WITH t AS (SELECT ln(1 + units) AS y, "
+    + ", ".join(f"{e} AS t{i}" for i, (_, e) in enumerate(_POWERS))
+    + " FROM sales s JOIN climate c ON s.date = c.date AND s.province = c.province), a AS (SELECT count(*) AS n, "
+    + ", ".join(f"corr(y, t{i}) AS y{i}" for i in range(len(_POWERS)))
+    + ", "
+    + ", ".join(f"corr(t{i}, t{j}) AS c{i}_{j}" for i, j in _PAIRS)
+    + " FROM t)\n"
+    + " UNION ALL ".join(
+        f"""SELECT '{_POWERS[i][0]} + {_POWERS[j][0]}' AS terms, 2 AS size,
+        round(1 - (1 - (y{i} * y{i} + y{j} * y{j} - 2 * y{i} * y{j} * c{i}_{j}) / (1 - c{i}_{j} * c{i}_{j})) * (n - 1) / (n - 3), 6) + 0 AS r2_adj FROM a"""
+        for i, j in _PAIRS
+    ),
+)
+def _(spark, d):
+    """The subsets of two terms, whose fits have a closed form in their correlations."""
+    pairs = Sc.subset_search(_term_panel(spark, d), X.log_units(F.col("units")), Sc.power_terms(list(_SCALED_TERMS)), 2, 2)
+    return rounded(pairs.select("terms", "size", "r2_adj"))
 
 
 _TREE_FEATURES = ("temperature", "humidity", "store_nbr", "item_nbr", "weekday", "month")
