@@ -1,6 +1,7 @@
 """Mixing, SimHash, page text and the quality model."""
 
 import random
+import time
 import zlib
 from hashlib import sha256
 
@@ -200,6 +201,57 @@ def test_headline_and_introduction_before_a_list_stay():
     assert html_text.main_text(html) == "\n".join(["Headline", "Short introduction.", *[LONG] * 20])
 
 
+OPAQUE = """<html><body><div class="q1"><ul>{menu}</ul></div><div class="q2">We use things.</div><div class="q3"><h1>Headline</h1>
+<p>{long}</p><p>{long}</p><h2>Between</h2><p>{long}</p><div class="q4">Buy it.</div><p>Be.</p><p>{long}</p><blockquote>Short quote.</blockquote>
+<div class="q5">{teasers}</div><ul>{menu}</ul><p>{long}</p><ol><li>one</li><li>two</li></ol></div><div class="q6"><span>All rights</span></div></body></html>"""
+
+
+def opaque_page():
+    menu = "".join(f"<li><a href=/{i}>Entry {i}</a></li>" for i in range(6))
+    teasers = "".join(f"<div class='q7'><a href=/{i}>A teaser with a fairly long title {i}</a></div>" for i in range(4))
+    return OPAQUE.format(menu=menu, teasers=teasers, long=LONG)
+
+
+def test_ratios_alone_choose_on_a_page_with_opaque_names():
+    """No article, no telling class: link lists, notices, adverts and teasers go, headings and short prose stay."""
+    text = ["Headline", LONG, LONG, "Between", LONG, "Be.", LONG, "Short quote.", LONG, "one", "two"]
+    assert html_text.main_text(opaque_page()) == "\n".join(text)
+
+
+def test_the_cluster_decides(monkeypatch):
+    """With every block in the cluster, the page around the text comes along."""
+    right = html_text.main_text(opaque_page())
+    monkeypatch.setattr(html_text, "clustered", lambda blocks: (np.ones(len(blocks)), np.ones(len(blocks)), 0.0))
+    assert html_text.main_text(opaque_page()) != right
+
+
+def test_link_lists_inside_an_article_go():
+    links = "".join(f"<li><a href=/{i}>Entry {i}</a></li>" for i in range(6))
+    page = f"<body><article><h1>Headline</h1><ul>{links}</ul>{PROSE}<div class='z'><p>Be.</p></div></article></body>"
+    assert html_text.main_text(page) == "\n".join(["Headline", *[LONG] * 4, "Be."])
+
+
+def test_short_blocks_of_one_kind_stay_with_the_long_ones():
+    page = "<body>" + "".join(f"<div class='k'>{t}</div>" for t in [LONG, LONG, "No.", "Yes.", "No.", "Yes.", "No.", "Yes.", LONG]) + "</body>"
+    assert html_text.main_text(page).count("Yes.") == 3
+
+
+@pytest.mark.parametrize("tag", ["select", "video", "iframe", "object", "button", "svg", "noscript", "template"])
+def test_unclosed_silent_elements_silence_nothing(tag):
+    html = f"<body><article><p>{LONG}</p><{tag}><p>{LONG}</p></article></body>"
+    assert html_text.main_text(html) == "\n".join([LONG] * 2)
+    closed = f"<body><article><p>{LONG}</p><{tag}>quiet</{tag}><p>{LONG}</p></article></body>"
+    assert html_text.main_text(closed) == "\n".join([LONG] * 2)
+    assert html_text.main_text("<p>words</p><script>var x = 1;") == "words"
+
+
+@pytest.mark.parametrize("part", ["<div>w ", "<div class='ad'>w ", "<article><p>w ", "<ul><li>w ", "<p>w</b></div></section>", "<select>w "])
+def test_nesting_is_linear(part):
+    start = time.perf_counter()
+    html_text.main_text(part * (1_000_000 // len(part)))
+    assert time.perf_counter() - start < 60
+
+
 def test_page_text_odd(spark):
     rows = [
         (1, "u", None), (1, "u", ""), (2, None, "<nav>only a menu</nav>"), (3, "u", "plain text"), (4, "u", "<article><p>cut off &am"),
