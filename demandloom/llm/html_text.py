@@ -210,11 +210,14 @@ def clustered(blocks: list[Block]) -> tuple[np.ndarray, np.ndarray, float]:
         return ratio, smooth, np.inf
     there = np.convolve(np.pad(np.ones(plain.sum()), 2), KERNEL, "valid")  # weight of the neighbours that exist
     smooth[plain] = near = np.convolve(np.pad(ratio[plain], 2), KERNEL, "valid") / there
-    low, high = near.min(), near.max()
+    ranked = np.sort(near)
+    sums, n = np.concatenate([[0.0], ranked.cumsum()]), len(ranked)
+    low, high, last = ranked[0], ranked[-1], -1
     for _ in range(16):  # two clusters on a line
-        middle = (low + high) / 2
-        below, above = near[near < middle], near[near >= middle]
-        low, high = (below.mean() if len(below) else low), (above.mean() if len(above) else high)
+        k = int(ranked.searchsorted((low + high) / 2))
+        if k == last:
+            break
+        low, high, last = (sums[k] / k if k else low), ((sums[n] - sums[k]) / (n - k) if k < n else high), k
     # Everything above the standard deviation is content as well: a page of even prose has no second cluster.
     return ratio, smooth, min((low + high) / 2, near.std() if near.std() > 0 else near.max())
 
@@ -249,6 +252,8 @@ def settle_hints(events: PageEvents) -> None:
     to a main inside.
     """
     blocks, holders = events.blocks, events.holders
+    if not any(b.hints for b in blocks) and not any(h.hints for h in holders):
+        return
     content = content_lines(blocks)
     sizes = [len(b.text) * bool(c) for b, c in zip(blocks, content)]
     held = subtree_sums(events, by_parent(blocks, [not b.furniture for b in blocks]))
@@ -277,7 +282,7 @@ def settle_hints(events: PageEvents) -> None:
         b.furniture = b.furniture or bool(own) or (b.parent >= 0 and blocked[b.parent])
 
 
-def content_region(events: PageEvents) -> int:
+def content_region(events: PageEvents, found: tuple[np.ndarray, np.ndarray, float]) -> int:
     """Number of the innermost holder around all content; -1 if it is the whole page.
 
     Content is every article with more plain than linked text, then what the cluster has inside main, else the cluster's
@@ -285,7 +290,7 @@ def content_region(events: PageEvents) -> int:
     tables and quotations are parts of a text: their holder is taken.
     """
     blocks, holders = events.blocks, events.holders
-    ratio, smooth, cut = clustered(blocks)
+    ratio, smooth, cut = found
     plain = subtree_sums(events, by_parent(blocks, [0 if b.furniture else len(b.text) - 2 * b.linked for b in blocks]))
     outer, inner = [], []  # outermost article, innermost article or main
     for n, h in enumerate(holders):
@@ -313,7 +318,7 @@ def content_region(events: PageEvents) -> int:
     return region
 
 
-def content_blocks(events: PageEvents, region: int) -> list[Block]:
+def content_blocks(events: PageEvents, region: int, found: tuple[np.ndarray, np.ndarray, float]) -> list[Block]:
     """The region's blocks without what its ratios tell apart.
 
     Holders of one tag and class are one kind, judged by the text-to-tag ratio of them all, so that short paragraphs stay
@@ -323,7 +328,7 @@ def content_blocks(events: PageEvents, region: int) -> list[Block]:
     the cluster go too.
     """
     blocks, holders = events.blocks, events.holders
-    _, smooth, cut = clustered(blocks)
+    _, smooth, cut = found
     shown = [not b.furniture for b in blocks]
     chars = subtree_sums(events, by_parent(blocks, [len(b.text) * s for b, s in zip(blocks, shown)]))
     links = subtree_sums(events, by_parent(blocks, [min(b.linked, len(b.text)) * s for b, s in zip(blocks, shown)]))
@@ -371,7 +376,8 @@ def main_text(html: str | None) -> str:
     if not events.blocks:
         return ""
     settle_hints(events)
-    return "\n".join(b.text for b in content_blocks(events, content_region(events)))
+    found = clustered(events.blocks)
+    return "\n".join(b.text for b in content_blocks(events, content_region(events, found), found))
 
 
 @F.pandas_udf(T.StringType())
