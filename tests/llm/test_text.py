@@ -89,6 +89,29 @@ def test_simhash_query(spark, small):
     assert sum(likely) > 0.95 * len(likely)
 
 
+def test_votes_by_brute_force(spark):
+    """Every bit of every fingerprint, from the weighted signed votes of its terms counted one by one."""
+    rng = random.Random(11)
+    words = ["a", "Ab", "long-word", "élan", "日本語", "😀", "x" * 40]
+    texts = [" ".join(rng.choice(words) for _ in range(n)) for n in (0, 1, 2, 3, 10, 200)] + ["\t a\n\nB  "]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    found = {r["i"]: (r["f0"], r["f1"]) for r in simhash.fingerprints(df, ["i"], "t").collect()}
+    rows = [(i, a, b) for i, t in enumerate(texts) for w in [t.lower().split() or [""]] for a, b in zip(w, [*w[1:], None])]
+    terms = spark.createDataFrame(rows, "i int, one string, two string").selectExpr(
+        "i", "one", "two", "xxhash64(one, two) AS h0", "xxhash64(two, one, 1) AS h1"
+    )
+    votes = {}
+    for r in terms.collect():
+        weight = len(r["one"]) + len(r["two"] or "")
+        tally = votes.setdefault(r["i"], [0] * 128)
+        for bit in range(128):
+            tally[bit] += weight if r[f"h{bit // 64}"] >> bit % 64 & 1 else -weight
+    assert set(found) == set(votes)
+    for i, tally in votes.items():
+        halves = [sum(1 << b for b in range(64) if tally[64 * h + b] > 0) for h in (0, 1)]
+        assert tuple(x % (1 << 64) for x in found[i]) == tuple(halves), texts[i]
+
+
 @pytest.mark.parametrize("radius,blocks", [(0, 2), (1, 2), (3, 4), (5, 8)])
 def test_permuted_tables_find_all(spark, radius, blocks):
     rng = random.Random(radius)
@@ -292,6 +315,29 @@ def test_classifier_odd(spark, odd, none):
     assert {r["score"] for r in quality.classify(odd, labels.limit(0)).collect()} == {0.5}
 
 
+def test_one_round_by_hand():
+    """One feature, one round: the leaf values of Newton steps and the scores that follow from them."""
+    x = np.array([[0.0]] * 6 + [[1.0]] * 4)
+    y = np.array([0.0] * 5 + [1.0] + [1.0] * 3 + [0.0])
+    model = quality.fit(x, y, rounds=1, rate=0.5, depth=1, bins=3, most_pairs=0, smooth=1.0)
+    share = 5 / 12  # four of ten are 1, one more of each label
+    low = 0.5 * (1 - 6 * share) / (6 * share * (1 - share) + 1)
+    high = 0.5 * (3 - 4 * share) / (4 * share * (1 - share) + 1)
+    start = np.log(share / (1 - share))
+    expected = 1 / (1 + np.exp(-(start + np.array([low, high]))))
+    assert model.intercept == pytest.approx(start) and not model.pairs
+    assert model.score(np.array([[0.0], [1.0]])) == pytest.approx(expected)
+
+
+def test_scores_add_table_entries():
+    model = quality.Additive([np.array([1.0, 2.0]), np.array([0.5])], [np.array([1.0]), np.array([0.5])], 0.25)
+    model.single = [np.array([-1.0, 0.0, 2.0]), np.array([0.5, -0.5])]
+    model.pairs = {(0, 1): np.array([[0.1, 0.2], [0.3, 0.4]])}
+    x = np.array([[0.0, 0.0], [1.0, 0.5], [5.0, 0.4]])
+    sums = np.array([0.25 - 1 + 0.5 + 0.1, 0.25 + 0 - 0.5 + 0.4, 0.25 + 2 + 0.5 + 0.3])
+    assert model.score(x) == pytest.approx(1 / (1 + np.exp(-sums)))
+
+
 def test_pairs_learn_what_single_features_cannot():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(6000, len(quality.FEATURES)))
