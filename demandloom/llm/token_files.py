@@ -2,55 +2,106 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from demandloom.llm import rans
-from demandloom.llm.chunks import ID, ChunkIds
+from demandloom.llm.chunks import ID, WordIds
 from demandloom.llm.common import before
 
 #: Ids of a section, the unit that shares a frequency table: 8 MB in memory.
 SECTION_IDS = 1 << 21
 LAST = (1 << 63) - 1
-#: Texts of an Arrow batch turned into strings at a time.
-SLICE = 256
+#: Bytes of text encoded at a time; a longer text is encoded on its own.
+SLICE_BYTES = 4 << 20
+# Fixed values of byte-level BPE: the pattern that splits a text, and the letter that stands for each byte: printable
+# ones for themselves, the others for the letters from U+0100 on, in order.
+PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_OTHERS = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+LETTERS = {b: chr(256 + i) for i, b in enumerate(_OTHERS)}
+#: Texts whose characters every version of Unicode classes alike.
+LATIN = re.compile("[\\t\\n -~\u00a1-\u024f]+")
+
 SECTIONS = "first_key long, n_ids long, doc_ids array<bigint>, lengths array<int>, frequencies binary, blocks array<binary>"
 SUMMED = "first_key long, doc_id long, inside long, n_ids long, ids_crc32 long"
 DECODED = f"{SUMMED}, ids array<int>"
 
 
 class _Encoder:
-    def __init__(self, text: str):
+    """The library's model over pieces, with the ids of pieces seen before kept in a bounded table.
+
+    Words of plain Latin text are split by the byte-level pattern here; the library splits all others, as the version of
+    its character classes is its own.
+    """
+
+    def __init__(self, text: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.model = Tokenizer.from_str(text)
-        self.bytes_of = np.array([len(self.model.id_to_token(i)) for i in range(self.model.get_vocab_size())])
-        self.ids = ChunkIds(self._chunks)
-
-    def _chunks(self, chunks: list[str]) -> list[bytes]:
-        """Ids of each chunk.
-
-        Those that start with a space are encoded as one text, as pieces never reach across such a space.
-        """
-        spaced = [c for c in chunks if c.startswith(" ")]
-        others = [c for c in chunks if not c.startswith(" ")]
-        encode = self.model.encode_batch_fast
-        found = {c: np.array(e.ids, ID).tobytes() for c, e in zip(others, encode(others, add_special_tokens=False))}
-        if len(spaced) == 1:
-            found[spaced[0]] = np.array(encode(spaced, add_special_tokens=False)[0].ids, ID).tobytes()
-        elif spaced:
-            ids = np.array(encode(["".join(spaced)], add_special_tokens=False)[0].ids, ID)
-            cuts = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(c.encode()) for c in spaced]), "right")
-            found.update((c, ids[i:j].tobytes()) for c, i, j in zip(spaced, [0, *cuts], cuts))
-        return [found[c] for c in chunks]
+        self.whole = Tokenizer.from_str(text)
+        self.split, self.model = self.whole.pre_tokenizer.pre_tokenize_str, self.whole.model
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        made = json.loads(text)["pre_tokenizer"]
+        known = made["type"] == "ByteLevel" and made.get("use_regex", True) and not made["add_prefix_space"]
+        self.latin = LATIN.fullmatch if known else lambda word: None
+        self.most, self.pieces, self.letters = most, {}, {}
+        self.ids = WordIds(self._after_space, self._alone, self.added)
+
+    def _known(self, pieces: list[str], table: dict[str, bytes], spell: Callable[[str], str]) -> list[bytes]:
+        """Ids of each piece; `spell` writes a piece in the letters of the byte-level alphabet."""
+        if len(table) > self.most:
+            table.clear()
+        for piece in set(pieces).difference(table):
+            table[piece] = array("i", [t.id for t in self.model.tokenize(spell(piece))]).tobytes()
+        return [table[p] for p in pieces]
+
+    def _split_here(self, words: list[str]) -> list[bytes]:
+        pieces = PATTERN.findall("".join([" " + w for w in words]))
+        spell = lambda piece: piece.encode().decode("latin-1").translate(LETTERS)
+        return _joined(pieces, self._known(pieces, self.pieces, spell), " ")
+
+    def _split_there(self, words: list[str]) -> list[bytes]:
+        pieces = [p for p, _ in self.split("".join([" " + w for w in words]))]
+        return _joined(pieces, self._known(pieces, self.letters, str), LETTERS[32])
+
+    def _after_space(self, words: list[str]) -> list[bytes]:
+        """Ids of each word with a space before it. Strings of added tokens are taken as plain text."""
+        if self.latin(" ".join(words)):
+            return self._split_here(words)
+        here = [w for w in words if self.latin(w)]
+        found = dict(zip(here, self._split_here(here)))
+        there = [w for w in words if w not in found]
+        found.update(zip(there, self._split_there(there)))
+        return [found[w] for w in words]
+
+    def _alone(self, text: str) -> bytes:
+        """Ids of a text as the library has them."""
+        if any(a in text for a in self.added):
+            return array("i", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join(self._known([p for p, _ in self.split(text)], self.letters, str))
+
+
+def _joined(pieces: list[str], ids: list[bytes], space: str) -> list[bytes]:
+    """Ids of words from those of their pieces; a word's first piece starts with the space."""
+    out = []
+    for piece, found in zip(pieces, ids):
+        if piece[0] == space:
+            out.append(found)
+        else:
+            out[-1] += found
+    return out
 
 
 @lru_cache(maxsize=2)
@@ -58,6 +109,15 @@ def _encoder(text: str) -> _Encoder:
     return _Encoder(text)
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about `SLICE_BYTES` of text."""
+    bytes_ = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)
+    cuts = np.flatnonzero(np.diff(np.cumsum(bytes_) // SLICE_BYTES)) + 1
+    for i, j in zip([0, *cuts], [*cuts, batch.num_rows]):
+        if j > i:
+            yield batch.slice(i, j - i)
+
+
 def _section(docs: list[tuple[int | None, np.ndarray]]) -> dict:
     ids = np.concatenate([x for _, x in docs])
     freq = rans.frequencies(ids)
@@ -88,9 +148,10 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, *, end_id: int = 0, s
     def sections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, held, n, end = _encoder(model.value), [], 0, np.array([end_id], ID)
         for batch in batches:
-            for i in range(0, batch.num_rows, SLICE):
-                keys, texts = (c.to_pylist() for c in batch.slice(i, SLICE).columns)
-                for key, found in zip(keys, encoder.ids.all(texts)):
+            for part in _slices(batch):
+                ids_, sizes = encoder.ids.of(part.column(1))
+                keys, ends = part.column(0).to_pylist(), np.cumsum(sizes)
+                for key, found in zip(keys, np.split(ids_, ends[:-1])):
                     doc_id = None if key == LAST else key
                     if n >= section_ids and held[-1][0] != doc_id:
                         yield pa.RecordBatch.from_pylist([_section(held)], arrow)

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -51,7 +52,12 @@ def test_both_encoders_over_many_texts_at_once(reference, codec):
     assert [x.tolist() for x in codec.ids.all(made + ODD)] == expected
     # The library has its special tokens even where none are added.
     model = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    assert [x.tolist() for x in other.ids.all(made + ODD)] == [model.encode(t, add_special_tokens=False).ids for t in made + ODD]
+    mixed = "abc 'é,.1\n\t日😀\x1f\x85\xa0ñ\xad٣"
+    made += ["".join(rng.choice(mixed) for _ in range(rng.randrange(40))) for _ in range(1500)]
+    made += ["a <|endoftext|>b", "a<|endoftext|>", "<|endoftext|> it's  so", "a  b", " x", "x ", ""]
+    ids, sizes = other.ids.of(pa.array(made + ODD))
+    wanted = [model.encode(t, add_special_tokens=False).ids for t in made + ODD]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == wanted
 
 
 def test_chunk_table_stays_bounded(codec):
@@ -59,6 +65,17 @@ def test_chunk_table_stays_bounded(codec):
     assert all(small(f"w{i} x{i} y{i}").tolist() == codec.ids(f"w{i} x{i} y{i}").tolist() for i in range(50)) and len(small.known) < 12
 
 
+def test_word_table_stays_bounded():
+    with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        encoder = token_files._Encoder(file.read(), most=5)
+    encoder.ids.most = 5
+    for i in range(50):
+        text = f"w{i} x{i} y{i}"
+        ids, sizes = encoder.ids.of(pa.array([text]))
+        assert (ids.tolist(), sizes.tolist()) == (encoder.whole.encode(text).ids, [len(ids)])
+        assert len(encoder.ids.known) < 12 and len(encoder.pieces) < 15
+
+
 def test_model_needs_whole_ranks():
     with pytest.raises(ValueError):
         bpe.serialise({b"a": 0, b"b": 2})
