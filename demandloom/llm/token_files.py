@@ -27,7 +27,7 @@ from demandloom.llm.common import before
 SECTION_IDS = 1 << 21
 LAST = (1 << 63) - 1
 #: Bytes of text encoded at a time; a longer text is encoded on its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 12 << 20
 # Fixed values of byte-level BPE: the pattern that splits a text, and the letter that stands for each byte: printable
 # ones for themselves, the others for the letters from U+0100 on, in order.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -69,8 +69,7 @@ class _Encoder:
 
     def _split_here(self, words: list[str]) -> list[bytes]:
         pieces = PATTERN.findall("".join([" " + w for w in words]))
-        spell = lambda piece: piece.encode().decode("latin-1").translate(LETTERS)
-        return _joined(pieces, self._known(pieces, self.pieces, spell), " ")
+        return _joined(pieces, self._known(pieces, self.pieces, _spelt), " ")
 
     def _split_there(self, words: list[str]) -> list[bytes]:
         pieces = [p for p, _ in self.split("".join([" " + w for w in words]))]
@@ -90,9 +89,15 @@ class _Encoder:
         """Ids of a text as the library has them."""
         if any(a in text for a in self.added):
             return array("i", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+        if self.latin(text):
+            return b"".join(self._known(PATTERN.findall(text), self.pieces, _spelt))
         return b"".join(self._known([p for p, _ in self.split(text)], self.letters, str))
 
 
+def _spelt(piece: str) -> str:
+    return piece.encode().decode("latin-1").translate(LETTERS)
+
+
 def _joined(pieces: list[str], ids: list[bytes], space: str) -> list[bytes]:
     """Ids of words from those of their pieces; a word's first piece starts with the space."""
     out = []
