@@ -61,7 +61,7 @@ class WordIds:
     are bytes of 32-bit integers; `most` bounds the table of words (about 0.2 KB each).
     """
 
-    def __init__(self, after_space: Callable[[list[str]], list[bytes]], alone: Callable[[str], bytes], added: Sequence[str] = (), most: int = 400_000):
+    def __init__(self, after_space: Callable[[list[str]], list[bytes]], alone: Callable[[str], bytes], added: Sequence[str] = (), most: int = 800_000):
         self.after_space, self.alone, self.added, self.most, self.known = after_space, alone, added, most, {}
 
     def _learn(self, words: list[str]) -> None:
