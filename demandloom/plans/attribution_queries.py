@@ -51,7 +51,8 @@ def _(spark, d):
 
 
 def _forest(spark, d):
-    rows = _rows(spark, d)
+    """The rows, written once, as the passes of the fit, the samples and the explained rows all read them, and the forest."""
+    rows = materialize(_rows(spark, d), "attribution")
     stages = [
         VectorAssembler(inputCols=list(_FEATURES), outputCol="features"),
         RandomForestRegressor(labelCol="y", predictionCol="yhat", numTrees=100, maxDepth=5, seed=7),

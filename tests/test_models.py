@@ -207,3 +207,30 @@ def test_condition_number_of_a_collinear_design_is_undefined():
     bad = np.column_stack([good, x[:, 0] + x[:, 1]])
     assert stats.condition_number((good.T @ good)[None])[0] == pytest.approx(np.linalg.cond(good))
     assert np.isnan(stats.condition_number((bad.T @ bad)[None])[0])
+
+
+@pytest.mark.parametrize("boosting", [False, True])
+def test_tree_contributions_equal_those_of_the_transformed_mixtures(spark, boosting):
+    """Bit sets of leaves give what the model itself predicts, in as many tasks as there are cores, however few the rows."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+
+    rng = np.random.default_rng(17)
+    pdf = pd.DataFrame(rng.integers(0, 9, size=(300, 4)).astype(float), columns=list("abcd"))
+    pdf.insert(0, "row_id", [f"r{i}" for i in range(300)])
+    pdf["y"] = pdf.a * pdf.b + np.sin(pdf.c)
+    df = frame(spark, pdf, "row_id string, a double, b double, c double, d double, y double")
+    options = {"labelCol": "y", "predictionCol": "yhat", "seed": 3}
+    learner = GBTRegressor(maxIter=6, maxDepth=6, **options) if boosting else RandomForestRegressor(numTrees=7, maxDepth=4, **options)
+    # The model's own order of features differs from the one asked for, and one of them is not in the model.
+    model = Pipeline(stages=[VectorAssembler(inputCols=["c", "a", "b"], outputCol="features"), learner]).fit(df)
+    asked, base = df.limit(12), df.where("row_id > 'r28'").limit(5)
+    for permutations in (1, 3):
+        fast = At.sampled_contributions(model, asked, base, list("abcd"), permutations=permutations)
+        slow = At._mixed_contributions(model, asked, base, list("abcd"), permutations, "row_id", 42, "yhat")
+        fast, slow = ({(r["row_id"], r["feature"]): (r["value"], r["phi"]) for r in x.collect()} for x in (fast, slow))
+        assert len(fast) == 48 and fast.keys() == slow.keys()
+        assert all(fast[k] == pytest.approx(slow[k], abs=1e-9) for k in slow)
+        assert all(v[1] == 0 for k, v in fast.items() if k[1] == "d")
+    assert At.sampled_contributions(model, asked, base, list("abcd")).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
