@@ -73,18 +73,23 @@ def clean_station_weather(
 def station_features(panel: DataFrame, weather: DataFrame, key: DataFrame, calendar: DataFrame) -> DataFrame:
     """Selling series joined with their station's weather, calendar flags, date parts and leak-free history.
 
-    The series that never sell go first, before anything is joined to them. The cleaned panel is written once: the wide
-    table and both row contexts, which need four of its columns only, read it from the shared folder.
+    The series that never sell go first, before anything is joined to them. Days without weather go next, by the weather's
+    keys alone, and the rest is written once with the columns that history needs. Series and both row contexts are sorted
+    as such slim rows; readings, flags and date parts come to them last, by joins with the small tables.
     """
     selling = J.keep_pairs(panel, selling_pairs(panel))
-    slim = materialize(C.flatten_outliers(C.fill_group_mean(selling)), "cleaned")
-    repaired = slim.withColumn("logunits", X.log_units(F.col("units")))
-    df = D.with_date_parts(J.with_calendar(J.with_store_weather(repaired, weather, key), calendar))
-    df = Wn.lags(df, "units", [1, 2, 3, 4, 5, 6, 7, 14, 21, 28])
+    slim = C.flatten_outliers(materialize(C.fill_group_mean(selling), "filled"))
+    rows = materialize(J.with_store_weather(slim, weather.select("date", "station_nbr"), key).select("date", "station_nbr", *PAIR, "units"), "cleaned")
+    df = Wn.lags(rows, "units", [1, 2, 3, 4, 5, 6, 7, 14, 21, 28])
     df = Wn.rolling_stats(df, "units", [7, 14, 28])
     df = Wn.ewma(df, "units", [0.5, 0.75])
     df = df.withColumnsRenamed({c: c.replace("0.", "") for c in df.columns if "_ewma_0." in c})
-    rows = materialize(J.with_store_weather(slim, weather, key).select("date", *PAIR, "units"), "cleaned")
+    history = [c for c in df.columns if c not in rows.columns]
+    contexts = []
     for key, tie in (PAIR, PAIR[::-1]):
-        df = df.join(Wn.row_context(rows, key, tie).drop("units"), ["date", *PAIR])
-    return df
+        context = Wn.row_context(rows.drop("station_nbr"), key, tie).drop("units")
+        df, contexts = df.join(context, ["date", *PAIR]), contexts + [c for c in context.columns if c not in rows.columns]
+    df = df.withColumn("logunits", X.log_units(F.col("units"))).join(weather, ["date", "station_nbr"])
+    df = D.with_date_parts(J.with_calendar(df, calendar))
+    last = [c for c in df.columns if c not in ("date", *PAIR, *history, *contexts)]
+    return df.select("date", *PAIR, *[F.col(f"`{c}`") for c in (*last, *history, *contexts)])

@@ -101,7 +101,8 @@ def weather_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_nationkey") % 20).alias("station_nbr"))
 
     def code(priority: str, token: str) -> Column:
-        return F.max(F.when(F.col("o_orderpriority") == priority, token))
+        # A flag is kept in place by hash aggregation; the greatest string would sort all orders.
+        return F.when(F.max(F.col("o_orderpriority") == priority), token)
 
     def reading(amount: str) -> Column:
         return F.floor(F.col(amount) / 5000).cast("int").cast("string")

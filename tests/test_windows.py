@@ -140,3 +140,18 @@ def test_constant_series_has_no_correlation(spark):
     data = [(dt.date(2020, 1, 1) + dt.timedelta(days=i), 1, 1, 4.0) for i in range(30)]
     df = spark.createDataFrame(data, "date date, store_nbr int, item_nbr int, units double")
     assert {r["rho"] for r in Wn.lag_correlation(df, "units", 3).collect()} == {None}
+
+
+def test_station_history_is_sorted_without_the_readings(spark, small):
+    """Readings come to the rows after all windows over them; no order is sorted by string aggregates on the way."""
+    from demandloom.operators import features as Ft
+    from demandloom.sources import panels
+
+    raw = panels.weather_raw(spark, small)
+    assert "SortAggregate" not in raw._jdf.queryExecution().executedPlan().toString()
+    weather = panels.weather_numeric(spark, small).select("station_nbr", "date", F.col("tmax").alias("a_reading"))
+    panel = panels.sales_dirty(spark, small).select("date", "store_nbr", "item_nbr", "units")
+    table = Ft.station_features(panel, weather, panels.store_key(spark, small), panels.calendar(spark))
+    lines = table._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    joined = next(i for i, line in enumerate(lines) if "Join" in line and "station_nbr" in line)
+    assert "a_reading" in table.columns and joined < next(i for i, line in enumerate(lines) if "Window" in line)
