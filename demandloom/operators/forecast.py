@@ -195,12 +195,19 @@ def score_with_skips(model: PipelineModel, test: DataFrame, modelled: DataFrame,
     return scored.withColumn("yhat", F.when(F.col("_known"), F.greatest("yhat", F.lit(0.0))).otherwise(0.0)).drop("_known", "features")
 
 
-def cross_validate(df: DataFrame, make, folds: int = 5, fold: str = "fold", label: str = "units") -> DataFrame:
-    """Out-of-fold predictions of an expanding-window split: fold k is predicted by a model of the rows before it."""
-    parts = []
-    for k in range(folds):
-        before = df.where(F.col(fold).isNull() | (F.col(fold) < k))
-        parts.append(make().fit(before).transform(df.where(F.col(fold) == k)).select(fold, label, "yhat"))
+def cross_validate(df: DataFrame, make, folds: int = 5, fold: str = "fold", label: str = "units", *, at_once: int = 5) -> DataFrame:
+    """Out-of-fold predictions of an expanding-window split: fold k is predicted by a model of the rows before it.
+
+    Up to `at_once` folds are fitted side by side: boosting runs hundreds of short jobs, one after another, in each fit.
+    """
+
+    def fitted(k: int):
+        return make().fit(df.where(F.col(fold).isNull() | (F.col(fold) < k)))
+
+    with ThreadPoolExecutor(at_once) as pool:
+        # The longest fits begin first.
+        jobs = [pool.submit(inheritable_thread_target(df.sparkSession)(fitted), k) for k in reversed(range(folds))][::-1]
+        parts = [job.result().transform(df.where(F.col(fold) == k)).select(fold, label, "yhat") for k, job in enumerate(jobs)]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -46,6 +46,26 @@ def test_folds_are_predicted_by_models_of_the_rows_before(frame):
     assert out.select("fold").distinct().count() == 3 and error(out) < 2.0
 
 
+def test_folds_are_fitted_side_by_side(frame):
+    """Each of three fits waits until all three run; the predictions stay those of each fold's own model."""
+    import threading
+
+    from pyspark.ml import Estimator
+
+    together = threading.Barrier(3, timeout=60)
+
+    class Waiting(Estimator):
+        def _fit(self, dataset):
+            together.wait()
+            return Fc.boosted(FEATURES, rounds=2, rate=0.3, depth=2).fit(dataset)
+
+    folded = frame.withColumn("fold", F.when(F.month("date") > 6, (F.month("date") - 7).cast("int"))).where("fold IS NULL OR fold < 3")
+    out = Fc.cross_validate(folded, Waiting, folds=3)
+    alone = Fc.boosted(FEATURES, rounds=2, rate=0.3, depth=2).fit(folded.where("fold IS NULL OR fold < 1")).transform(folded.where("fold = 1"))
+    key = ["units", "yhat"]
+    assert sorted(map(tuple, out.where("fold = 1").select(key).collect())) == sorted(map(tuple, alone.select(key).collect()))
+
+
 @pytest.mark.parametrize("objective", ["wape", "rmse"])
 def test_search_ranks_trials(frame, objective):
     train, valid = frame.where("date < '2020-09-01'"), frame.where("date >= '2020-09-01'")
