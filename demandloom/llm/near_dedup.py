@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from hashlib import blake2b
 
 import numpy as np
@@ -30,6 +30,10 @@ DEVIATIONS = 4.0
 LEADERS = 6
 MEETINGS = 4
 LINKED = 0.02
+#: A bucket with more members than this is crowded: what is left of its pairs passes the odd sketches first.
+CROWDED = 8
+#: Bits of an odd sketch per member of the set, before rounding up to a power of two, and the bounds of its length.
+ODD_BITS, LEAST_BITS, MOST_BITS = 16, 256, 1 << 16
 PROFILE = "doc_id long, n_shingles long, same binary, sketch binary, bands array<bigint>"
 
 _SEEDS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64)).astype(np.uint32)
@@ -104,6 +108,25 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
     return (low + high) / 2
 
 
+def odd_sketch(hashes: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of members in bins, one bit a bin, as 64-bit words.
+
+    Bins that differ in parity hold at least one member of one set only, so the bits in which two sketches of one length
+    differ never outnumber the sets' symmetric difference. The halves of a sketch, combined by exclusive or, are the
+    sketch of half the length.
+    """
+    bits = min(max(1 << int(ODD_BITS * len(hashes) - 1).bit_length(), LEAST_BITS), MOST_BITS)
+    count = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((count & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _hashes(words: list[bytes], hashes: WordHashes) -> np.ndarray:
+    """Distinct 64-bit hashes of the shingles of a text with words."""
+    width = min(SHINGLE, len(words))
+    starts = np.arange(len(words) - width + 1)
+    return np.unique(Runs(hashes.of(words)).hash(starts, starts + width))
+
+
 def profiles(docs: DataFrame) -> DataFrame:
     """Per row: size of the shingle set, a digest of the lower-cased word sequence, the sketch and its band keys."""
 
@@ -116,9 +139,7 @@ def profiles(docs: DataFrame) -> DataFrame:
                 if not words:
                     rows.append((key, 0, None, None, None))
                     continue
-                width = min(SHINGLE, len(words))
-                starts = np.arange(len(words) - width + 1)
-                members = np.unique(Runs(hashes.of(words)).hash(starts, starts + width))
+                members = _hashes(words, hashes)
                 sketch = registers(members)
                 same = blake2b(b" ".join(words), digest_size=16).digest()
                 rows.append((key, len(members), same, sketch.tobytes(), band_keys(sketch)))
@@ -128,6 +149,18 @@ def profiles(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, PROFILE)
 
 
+def _odd_sketches(texts: DataFrame) -> DataFrame:
+    """Odd sketches of texts with words."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
+        for batch in batches:
+            odd = [odd_sketch(_hashes(lowered(text), hashes)) for text in batch["text"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "odd": odd})
+
+    return texts.select("doc_id", "text").mapInPandas(run, "doc_id long, odd array<bigint>")
+
+
 def _likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """Pairs (a, b) whose sizes allow a link and whose estimate isn't clearly below the threshold."""
     floor = THRESHOLD / 100 - DEVIATIONS * np.sqrt(THRESHOLD / 100 * (1 - THRESHOLD / 100) / REGISTERS)
@@ -200,10 +233,10 @@ def _fits(a: str, b: str) -> Column:
     return 100 * F.least(a, b) >= THRESHOLD * F.greatest(a, b)
 
 
-def _few(pairs: DataFrame, member: str, most: int, turn: int) -> DataFrame:
-    """At most `most` of each member's pairs (a, b), drawn anew in each turn."""
-    draw = Window.partitionBy(member).orderBy(F.xxhash64("a", "b", F.lit(turn)))
-    return pairs.withColumn("_at", F.row_number().over(draw)).where(F.col("_at") <= most).select("a", "b").distinct()
+def _few(pairs: DataFrame, turn: int) -> DataFrame:
+    """Up to MEETINGS of each member's pairs (a, b): those that share most buckets first, ties drawn anew in each turn."""
+    draw = Window.partitionBy("m").orderBy(F.desc("shared"), F.xxhash64("a", "b", F.lit(turn)))
+    return pairs.withColumn("_at", F.row_number().over(draw)).where(F.col("_at") <= MEETINGS).select("a", "b").distinct()
 
 
 def _led(member: DataFrame, turn: int) -> DataFrame:
@@ -214,17 +247,62 @@ def _led(member: DataFrame, turn: int) -> DataFrame:
     leads = classes.withColumn("_at", F.row_number().over(largest)).where(F.col("_at") <= LEADERS)
     leads = leads.select("key", F.col("class").alias("lc"), F.col("lead.doc_id").alias("l"), F.col("lead.n").alias("ln"))
     met = member.join(leads, "key").where(_fits("n", "ln") & (F.col("class") != F.col("lc")))
-    return met.select(F.least("l", "doc_id").alias("a"), F.greatest("l", "doc_id").alias("b"), F.col("doc_id").alias("m")).distinct()
+    ends = met.select(F.least("l", "doc_id").alias("a"), F.greatest("l", "doc_id").alias("b"), F.col("doc_id").alias("m"))
+    return ends.groupBy("a", "b", "m").agg(F.count("*").alias("shared"))
+
+
+def _placed(member: DataFrame) -> DataFrame:
+    """Members of buckets, whether they are outside the bucket's largest class, and how many members the bucket has."""
+    classes = member.groupBy("key", "class").agg(F.count("*").alias("size"))
+    home = classes.groupBy("key").agg(F.max_by("class", F.struct("size", "class")).alias("home"), F.sum("size").alias("size"))
+    return member.join(home, "key").select("key", "doc_id", "class", "n", (F.col("class") != F.col("home")).alias("out"), "size")
+
+
+def _near(l: str, r: str) -> Column:
+    """Whether the bits in which two odd sketches differ allow a link; true for every link.
+
+    A link's symmetric difference is at most (100 - t) / (100 + t) of the sum of the sizes, t the threshold in per cent.
+    Sizes of links differ by less than a factor of two, lengths of their sketches by one step at most.
+    """
+
+    def differing(x: Column, y: Column) -> Column:
+        return F.zip_with(x, y, lambda p, q: p.bitwiseXOR(q))
+
+    def half(x: Column) -> Column:
+        middle = (F.size(x) / 2).cast("int")
+        return differing(F.slice(x, F.lit(1), middle), F.slice(x, middle + 1, middle))
+
+    ours, theirs = F.col(f"{l}_odd"), F.col(f"{r}_odd")
+    words = (
+        F.when(F.size(ours) > F.size(theirs), differing(half(ours), theirs))
+        .when(F.size(ours) < F.size(theirs), differing(ours, half(theirs)))
+        .otherwise(differing(ours, theirs))
+    )
+    differ = F.aggregate(words, F.lit(0), lambda total, x: total + F.bit_count(x))
+    return (100 + THRESHOLD) * differ <= (100 - THRESHOLD) * (F.col(f"{l}_n") + F.col(f"{r}_n"))
+
+
+def _across(placed: DataFrame, more: Sequence[str] = (), near: Column | None = None) -> DataFrame:
+    """Pairs (a, b) of a bucket's members of different classes, at least one of them outside the largest.
+
+    Two members outside meet once, in the order of their ids; a member inside meets each one outside.
+    """
+    names = ["doc_id", "class", "n", "out", *more]
+    left, right = (placed.select("key", *[F.col(c).alias(f"{side}_{c}") for c in names]) for side in "lr")
+    both = left.where("l_out").join(right, "key")
+    met = both.where(_fits("l_n", "r_n") & F.expr("l_class <> r_class AND (NOT r_out OR l_doc_id < r_doc_id)"))
+    met = met if near is None else met.where(near)
+    return met.select(F.least("l_doc_id", "r_doc_id").alias("a"), F.greatest("l_doc_id", "r_doc_id").alias("b")).distinct()
 
 
 def _links(profile: DataFrame, docs: DataFrame) -> DataFrame:
     """Verified links between representatives, enough of them to give every class.
 
-    Members of a bucket are compared with a few of its smallest members and then, turn by turn, with a few drawn from its
-    largest other classes, while a fair share of these pairs are links. Work stays in proportion to the members, and a
+    Members are compared with a few of the smallest members of their buckets and then, turn by turn, with a few drawn from
+    their largest other classes, those in most common buckets first, while a fair share of these pairs are links. Work stays in proportion to the members, and a
     large group of copies comes together even where many of its pairs are below the threshold. What is still outside the
-    bucket's largest class is then compared with all members of other classes. No pair is compared
-    twice, and sketches and texts of documents whose buckets are settled are left behind.
+    bucket's largest class is then compared with all members of other classes; in crowded buckets only the pairs whose
+    odd sketches allow a link become rows, which leaves out no link. No pair is compared twice, and sketches and texts of documents whose buckets are settled are left behind.
     """
     sketches = profile.select("doc_id", "n_shingles", "sketch")
     sizes = profile.select("doc_id", F.col("n_shingles").alias("n"))
@@ -239,7 +317,8 @@ def _links(profile: DataFrame, docs: DataFrame) -> DataFrame:
         return materialize(_verified(likely, texts), "near-links")
 
     star = keys.where("doc_id > leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b"), F.col("doc_id").alias("m"))
-    tried = materialize(_few(star.distinct(), "m", MEETINGS, 0), "near-pairs")
+    star = star.groupBy("a", "b", "m").agg(F.count("*").alias("shared"))
+    tried = materialize(_few(star, 0), "near-pairs")
     links = confirmed(tried)
     turn, open_ = 0, True
     while open_:
@@ -251,20 +330,16 @@ def _links(profile: DataFrame, docs: DataFrame) -> DataFrame:
             sketches, texts = (materialize(x.join(still, "doc_id", "left_semi"), "near-still") for x in (sketches, texts))
         turn += 1
         led = _led(member, turn).join(tried, ["a", "b"], "left_anti")
-        fresh = materialize(_few(led, "m", MEETINGS, turn), "near-pairs")
+        fresh = materialize(_few(led, turn), "near-pairs")
         found = confirmed(fresh)
         tried, links = tried.unionByName(fresh), links.unionByName(found)
         open_ = found.count() > LINKED * fresh.count()
 
-    member = _with_classes(keys, links, sizes)
-    classes = member.groupBy("key", "class").agg(F.count("*").alias("n"))
-    home = classes.groupBy("key").agg(F.max_by("class", F.struct("n", "class")).alias("home"))
-    placed = member.join(home, "key").withColumn("out", F.col("class") != F.col("home"))
-    left = placed.where("out").select("key", F.col("doc_id").alias("o"), F.col("class").alias("oc"), F.col("n").alias("on"))
-    right = placed.select("key", F.col("doc_id").alias("r"), F.col("class").alias("rc"), F.col("n").alias("rn"), "out")
-    # Two members outside meet once, in the order of their ids; a member inside meets each one outside.
-    cross = left.join(right, "key").where(_fits("on", "rn") & F.expr("oc <> rc AND (NOT out OR o < r)"))
-    cross = cross.select(F.least("o", "r").alias("a"), F.greatest("o", "r").alias("b")).distinct()
+    placed = materialize(_placed(_with_classes(keys, links, sizes)), "near-placed")
+    crowded = placed.where(F.col("size") > CROWDED)
+    sketched = _odd_sketches(texts.join(crowded.select("doc_id").distinct(), "doc_id", "left_semi"))
+    sieved = _across(crowded.join(materialize(sketched, "near-odd"), "doc_id"), ["odd"], _near("l", "r"))
+    cross = _across(placed.where(F.col("size") <= CROWDED)).unionByName(sieved).distinct()
     rest = materialize(cross.join(tried, ["a", "b"], "left_anti"), "near-pairs")
     return links.unionByName(confirmed(rest))
 

@@ -65,6 +65,46 @@ def test_near_chains(spark, monkeypatch):
     assert {i: split.get(i, i) for i in root} == root
 
 
+def test_near_crowd_below_the_threshold(spark, monkeypatch):
+    """Private edits of one text lie around the threshold; few of their pairs become rows, and no link is lost."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 160):
+        text = list(base)
+        for at in rng.sample(range(3, 147, 6), rng.choice([1, 2, 3, 4, 5, 5, 5, 6, 6])):
+            text[at] = f"own{i}x{at}"
+        rows.append((i, " ".join(text)))
+    sets = {i: near_dedup.shingles(near_dedup.lowered(t)) for i, t in rows}
+    root = {i: i for i in sets}
+    for _ in range(3):
+        for a in sets:
+            for b in sets:
+                if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+    assert 40 < sum(root[i] == i for i in root) < 130
+    made, likely = [], near_dedup._likely
+    monkeypatch.setattr(near_dedup, "_likely", lambda pairs, sketches: made.append(pairs.count()) or likely(pairs, sketches))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in by_id(near_dedup.near_dedup(docs))} == root
+    assert made[-1] < 10 * len(rows)
+
+
+@pytest.mark.parametrize("size", [1, 100, 150, 4000])
+def test_odd_sketches_never_tell_more_than_the_difference(spark, size):
+    rng = np.random.default_rng(size)
+    pool = rng.integers(0, 1 << 63, 2 * size + 1).astype(np.uint64)
+    for own in (0, size // 10, size // 3, size):
+        a, b = pool[:size], pool[own : size + own + size // 4]
+        x, y = sorted((near_dedup.odd_sketch(s) for s in (a, b)), key=len)
+        assert len(y) in (len(x), 2 * len(x))
+        pair = spark.createDataFrame([(y.tolist(), x.tolist(), len(a), len(b))], "l_odd array<bigint>, r_odd array<bigint>, l_n int, r_n int")
+        y = y if len(x) == len(y) else y[: len(x)] ^ y[len(x) :]
+        differ, truth = sum(int(w).bit_count() for w in (x ^ y).view(np.uint64)), len(set(a.tolist()) ^ set(b.tolist()))
+        assert truth / 2 <= differ <= truth
+        assert pair.select(near_dedup._near("l", "r")).first()[0] == (175 * differ <= 25 * (len(a) + len(b)))
+
+
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90)], "a long, b long")
     got = {r["doc_id"]: r["component"] for r in near_dedup.components(links).collect()}
