@@ -240,13 +240,18 @@ def _few(pairs: DataFrame, turn: int) -> DataFrame:
 
 
 def _led(member: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b) of a bucket's members with representatives of its largest classes, drawn anew in each turn."""
+    """Pairs (a, b) of members outside a bucket's largest class with representatives of its largest other classes.
+
+    Representatives are drawn anew in each turn. Members of the largest class are met through its representative.
+    """
     draw = F.xxhash64("doc_id", F.lit(turn))
     classes = member.groupBy("key", "class").agg(F.count("*").alias("size"), F.min_by(F.struct("doc_id", "n"), draw).alias("lead"))
     largest = Window.partitionBy("key").orderBy(F.desc("size"), "class")
-    leads = classes.withColumn("_at", F.row_number().over(largest)).where(F.col("_at") <= LEADERS)
-    leads = leads.select("key", F.col("class").alias("lc"), F.col("lead.doc_id").alias("l"), F.col("lead.n").alias("ln"))
-    met = member.join(leads, "key").where(_fits("n", "ln") & (F.col("class") != F.col("lc")))
+    ranked = classes.withColumn("_at", F.row_number().over(largest)).withColumn("home", F.first("class").over(largest))
+    leads = ranked.where(F.col("_at") <= LEADERS).select(
+        "key", "home", F.col("class").alias("lc"), F.col("lead.doc_id").alias("l"), F.col("lead.n").alias("ln")
+    )
+    met = member.join(leads, "key").where(_fits("n", "ln") & F.expr("class <> lc AND class <> home"))
     ends = met.select(F.least("l", "doc_id").alias("a"), F.greatest("l", "doc_id").alias("b"), F.col("doc_id").alias("m"))
     return ends.groupBy("a", "b", "m").agg(F.count("*").alias("shared"))
 
@@ -298,8 +303,9 @@ def _across(placed: DataFrame, more: Sequence[str] = (), near: Column | None = N
 def _links(profile: DataFrame, docs: DataFrame) -> DataFrame:
     """Verified links between representatives, enough of them to give every class.
 
-    Members are compared with a few of the smallest members of their buckets and then, turn by turn, with a few drawn from
-    their largest other classes, those in most common buckets first, while a fair share of these pairs are links. Work stays in proportion to the members, and a
+    Members are compared with a few of the smallest members of their buckets and then, turn by turn, those
+    outside a bucket's largest class with a few drawn from its largest other classes, those in most common buckets first,
+    while a fair share of these pairs are links. Work stays in proportion to the members, and a
     large group of copies comes together even where many of its pairs are below the threshold. What is still outside the
     bucket's largest class is then compared with all members of other classes; in crowded buckets only the pairs whose
     odd sketches allow a link become rows, which leaves out no link. No pair is compared twice, and sketches and texts of documents whose buckets are settled are left behind.

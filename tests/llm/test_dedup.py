@@ -90,6 +90,15 @@ def test_near_crowd_below_the_threshold(spark, monkeypatch):
     assert made[-1] < 10 * len(rows)
 
 
+def test_leaders_are_met_from_outside_the_largest_class(spark):
+    """Members of the largest class aren't paired with each representative of the others."""
+    member = spark.createDataFrame([(1, i, max(i - 50, 0), 100) for i in range(56)], "key long, doc_id long, class long, n long")
+    pairs = near_dedup._led(member, 1).collect()
+    assert {r["m"] for r in pairs} == {51, 52, 53, 54, 55}
+    assert sum(r["shared"] for r in pairs) == 5 * 5 and all({r["a"], r["b"]} - {r["m"]} for r in pairs)
+    assert {r["m"] for r in pairs if r["a"] <= 50} == {51, 52, 53, 54, 55}
+
+
 @pytest.mark.parametrize("size", [1, 100, 150, 4000])
 def test_odd_sketches_never_tell_more_than_the_difference(spark, size):
     rng = np.random.default_rng(size)
